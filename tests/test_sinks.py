@@ -1,0 +1,56 @@
+import json
+import uuid
+
+import pytest
+
+from tidemark.sinks.aggregated import FileSink, SchemaMismatch, TableSink, as_messages, register_schema
+
+
+@pytest.fixture
+def df(spark):
+    return spark.createDataFrame([(0.5, 2, None)], "time double, count long, mean_a double")
+
+
+@pytest.fixture
+def table(spark):
+    name = f"sink_{uuid.uuid4().hex}"
+    yield name
+    spark.sql(f"DROP TABLE IF EXISTS default.`{name}`")
+
+
+def test_registration_is_idempotent(spark, df, table):
+    full = f"default.`{table}`"
+    assert register_schema(spark, full, df.schema) is True
+    assert register_schema(spark, full, df.schema) is False
+    assert spark.table(full).dtypes == df.dtypes
+
+
+@pytest.mark.parametrize("change", ["renamed", "retyped", "extra"])
+def test_other_schema_raises(spark, df, table, change):
+    register_schema(spark, f"default.`{table}`", df.schema)
+    other = {
+        "renamed": df.withColumnRenamed("mean_a", "mean_b"),
+        "retyped": df.withColumn("count", df["count"].cast("int")),
+        "extra": df.withColumn("x", df["time"]),
+    }[change]
+    with pytest.raises(SchemaMismatch):
+        register_schema(spark, f"default.`{table}`", other.schema)
+
+
+def test_table_sink(spark, df, table):
+    sink = TableSink()
+    sink.write(df, table)
+    sink.write(df, table)
+    assert spark.table(f"default.`{table}`").collect() == [(0.5, 2, None)] * 2
+    with pytest.raises(SchemaMismatch):
+        sink.write(df.drop("count"), table)
+
+
+def test_file_sink(spark, df, tmp_path):
+    FileSink(str(tmp_path)).write(df, "example-aggregated")
+    assert spark.read.parquet(str(tmp_path / "example-aggregated")).collect() == [(0.5, 2, None)]
+
+
+def test_messages_are_json_with_nulls(df):
+    value = as_messages(df).collect()[0]["value"]
+    assert json.loads(value) == {"time": 0.5, "count": 2, "mean_a": None}

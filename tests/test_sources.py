@@ -1,0 +1,91 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.operators.project import numeric_fields
+from tidemark.sources.schema import schema_from_avro
+from tidemark.sources.topics import decode_messages, files_source, frames_source, tagged_source
+
+AVRO = {
+    "type": "record",
+    "name": "Example",
+    "fields": [
+        {"name": "int_field", "type": "int"},
+        {"name": "long_field", "type": "long"},
+        {"name": "float_field", "type": "float"},
+        {"name": "double_field", "type": ["null", "double"]},
+        {"name": "bytes_field", "type": {"type": "bytes"}},
+        {"name": "string_field", "type": "string"},
+    ],
+}
+
+
+def test_avro_fields():
+    schema = schema_from_avro(json.dumps(AVRO))
+    assert [(f.name, f.dataType.simpleString(), f.nullable) for f in schema.fields] == [
+        ("int_field", "int", False),
+        ("long_field", "bigint", False),
+        ("float_field", "float", False),
+        ("double_field", "double", True),
+        ("bytes_field", "binary", False),
+        ("string_field", "string", False),
+    ]
+    assert numeric_fields(schema) == ["int_field", "long_field", "float_field", "double_field"]
+    assert numeric_fields(schema, "strict") == ["long_field", "double_field"]
+
+
+@pytest.mark.parametrize(
+    "bad",
+    ["string", {"type": "record", "fields": [{"name": "x", "type": ["int", "string"]}]},
+     {"type": "record", "fields": [{"name": "x", "type": {"type": "array", "items": "int"}}]}],
+)
+def test_other_avro_schemas_raise(bad):
+    with pytest.raises(ValueError):
+        schema_from_avro(json.dumps(bad))
+
+
+@pytest.fixture
+def raw(spark):
+    return spark.createDataFrame(
+        [("t", 0, 5, '{"time": 1.5, "value0": 2.0}'), ("t", 1, 6, "broken")],
+        "topic string, partition int, offset long, value string",
+    ).select(
+        "topic", "partition", "offset",
+        F.timestamp_seconds(F.lit(9)).alias("timestamp"), F.col("value").cast("binary"),
+    )
+
+
+def test_json_messages(raw):
+    schema = T.StructType().add("time", "double").add("value0", "double")
+    out = decode_messages(raw, schema)
+    assert out.columns == ["topic", "partition", "offset", "timestamp", "time", "value0"]
+    assert [(r["offset"], r["time"], r["value0"]) for r in out.orderBy("offset").collect()] == [
+        (5, 1.5, 2.0), (6, None, None),
+    ]
+
+
+def test_payload_cannot_hide_message_columns(raw):
+    with pytest.raises(ValueError, match="offset"):
+        decode_messages(raw, T.StructType().add("offset", "double"))
+    with pytest.raises(ValueError, match="xml"):
+        decode_messages(raw, T.StructType().add("x", "double"), "xml")
+
+
+def test_all_sources_agree(spark, tmp_path):
+    frames = {
+        name: spark.sql(f"SELECT timestamp_seconds({i}) AS timestamp, {i}.0D AS value")
+        for i, name in enumerate(["a", "b", "c"])
+    }
+    for name, frame in frames.items():
+        frame.write.json(str(tmp_path / name))
+    tagged = frames_source(frames)(["a", "b", "c"]).withColumnRenamed("topic", "channel")
+    parsed = T.StructType().add("timestamp", "timestamp").add("value", "double")
+    sources = [
+        frames_source(frames),
+        tagged_source(tagged, "channel"),
+        files_source(spark, str(tmp_path), parsed, "json"),
+    ]
+    results = [sorted(map(tuple, s(["a", "c"]).select("topic", "value").collect())) for s in sources]
+    assert results == [[("a", 0.0), ("c", 2.0)]] * 3

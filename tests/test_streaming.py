@@ -1,0 +1,161 @@
+import os
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark import (
+    AggregatedTopic,
+    AggregationConfig,
+    SourceTopic,
+    WindowAggregation,
+    cogroup,
+    join_wide,
+)
+from tidemark.functions.stats import OPERATIONS
+from tidemark.plans.aggregated import aggregate_topic
+from tidemark.sinks.aggregated import FileSink, TableSink
+from tidemark.sources.topics import files_source
+from tidemark.streaming.queries import start_aggregations, start_passthrough, use_state_store
+
+SCHEMA = T.StructType().add("timestamp", "timestamp").add("time", "double").add("value0", "double")
+ONCE = {"availableNow": True}
+
+
+@pytest.fixture
+def topics(spark, tmp_path):
+    """Append messages ``(at, time, value0)`` to a topic folder, one file per call."""
+    root = tmp_path / "topics"
+    files = iter(range(1, 1000))
+
+    def send(name, *rows):
+        df = spark.createDataFrame(list(rows), "at double, time double, value0 double")
+        df = df.select(F.timestamp_micros((F.col("at") * 1e6).cast("bigint")).alias("timestamp"), "time", "value0")
+        folder = root / name
+        before = set(folder.glob("*.parquet")) if folder.exists() else set()
+        df.coalesce(1).write.mode("append").parquet(str(folder))
+        # Files are taken in the order of their modification times.
+        when = 1_700_000_000 + next(files)
+        for path in set(folder.glob("*.parquet")) - before:
+            os.utime(path, (when, when))
+
+    send.source = lambda **options: files_source(spark, str(root), SCHEMA, streaming=True, **options)
+    send.batch = files_source(spark, str(root), SCHEMA)
+    return send
+
+
+def config_of(*names, size=1, expiration=0, operations=OPERATIONS, name="agg", minimum=2):
+    window = WindowAggregation(size, expiration, minimum, operations)
+    sources = tuple(SourceTopic(topic, ("value0",), {"value0": "v"}) for topic in names)
+    return AggregationConfig((AggregatedTopic(name, sources, window),))
+
+
+def run(config, source, sink, checkpoints, **options):
+    queries = start_aggregations(config, source, sink, str(checkpoints), ONCE, **options)
+    for query in queries.values():
+        query.awaitTermination()
+
+
+@pytest.mark.parametrize("store", ["memory://", "rocksdb"])
+def test_same_rows_as_batch(spark, topics, tmp_path, store):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    use_state_store(spark, store)
+    try:
+        for name in ("x", "y"):
+            topics(name, *[(i * 0.07, None, float(i * i % 17)) for i in range(200)])
+        config = config_of("x", "y", minimum=5)
+        run(config, topics.source(), FileSink(str(tmp_path / "out")), tmp_path / "ckpt")
+        streamed = spark.read.parquet(str(tmp_path / "out/agg"))
+        batch = aggregate_topic(config.get("agg"), topics.batch)
+        # The window of the latest message is still open.
+        closed = batch.where("time < 13")
+        assert streamed.columns == batch.columns
+        assert streamed.count() == closed.count() == 26
+        digits = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in batch.dtypes]
+        assert streamed.select(digits).exceptAll(closed.select(digits)).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_unknown_store_raises(spark):
+    with pytest.raises(ValueError):
+        use_state_store(spark, "redis://")
+
+
+def test_late_messages_never_change_a_closed_window(spark, topics, tmp_path):
+    out = FileSink(str(tmp_path / "out"))
+    topics("x", (0.1, None, 1.0), (0.2, None, 3.0), (5.0, None, 0.0))
+    config = config_of("x", operations=("mean",))
+    run(config, topics.source(), out, tmp_path / "ckpt")
+    topics("x", (0.3, None, 1000.0), (9.0, None, 0.0))
+    run(config, topics.source(), out, tmp_path / "ckpt")
+    rows = spark.read.parquet(str(tmp_path / "out/agg")).orderBy("time").collect()
+    assert [(r["time"], r["count"], r["mean_v"]) for r in rows] == [(0.5, 2, 2.0), (5.5, 1, 0.0)]
+
+
+def test_expiration_keeps_windows_open(spark, topics, tmp_path):
+    out = FileSink(str(tmp_path / "out"))
+    topics("x", (0.1, None, 1.0), (5.0, None, 0.0))
+    config = config_of("x", operations=("mean",), expiration=10)
+    run(config, topics.source(), out, tmp_path / "ckpt")
+    assert not list((tmp_path / "out/agg").glob("*.parquet")) or spark.read.parquet(
+        str(tmp_path / "out/agg")
+    ).isEmpty()
+    topics("x", (0.3, None, 3.0), (11.0, None, 0.0))
+    run(config, topics.source(), out, tmp_path / "ckpt")
+    rows = spark.read.parquet(str(tmp_path / "out/agg")).collect()
+    assert [(r["time"], r["count"], r["mean_v"]) for r in rows] == [(0.5, 2, 2.0)]
+
+
+def test_restart_continues_an_open_window(spark, topics, tmp_path):
+    out = FileSink(str(tmp_path / "out"))
+    config = config_of("x", operations=("median",))
+    for rows in ([(0.1, None, 1.0)], [(0.2, None, 2.0)], [(0.3, None, 9.0), (3.0, None, 0.0)]):
+        topics("x", *rows)
+        run(config, topics.source(), out, tmp_path / "ckpt")
+    rows = spark.read.parquet(str(tmp_path / "out/agg")).collect()
+    assert [(r["count"], r["median_v"]) for r in rows] == [(3, 2.0)]
+
+
+def test_every_entry_has_its_own_query(spark, topics, tmp_path):
+    topics("x", *[(i * 0.5, None, float(i)) for i in range(12)])
+    one = config_of("x", name=f"one_{uuid.uuid4().hex}").aggregated_topics[0]
+    two = config_of("x", name=f"two_{uuid.uuid4().hex}", size=2).aggregated_topics[0]
+    run(AggregationConfig((one, two)), topics.source(), TableSink(), tmp_path / "ckpt")
+    try:
+        assert spark.table(one.name).where("count = 2").count() == 5
+        assert spark.table(two.name).where("count = 4").count() == 2
+    finally:
+        for topic in (one, two):
+            spark.sql(f"DROP TABLE {topic.name}")
+
+
+def test_passthrough(spark, topics, tmp_path):
+    topics("x", (0.1, None, 1.0), (0.2, None, 2.0))
+    messages = topics.source()(["x"])
+    query = start_passthrough(messages, "copy", FileSink(str(tmp_path / "out")), str(tmp_path / "ckpt"), ONCE)
+    query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out/copy")).count() == 2
+
+
+@pytest.mark.parametrize("join", ["lists", "wide"])
+def test_cogroup_of_streams(spark, topics, tmp_path, join):
+    topics("example-000", (0.1, 7.0, 1.0), (0.4, 8.0, 2.0), (5.0, 9.0, 0.0))
+    topics("example-001", (0.2, 7.0, 3.0), (5.0, 9.0, 0.0))
+    names = ["example-000", "example-001"]
+    source = topics.source()(names)
+    if join == "lists":
+        out = cogroup(source, window_size_seconds=1)
+    else:
+        out = join_wide(source, names, window_size_seconds=1)
+    FileSink(str(tmp_path / "out")).start(out, "j", str(tmp_path / "ckpt"), ONCE).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out/j")).orderBy("time").collect()
+    if join == "lists":
+        got = [(r["time"], r["part"], [tuple(x) for x in r["records"]]) for r in rows]
+        assert got == [
+            (7.0, 0, [("example-000.value", 1.0), ("example-001.value", 3.0)]),
+            (8.0, 0, [("example-000.value", 2.0)]),
+        ]
+    else:
+        assert [tuple(r) for r in rows] == [(7.0, 0.0, 1.0, 3.0), (8.0, 0.0, 2.0, None)]
