@@ -7,31 +7,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def as_timestamp(df: DataFrame, name: str) -> Column:
-    """The event-time column ``name`` of ``df`` as TIMESTAMP.
+_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+_MICROSECOND = "interval '0.000001' second"
+
 
-    TIMESTAMP_NTZ and DATE are read as UTC. Casting them would go through the
-    session zone and lose the hours around daylight-saving changes, so the
-    distance to the epoch is taken instead (pure integer arithmetic). Numbers are
-    epoch seconds.
+def event_time(df: DataFrame, name: str) -> Column:
+    """The event-time column ``name`` of ``df`` as TIMESTAMP or, without a zone, TIMESTAMP_NTZ.
+
+    Both can be windowed. Wall-clock times stay what they are here: turning each
+    of them into a TIMESTAMP costs more than the whole windowing.
     """
     kind = df.schema[name].dataType
     value = F.col(f"`{name}`")
-    if isinstance(kind, T.TimestampType):
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return value
-    if isinstance(kind, (T.TimestampNTZType, T.DateType)):
-        wall_clock = value.cast("timestamp_ntz")
-        since_epoch = wall_clock - F.expr("timestamp_ntz'1970-01-01 00:00:00'")
-        micros = F.call_function("div", since_epoch, F.expr("interval '0.000001' second"))
-        return F.timestamp_micros(micros)
+    if isinstance(kind, T.DateType):
+        return value.cast("timestamp_ntz")
     if isinstance(kind, T.NumericType):
         return F.timestamp_seconds(value)
     raise TypeError(f"Column {name!r} of type {kind.simpleString()} cannot be an event time.")
 
 
-def epoch_seconds(timestamp: Column) -> Column:
-    """Seconds since 1970-01-01T00:00:00Z, as DOUBLE."""
-    return F.unix_micros(timestamp) / F.lit(1_000_000.0)
+def as_timestamp(df: DataFrame, name: str) -> Column:
+    """The event-time column ``name`` of ``df`` as TIMESTAMP, which a watermark needs.
+
+    TIMESTAMP_NTZ and DATE are read as UTC, numbers as epoch seconds.
+    """
+    value = event_time(df, name)
+    if has_zone(df, name):
+        return value
+    return F.timestamp_micros(_micros_since_epoch(value))
+
+
+def has_zone(df: DataFrame, name: str) -> bool:
+    """Whether :func:`event_time` gives a TIMESTAMP."""
+    return not isinstance(df.schema[name].dataType, (T.TimestampNTZType, T.DateType))
+
+
+def epoch_seconds(timestamp: Column, zoned: bool = True) -> Column:
+    """Seconds since 1970-01-01T00:00:00Z, as DOUBLE; wall-clock time counts as UTC."""
+    micros = F.unix_micros(timestamp) if zoned else _micros_since_epoch(timestamp)
+    return micros / F.lit(1_000_000.0)
+
+
+def _micros_since_epoch(wall_clock: Column) -> Column:
+    # A cast to TIMESTAMP would go through the session zone and lose the hours
+    # around daylight-saving changes; a difference of wall-clock times does not.
+    return F.call_function("div", wall_clock - F.expr(_EPOCH), F.expr(_MICROSECOND))
 
 
 def tumbling(timestamp: Column, size_seconds: int) -> Column:

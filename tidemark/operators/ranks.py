@@ -11,101 +11,132 @@ sorted that way. Instead each wanted rank is enclosed ever more tightly:
 The sketch only steers. The counts are exact, so a poor sketch costs another
 round and never a wrong value; the pivots are values of the group, so every
 round shrinks the zone. When the zone is one value the rank is known; when it is
-small it is sorted. Each round reads the values twice and shuffles only
-aggregates. The state between the rounds (one row per wanted rank) is written to
-the shared folder, because later rounds must see the very same pivots.
+small it is sorted. Each round reads the values twice (once if the first sketch
+is given) and shuffles only aggregates. The state between the rounds, one row
+per wanted rank, is written to the shared folder, because everything that
+follows must see the very same pivots.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.matching import join_on
-from tidemark.storage import written
+from tidemark.storage import measured, written
 
+# A round narrows a zone to about 3/GRID of its values.
 GRID = 1000
-ACCURACY = 10 * GRID
+ACCURACY = 4 * GRID
+
+
+def sketch_of(value: Column) -> Column:
+    """Aggregate: ``GRID + 1`` evenly spaced approximate quantiles of ``value``."""
+    return F.percentile_approx(value, F.lit([i / GRID for i in range(GRID + 1)]), ACCURACY)
 
 
 def values_at_ranks(
-    values: DataFrame, group: Sequence[str], wanted: DataFrame, sort_limit: int
+    values: DataFrame,
+    group: Sequence[str],
+    wanted: DataFrame,
+    sort_limit: int,
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
     """Values at the wanted 1-based ranks of each group, as ``group, rank, value``.
 
     ``values`` has the columns ``group`` and a non-null ``value``. ``wanted`` has
     one row per rank: ``group, rank, lo, hi, size``, the last three being the
     smallest value, the largest and the number of values of the group. At most
-    ``sort_limit`` values of a group are sorted in one task.
+    ``sort_limit`` values of a group are sorted in one task. ``sketches`` may
+    hold :func:`sketch_of` the values of each group as ``group, grid``.
     """
     group = list(group)
-    span = [*group, "lo", "hi"]
-    state = written(wanted.select(*span, "rank", "size", F.lit(0).cast("bigint").alias("below")), "ranks")
-
     wide = (F.col("lo") < F.col("hi")) & (F.col("size") > sort_limit)
-    while not state.where(wide).isEmpty():
-        closer = _enclose(values, group, state.where(wide))
-        state = written(state.where(~wide).unionByName(closer), "ranks")
 
-    known = state.where(F.col("lo") == F.col("hi")).select(*group, "rank", F.col("lo").alias("value"))
-    narrow = state.where(F.col("lo") < F.col("hi"))
-    inside = _inside(values, group, narrow.select(*span).distinct())
-    counted = inside.groupBy(*span, "value").agg(F.count(F.lit(1)).alias("copies"))
-    running = Window.partitionBy(*span).orderBy("value")
-    counted = counted.withColumn("upto", F.sum("copies").over(running))
-    offset = F.col("rank") - F.col("below")
-    hit = (offset > F.col("upto") - F.col("copies")) & (offset <= F.col("upto"))
-    found = join_on(narrow, counted, span, condition=hit).select(*group, "rank", "value")
-    return known.unionByName(found)
+    def keep(state: DataFrame) -> tuple[DataFrame, int]:
+        table, found = measured(state, "ranks", wide=F.count_if(wide))
+        return table, found["wide"]
 
+    start = wanted.select(*group, "rank", "lo", "hi", "size", F.lit(0).cast("bigint").alias("below"))
+    state, n_wide = keep(start)
+    while n_wide:
+        closer = _enclose(values, group, state.where(wide), sketches)
+        state, n_wide = keep(state.where(~wide).unionByName(closer))
+        sketches = None
 
-def _inside(values: DataFrame, group: list[str], spans: DataFrame) -> DataFrame:
-    """The values between ``lo`` and ``hi``, once per span of their group."""
-    between = (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))
-    return join_on(values, spans, group, condition=between)
+    known = state.where(F.col("lo") == F.col("hi")).select(*group, "rank", F.col("lo").alias("value"))
+
+    narrow = _shared(state.where(F.col("lo") < F.col("hi")), [*group, "lo", "hi"], "span")
+    span = [*group, "span"]
+    counted = _inside(values, group, narrow, "span").groupBy(*span, "value").agg(_copies())
+    found = _holding(narrow, counted, span, "value").select(*group, "rank", "value")
+    return known.unionByName(found)
 
 
-def _enclose(values: DataFrame, group: list[str], state: DataFrame) -> DataFrame:
+def _enclose(
+    values: DataFrame, group: list[str], state: DataFrame, sketches: DataFrame | None
+) -> DataFrame:
     """One round: replace the span of every rank by the zone the rank lies in."""
-    span = [*group, "lo", "hi"]
-    steps = F.lit([i / GRID for i in range(GRID + 1)])
-    sketch = (
-        _inside(values, group, state.select(*span).distinct())
-        .groupBy(*span)
-        .agg(F.percentile_approx("value", steps, ACCURACY).alias("grid"))
-    )
+    if sketches is None:
+        state = _shared(state, [*group, "lo", "hi"], "span")
+        span = [*group, "span"]
+        sketches = _inside(values, group, state, "span").groupBy(*span).agg(
+            sketch_of(F.col("value")).alias("grid")
+        )
+        state = join_on(state, sketches, span)
+    else:
+        state = join_on(state, sketches, group)
+
     position = (F.col("rank") - F.col("below")) * GRID / F.col("size")
-    pivots = join_on(state, sketch, span).select(
-        *state.columns,
+    pivots = state.select(
+        *[*group, "rank", "lo", "hi", "size", "below"],
         F.get("grid", F.greatest(F.floor(position) - 1, F.lit(0)).cast("int")).alias("a"),
         F.get("grid", F.least(F.ceil(position) + 1, F.lit(GRID)).cast("int")).alias("b"),
     )
-    pivots = written(pivots, "pivots")
+    pivots = written(_shared(pivots, [*group, "lo", "hi", "a", "b"], "cut"), "pivots")
 
-    cut = [*span, "a", "b"]
-    value = F.col("value")
-    passed = [value >= F.col("a"), value > F.col("a"), value >= F.col("b"), value > F.col("b")]
-    zone = sum((test.cast("int") for test in passed[1:]), passed[0].cast("int"))
+    value, a, b = F.col("value"), F.col("a"), F.col("b")
+    passed = [test.cast("int") for test in (value >= a, value > a, value >= b, value > b)]
+    cut = [*group, "cut"]
     zones = (
-        _inside(values, group, pivots.select(*cut).distinct())
-        .groupBy(*cut, zone.alias("zone"))
-        .agg(
-            F.min("value").alias("zone_lo"),
-            F.max("value").alias("zone_hi"),
-            F.count(F.lit(1)).alias("copies"),
-        )
+        _inside(values, group, pivots, "cut", "a", "b")
+        .groupBy(*cut, sum(passed[1:], passed[0]).alias("zone"))
+        .agg(_copies(), F.min("value").alias("zone_lo"), F.max("value").alias("zone_hi"))
     )
-    running = Window.partitionBy(*cut).orderBy("zone")
-    zones = zones.withColumn("upto", F.sum("copies").over(running))
-    offset = F.col("rank") - F.col("below")
-    hit = (offset > F.col("upto") - F.col("copies")) & (offset <= F.col("upto"))
-    return join_on(pivots, zones, cut, condition=hit).select(
+    return _holding(pivots, zones, cut, "zone").select(
         *group,
+        "rank",
         F.col("zone_lo").alias("lo"),
         F.col("zone_hi").alias("hi"),
-        "rank",
         F.col("copies").alias("size"),
         (F.col("below") + F.col("upto") - F.col("copies")).alias("below"),
     )
+
+
+def _copies() -> Column:
+    return F.count(F.lit(1)).alias("copies")
+
+
+def _shared(state: DataFrame, same: list[str], name: str) -> DataFrame:
+    """Number the ranks that agree on ``same`` alike, by the lowest of them."""
+    return state.withColumn(name, F.min("rank").over(Window.partitionBy(*same)))
+
+
+def _inside(
+    values: DataFrame, group: list[str], state: DataFrame, number: str, *extra: str
+) -> DataFrame:
+    """The values between ``lo`` and ``hi``, once per ``number`` of their group."""
+    ranges = state.where(F.col("rank") == F.col(number)).select(*group, number, "lo", "hi", *extra)
+    between = (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))
+    return join_on(values, ranges, group, condition=between)
+
+
+def _holding(state: DataFrame, counted: DataFrame, part: list[str], order: str) -> DataFrame:
+    """Each rank with the counted row that holds it, rows of a part taken by ``order``."""
+    running = Window.partitionBy(*part).orderBy(order)
+    counted = counted.withColumn("upto", F.sum("copies").over(running))
+    offset = F.col("rank") - F.col("below")
+    holds = (offset > F.col("upto") - F.col("copies")) & (offset <= F.col("upto"))
+    return join_on(state, counted, part, condition=holds)

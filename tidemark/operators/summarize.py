@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import WindowAggregation
-from tidemark.functions.eventtime import as_timestamp, tumbling
+from tidemark.functions.eventtime import as_timestamp, epoch_seconds, event_time, has_zone, tumbling
 from tidemark.functions.stats import STATISTICS, mergeable_operations, order_operations
 from tidemark.operators.matching import join_on
 from tidemark.operators.project import numeric_fields
-from tidemark.operators.ranks import values_at_ranks
-from tidemark.storage import written
+from tidemark.operators.ranks import sketch_of, values_at_ranks
+from tidemark.storage import measured, written
 
 # A window with more messages than this is never gathered in one task.
 MAX_GROUP_ROWS = 50_000
@@ -73,9 +73,10 @@ def summarize(
         eligible = set(numeric_fields(df.schema, numeric, left_out))
         names = [name for name in fields if name in eligible]
 
-    plan = _Plan(tuple(names), window, tuple(keys), len(order_by), on_error == "raise")
+    zoned = df.isStreaming or has_zone(df, time_column)
+    plan = _Plan(tuple(names), window, tuple(keys), len(order_by), on_error == "raise", zoned)
     rows = df.select(
-        as_timestamp(df, time_column).alias(_TIME),
+        (as_timestamp if df.isStreaming else event_time)(df, time_column).alias(_TIME),
         *[F.col(f"`{key}`") for key in keys],
         *[F.col(f"`{column}`").alias(f"__order_{i}") for i, column in enumerate(order_by)],
         *[F.col(f"`{name}`").cast("double").alias(f"__v_{i}") for i, name in enumerate(names)],
@@ -85,10 +86,10 @@ def summarize(
     if df.isStreaming:
         rows = rows.withWatermark(_TIME, f"{window.window_expiration_seconds} seconds")
         sums = rows.groupBy(in_window.alias(_WINDOW), *keys).agg(*plan.aggregates(gather=True))
-        sums = sums.withColumn(_START, F.unix_seconds(F.col(_WINDOW)["start"]))
+        sums = sums.withColumn(_START, F.col(_WINDOW)["start"])
         return plan.output(sums, plan.picks_from_array)
 
-    rows = rows.withColumn(_START, F.unix_seconds(in_window["start"]))
+    rows = rows.withColumn(_START, in_window["start"])
     return _summarize_batch(rows, plan, max_group_rows)
 
 
@@ -101,6 +102,7 @@ class _Plan:
     keys: tuple[str, ...]
     n_order: int
     strict: bool
+    zoned: bool
 
     @property
     def group(self) -> list[str]:
@@ -146,7 +148,7 @@ class _Plan:
         size = float(self.window.window_size_seconds)
         columns = [
             *[F.col(f"`{key}`") for key in self.keys],
-            (F.col(_START) + F.lit(size / 2)).alias("time"),
+            (epoch_seconds(F.col(_START), self.zoned) + F.lit(size / 2)).alias("time"),
             F.lit(size).alias("window_size"),
             F.col(_COUNT).alias("count"),
         ]
@@ -177,13 +179,15 @@ def _summarize_batch(rows: DataFrame, plan: _Plan, max_group_rows: int | None) -
     if not plan.order_ops or not plan.names or max_group_rows is None:
         return gathered(rows)
 
+    # At most (all rows / max_group_rows) groups are hot, so this table is small.
     sizes = rows.groupBy(*plan.group).agg(F.count(F.lit(1)).alias(_COUNT))
-    largest = sizes.agg(F.max(_COUNT)).first()[0] or 0
-    if largest <= max_group_rows:
+    hot, found = measured(
+        sizes.where(F.col(_COUNT) > max_group_rows).select(*plan.group),
+        "hot",
+        groups=F.count(F.lit(1)),
+    )
+    if not found["groups"]:
         return gathered(rows)
-
-    # At most (all rows / max_group_rows) groups are hot, so this table is small.
-    hot = written(sizes.where(F.col(_COUNT) > max_group_rows).select(*plan.group), "hot")
     cold_rows = join_on(rows, hot, plan.group, "left_anti")
     hot_rows = join_on(rows, hot, plan.group, "left_semi")
     return gathered(cold_rows).unionByName(_summarize_hot(hot_rows, plan, max_group_rows))
@@ -194,7 +198,8 @@ def _summarize_hot(rows: DataFrame, plan: _Plan, sort_limit: int) -> DataFrame:
     positions = range(len(plan.names))
     bounds = [F.min(f"__v_{i}").alias(f"__lo_{i}") for i in positions]
     bounds += [F.max(f"__v_{i}").alias(f"__hi_{i}") for i in positions]
-    sums = rows.groupBy(*plan.group).agg(*plan.aggregates(gather=False), *bounds)
+    grids = [sketch_of(F.col(f"__v_{i}")).alias(f"__grid_{i}") for i in positions]
+    sums = rows.groupBy(*plan.group).agg(*plan.aggregates(gather=False), *bounds, *grids)
     sums = written(sums, "sums")
 
     slots = [
@@ -217,8 +222,14 @@ def _summarize_hot(rows: DataFrame, plan: _Plan, sort_limit: int) -> DataFrame:
     ]
     values = rows.select(*plan.group, F.inline(F.array(*cells))).where(F.col("value").isNotNull())
 
+    grids = [
+        F.struct(F.lit(i).alias("field"), F.col(f"__grid_{i}").alias("grid")) for i in positions
+    ]
+    sketches = sums.select(*plan.group, F.inline(F.array(*grids)))
+
     by_field = [*plan.group, "field"]
-    found = values_at_ranks(values, by_field, wanted.drop("slot").distinct(), sort_limit)
+    ranks = wanted.drop("slot").distinct()
+    found = values_at_ranks(values, by_field, ranks, sort_limit, sketches)
     placed = join_on(wanted.select(*by_field, "slot", "rank"), found, [*by_field, "rank"])
     picked = placed.groupBy(*plan.group).agg(
         *[

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,6 +36,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     Catalyst the true size, so a join with it is broadcast only when it is
     small enough.
     """
+    return measured(df, label)[0]
+
+
+def measured(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict[str, Any]]:
+    """Like :func:`written`, with aggregates of ``df`` taken by the same job."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    observation = Observation()
+    observed = df.observe(observation, *[c.alias(n) for n, c in measures.items()]) if measures else df
+    observed.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    return table, observation.get if measures else {}
