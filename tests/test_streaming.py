@@ -17,7 +17,13 @@ from tidemark.functions.stats import OPERATIONS
 from tidemark.plans.aggregated import aggregate_topic
 from tidemark.sinks.aggregated import FileSink, TableSink
 from tidemark.sources.topics import files_source
-from tidemark.streaming.queries import start_aggregations, start_passthrough, use_state_store
+from tidemark.streaming.queries import (
+    start_aggregations,
+    start_large_aggregations,
+    start_on_close,
+    start_passthrough,
+    use_state_store,
+)
 
 SCHEMA = T.StructType().add("timestamp", "timestamp").add("time", "double").add("value0", "double")
 ONCE = {"availableNow": True}
@@ -159,3 +165,55 @@ def test_cogroup_of_streams(spark, topics, tmp_path, join):
         ]
     else:
         assert [tuple(r) for r in rows] == [(7.0, 0.0, 1.0, 3.0), (8.0, 0.0, 2.0, None)]
+
+
+@pytest.mark.parametrize("limit", [50_000, 10])
+def test_large_windows_match_batch(spark, topics, tmp_path, limit):
+    out, config = FileSink(str(tmp_path / "out")), config_of("x", "y", size=5)
+    for start in (0, 7, 14):
+        for name in ("x", "y"):
+            topics(name, *[(start + i * 0.07, None, float(i * i % 17)) for i in range(100)])
+        queries = start_large_aggregations(
+            config, topics.source(), out, str(tmp_path / "ckpt"), 8, ONCE, max_group_rows=limit
+        )
+        for query in queries.values():
+            query.awaitTermination()
+    streamed = spark.read.parquet(str(tmp_path / "out/agg"))
+    closed = aggregate_topic(config.get("agg"), topics.batch).where("time < 20")
+    columns = closed.columns
+    assert streamed.columns == [*columns, "batch"] and streamed.select("batch").distinct().count() > 1
+    digits = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in closed.dtypes]
+    assert streamed.count() == closed.count() == 8
+    assert streamed.select(digits).exceptAll(closed.select(digits)).isEmpty()
+
+
+def test_repeated_micro_batch_replaces_its_files(spark, tmp_path):
+    sink, df = FileSink(str(tmp_path)), spark.range(3)
+    for _ in range(2):
+        sink.write_batch(df, "agg", 7)
+    sink.write_batch(df, "agg", 8)
+    assert spark.read.parquet(str(tmp_path / "agg")).groupBy("batch").count().orderBy("batch").collect() == [
+        (7, 3), (8, 3),
+    ]
+
+
+def test_cogroup_on_close(spark, topics, tmp_path):
+    topics("a", *[(i / 1000, 7.0, float(i)) for i in range(300)], (5.0, 1.0, 0.0))
+    topics("b", (0.2, 8.0, 3.0), (5.0, 1.0, 0.0))
+    query = start_on_close(
+        topics.source()(["a", "b"]),
+        WindowAggregation(1),
+        lambda rows: cogroup(rows, window_size_seconds=1, max_group_rows=50),
+        FileSink(str(tmp_path / "out")),
+        "j",
+        str(tmp_path / "ckpt"),
+        4,
+        ONCE,
+    )
+    query.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out/j")).orderBy("time", "part").collect()
+    assert [x["value"] for r in rows if r["time"] == 7.0 for x in r["records"]] == [float(i) for i in range(300)]
+    assert sum(r["time"] == 7.0 for r in rows) > 2
+    assert [x["value"] for r in rows if r["time"] == 8.0 for x in r["records"]] == [3.0]
+    with pytest.raises(ValueError):
+        start_on_close(topics.source()(["a"]), WindowAggregation(1), None, None, "n", "c", 0)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.config import AggregatedTopic, AggregationConfig, SourceTopic
 from tidemark.operators.project import project_topic
-from tidemark.operators.summarize import MAX_GROUP_ROWS, summarize
+from tidemark.operators.summarize import summarize
 from tidemark.sources.topics import TopicSource
 
 
@@ -18,39 +18,49 @@ def aggregate_topic(
     *,
     time_column: str = "timestamp",
     order_by: Sequence[str] = (),
-    exclude: Sequence[str] = (),
-    numeric: str = "all",
-    on_error: str = "null",
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    **options,
 ) -> DataFrame:
     """Summary rows of one aggregated topic.
 
     With one source topic the window alone is the group. With several, the rows
-    carry a ``topic`` column and each topic is summarised on its own.
+    carry a ``topic`` column and each topic is summarised on its own. ``options``
+    are those of :func:`summarize`.
     """
-    keys = ["topic"] if len(topic.source_topics) > 1 else []
-    carry = [time_column, *keys, *order_by]
-    kept = source_messages(topic, source, carry)
+    messages = source_messages(topic, source, time_column, order_by)
+    return summarize_messages(topic, messages, time_column, order_by, **options)
+
+
+def summarize_messages(
+    topic: AggregatedTopic,
+    messages: DataFrame,
+    time_column: str = "timestamp",
+    order_by: Sequence[str] = (),
+    exclude: Sequence[str] = (),
+    **options,
+) -> DataFrame:
+    """Summary rows of messages taken by :func:`source_messages`."""
     return summarize(
-        kept,
+        messages,
         topic.window_aggregation,
         time_column=time_column,
-        keys=keys,
+        keys=_keys(topic),
         order_by=order_by,
         exclude=["topic", *exclude],
-        numeric=numeric,
-        on_error=on_error,
-        max_group_rows=max_group_rows,
+        **options,
     )
 
 
 def source_messages(
-    topic: AggregatedTopic, source: TopicSource, carry: Sequence[str]
+    topic: AggregatedTopic,
+    source: TopicSource,
+    time_column: str = "timestamp",
+    order_by: Sequence[str] = (),
 ) -> DataFrame:
     """Kept and renamed messages of all source topics of ``topic``.
 
     Topics with the same projection are read together, in one scan.
     """
+    carry = [time_column, *_keys(topic), *order_by]
     together: dict[tuple, list[SourceTopic]] = {}
     for one in topic.source_topics:
         together.setdefault((one.fields, tuple(sorted(one.map.items()))), []).append(one)
@@ -64,6 +74,10 @@ def source_messages(
     return messages
 
 
+def _keys(topic: AggregatedTopic) -> list[str]:
+    return ["topic"] if len(topic.source_topics) > 1 else []
+
+
 def aggregate_all(
     config: AggregationConfig, source: TopicSource, **options
 ) -> dict[str, DataFrame]:

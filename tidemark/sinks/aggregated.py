@@ -1,4 +1,8 @@
-"""Writing an aggregated topic, after its schema has been settled with the sink."""
+"""Writing an aggregated topic, after its schema has been settled with the sink.
+
+Every sink writes a frame (``write``), starts a stream (``start``) or takes one
+micro-batch of a stream (``write_batch``).
+"""
 
 from __future__ import annotations
 
@@ -27,6 +31,11 @@ class FileSink:
         writer = df.write.format(self.file_format).options(**self.options)
         writer.mode("append").save(f"{self.root}/{name}")
 
+    def write_batch(self, df: DataFrame, name: str, batch_id: int) -> None:
+        """Replace what an earlier attempt at this micro-batch wrote, if anything."""
+        writer = df.write.format(self.file_format).options(**self.options)
+        writer.mode("overwrite").save(f"{self.root}/{name}/batch={batch_id}")
+
     def start(self, df: DataFrame, name: str, checkpoint: str, trigger: dict) -> StreamingQuery:
         writer = df.writeStream.format(self.file_format).options(**self.options)
         return _start(writer, name, checkpoint, trigger).start(f"{self.root}/{name}")
@@ -46,6 +55,10 @@ class TableSink:
         register_schema(df.sparkSession, self.table(name), df.schema, self.file_format)
         df.write.format(self.file_format).mode("append").saveAsTable(self.table(name))
 
+    def write_batch(self, df: DataFrame, name: str, batch_id: int) -> None:
+        """Append; a repeated micro-batch is appended again."""
+        self.write(df, name)
+
     def start(self, df: DataFrame, name: str, checkpoint: str, trigger: dict) -> StreamingQuery:
         register_schema(df.sparkSession, self.table(name), df.schema, self.file_format)
         writer = df.writeStream.format(self.file_format)
@@ -65,6 +78,10 @@ class KafkaSink:
     def write(self, df: DataFrame, name: str) -> None:
         as_messages(df).write.format("kafka").options(**self._settings(name)).save()
 
+    def write_batch(self, df: DataFrame, name: str, batch_id: int) -> None:
+        """Send; a repeated micro-batch is sent again."""
+        self.write(df, name)
+
     def start(self, df: DataFrame, name: str, checkpoint: str, trigger: dict) -> StreamingQuery:
         writer = as_messages(df).writeStream.format("kafka").options(**self._settings(name))
         return _start(writer, name, checkpoint, trigger).start()

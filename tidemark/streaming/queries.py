@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.config import AggregationConfig
-from tidemark.plans.aggregated import aggregate_all
+from tidemark.config import AggregationConfig, WindowAggregation
+from tidemark.functions.eventtime import as_timestamp, tumbling
+from tidemark.plans.aggregated import aggregate_all, source_messages, summarize_messages
 from tidemark.sources.topics import TopicSource
+from tidemark.storage import measured
 
 # Spark's state store providers under the names used in configurations.
 STATE_STORES = {
@@ -38,6 +42,10 @@ def start_aggregations(
 
     ``trigger`` takes the arguments of ``DataStreamWriter.trigger``. Restarting
     with the same checkpoint root continues where the queries stopped.
+
+    Quartiles and median keep the values of an open window in one state row per
+    topic. Use :func:`start_large_aggregations` where a topic sends more than a
+    task can hold within a window.
     """
     frames = aggregate_all(config, source, **options)
     return {
@@ -46,6 +54,80 @@ def start_aggregations(
     }
 
 
+def start_large_aggregations(
+    config: AggregationConfig,
+    source: TopicSource,
+    sink,
+    checkpoint_root: str,
+    buckets: int,
+    trigger: Mapping | None = None,
+    time_column: str = "timestamp",
+    order_by: Sequence[str] = (),
+    **options,
+) -> dict[str, StreamingQuery]:
+    """Like :func:`start_aggregations`, for windows of any size.
+
+    The messages of an open window are kept in ``buckets`` state rows, and the
+    closed window is summarised by the batch plan.
+    """
+    started = {}
+    for topic in config.aggregated_topics:
+        started[topic.name] = start_on_close(
+            source_messages(topic, source, time_column, order_by),
+            topic.window_aggregation,
+            partial(
+                summarize_messages, topic, time_column=time_column, order_by=order_by, **options
+            ),
+            sink,
+            topic.name,
+            checkpoint_root,
+            buckets,
+            trigger,
+            time_column,
+        )
+    return started
+
+
+def start_on_close(
+    messages: DataFrame,
+    window: WindowAggregation,
+    compute: Callable[[DataFrame], DataFrame],
+    sink,
+    name: str,
+    checkpoint_root: str,
+    buckets: int,
+    trigger: Mapping | None = None,
+    time_column: str = "timestamp",
+) -> StreamingQuery:
+    """Apply the batch plan ``compute`` to the messages of every window that closes.
+
+    Messages go to buckets by the hash of their content, so no state row holds
+    more than a share of a window whatever its keys are. Exact copies share a
+    bucket unless a column such as the offset tells them apart.
+    """
+    if buckets < 1:
+        raise ValueError("buckets must be at least 1.")
+    columns = [F.col(f"`{column}`") for column in messages.columns]
+    at, bucket = "__at", F.pmod(F.xxhash64(*columns), F.lit(buckets))
+    closed = (
+        messages.withColumn(at, as_timestamp(messages, time_column))
+        .withWatermark(at, f"{window.window_expiration_seconds} seconds")
+        .groupBy(tumbling(F.col(at), window.window_size_seconds), bucket.alias("__bucket"))
+        .agg(F.collect_list(F.struct(*columns)).alias("__messages"))
+    )
+
+    def emit(batch: DataFrame, batch_id: int) -> None:
+        rows, found = measured(
+            batch.select(F.inline("__messages")), "closed", rows=F.count(F.lit(1))
+        )
+        if found["rows"]:
+            sink.write_batch(compute(rows), name, batch_id)
+
+    writer = closed.writeStream.outputMode("append").queryName(name).foreachBatch(emit)
+    writer = writer.option("checkpointLocation", f"{checkpoint_root}/{name}")
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
 def start_passthrough(
     messages: DataFrame, name: str, sink, checkpoint_root: str, trigger: Mapping | None = None
 ) -> StreamingQuery:
