@@ -298,7 +298,7 @@ def queries() -> dict[str, Query]:
         ),
         "summary_lineitem": _lineitem_summary(MONTH),
         "summary_one_window": _lineitem_summary(DECADE, fields=LINEITEM_MEASURES),
-        "quartiles_ranked": _event_summary(("q1", "median", "q3"), size=DAY, max_group_rows=100),
+        "quartiles_ranked": _event_summary(("q1", "median", "q3"), size=DAY, max_group_values=100),
         "project_fields": _configured(("value", "user_id")),
         "rename_fields": _configured(("value", "user_id"), {"value": "amount"}),
         "numeric_fields": _numeric_fields("all"),

@@ -174,7 +174,7 @@ def test_large_windows_match_batch(spark, topics, tmp_path, limit):
         for name in ("x", "y"):
             topics(name, *[(start + i * 0.07, None, float(i * i % 17)) for i in range(100)])
         queries = start_large_aggregations(
-            config, topics.source(), out, str(tmp_path / "ckpt"), 8, ONCE, max_group_rows=limit
+            config, topics.source(), out, str(tmp_path / "ckpt"), 8, ONCE, max_group_values=limit
         )
         for query in queries.values():
             query.awaitTermination()

@@ -177,7 +177,7 @@ def test_against_python(messages, limit):
         for i, value in enumerate(values)
     ]
     df = messages(rows, "key string, value double, other double")
-    out = summarize(df, window(), keys=["key"], max_group_rows=limit).collect()
+    out = summarize(df, window(), keys=["key"], max_group_values=limit).collect()
     assert len(out) == len(groups)
     for row in out:
         values = groups[int(row["time"] - 0.5), row["key"]]
@@ -200,14 +200,14 @@ def test_one_group_far_above_the_limit(spark):
         .alias("value"),
     )
     values = [row[0] for row in df.select("value").collect()]
-    out = summarize(df, window(("q1", "median", "q3")), max_group_rows=50).collect()[0]
+    out = summarize(df, window(("q1", "median", "q3")), max_group_values=50).collect()[0]
     for op in ("q1", "median", "q3"):
         assert out[f"{op}_value"] == PYTHON[op](values)
 
 
 def test_constant_group_above_the_limit(spark):
     df = spark.range(500).select(F.timestamp_seconds(F.lit(0)).alias("timestamp"), F.lit(3.5).alias("v"))
-    out = summarize(df, window(), max_group_rows=10).collect()[0]
+    out = summarize(df, window(), max_group_values=10).collect()[0]
     assert (out["q1_v"], out["median_v"], out["q3_v"], out["stdev_v"]) == (3.5, 3.5, 3.5, 0.0)
 
 
@@ -228,6 +228,6 @@ def test_sorted_values_are_gathered_once_per_field(messages):
 
 def test_a_hot_plan_never_gathers_the_hot_group(messages):
     rows = [(0.0, float(i)) for i in range(100)]
-    out = summarize(messages(rows, "value double"), window(), max_group_rows=10)
+    out = summarize(messages(rows, "value double"), window(), max_group_values=10)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan  # the rows of hot groups do not reach collect_list

@@ -16,8 +16,9 @@ from tidemark.operators.project import numeric_fields
 from tidemark.operators.ranks import sketch_of, values_at_ranks
 from tidemark.storage import measured, written
 
-# A window with more messages than this is never gathered in one task.
-MAX_GROUP_ROWS = 50_000
+# A group with more values than this (messages x fields) is never gathered in one
+# task. A task holds up to 128 groups at a time before it falls back to sorting.
+MAX_GROUP_VALUES = 100_000
 
 _TIME, _WINDOW, _START, _COUNT = "__time", "__window", "__start", "__count"
 
@@ -35,7 +36,7 @@ def summarize(
     order_by: Sequence[str] = (),
     numeric: str = "all",
     on_error: str = "null",
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    max_group_values: int | None = MAX_GROUP_VALUES,
 ) -> DataFrame:
     """One row per window and key: ``keys, time, window_size, count, {op}_{field}...``.
 
@@ -56,10 +57,11 @@ def summarize(
     on_error
         ``null``, or ``raise`` to fail when a statistic is undefined for the
         values there are (the standard deviation of one value).
-    max_group_rows
-        Batch only. Larger groups get their quartiles and median by distributed
-        selection instead of a sorted array, with the same result. ``None``
-        promises that all groups fit in a task and saves the counting job.
+    max_group_values
+        Batch only. Groups with more values (messages times fields) get their
+        quartiles and median by distributed selection instead of a sorted array,
+        with the same result. ``None`` promises that all groups fit in a task and
+        saves the counting job.
     """
     if on_error not in ("null", "raise"):
         raise ValueError(f"on_error must be 'null' or 'raise', not {on_error!r}")
@@ -90,7 +92,7 @@ def summarize(
         return plan.output(sums, plan.picks_from_array)
 
     rows = rows.withColumn(_START, in_window["start"])
-    return _summarize_batch(rows, plan, max_group_rows)
+    return _summarize_batch(rows, plan, max_group_values)
 
 
 @dataclass(frozen=True)
@@ -171,13 +173,14 @@ class _Plan:
         return F.when(n >= self.window.min_sample_size, value).otherwise(F.col(f"__first_{i}"))
 
 
-def _summarize_batch(rows: DataFrame, plan: _Plan, max_group_rows: int | None) -> DataFrame:
+def _summarize_batch(rows: DataFrame, plan: _Plan, max_group_values: int | None) -> DataFrame:
     def gathered(part: DataFrame) -> DataFrame:
         sums = part.groupBy(*plan.group).agg(*plan.aggregates(gather=True))
         return plan.output(sums, plan.picks_from_array)
 
-    if not plan.order_ops or not plan.names or max_group_rows is None:
+    if not plan.order_ops or not plan.names or max_group_values is None:
         return gathered(rows)
+    max_group_rows = max(1, max_group_values // len(plan.names))
 
     # At most (all rows / max_group_rows) groups are hot, so this table is small.
     sizes = rows.groupBy(*plan.group).agg(F.count(F.lit(1)).alias(_COUNT))
