@@ -74,11 +74,9 @@ def _event_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    def column(name: str, kind: str) -> Column:
-        value = F.col(f"`{name}`")
-        return F.round(value, 6).alias(name) if kind == "double" else value
-
-    return df.select(*[column(name, kind) for name, kind in df.dtypes])
+    return df.selectExpr(
+        *[f"round(`{n}`, 6) AS `{n}`" if kind == "double" else f"`{n}`" for n, kind in df.dtypes]
+    )
 
 
 def _hourly(operations=OPERATIONS, **window) -> WindowAggregation:

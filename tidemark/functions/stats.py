@@ -7,6 +7,10 @@ An *order* statistic needs the values at a few ranks of the sorted group. It
 says which ranks it wants for a group of ``n`` values and how to combine the
 values found there. Small groups read them from a sorted array; large groups
 get them from :mod:`tidemark.operators.ranks` without ever being gathered.
+
+Everything here is SQL text over the names or expressions handed in: a topic may
+have hundreds of fields, and parsing text is much cheaper than building the same
+expressions call by call from Python.
 """
 
 from __future__ import annotations
@@ -14,23 +18,28 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 
 @dataclass(frozen=True)
 class Mergeable:
-    """Statistic given by one built-in aggregate function."""
+    """Statistic given by one built-in aggregate function.
+
+    ``rank`` tells where its value stands among the sorted values, if it does;
+    where those are at hand anyway, it is read there.
+    """
+
+    function: str
+    rank: Callable[[str], str] | None = None
 
-    aggregate: Callable[[Column], Column]
+    def aggregate(self, value: str) -> str:
+        return f"{self.function}({value})"
 
 
 @dataclass(frozen=True)
 class OrderStatistic:
-    """Statistic given by the values at certain 1-based ranks."""
+    """Statistic given by the values at two 1-based ranks."""
 
-    ranks: Callable[[Column], Sequence[Column]]
-    combine: Callable[[Column, Sequence[Column]], Column]
+    ranks: Callable[[str], tuple[str, str]]
+    combine: Callable[[str, Sequence[str]], str]
 
 
 def _quartile(k: int) -> OrderStatistic:
@@ -40,17 +49,15 @@ def _quartile(k: int) -> OrderStatistic:
     extrapolate; a single value has no quartile (NULL).
     """
 
-    def lower(n: Column) -> Column:
-        position = F.floor(F.lit(k) * (n + 1) / 4)
-        return F.greatest(F.least(position, n - 1), F.lit(1)).cast("bigint")
+    def lower(n: str) -> str:
+        return f"greatest(least(({k} * ({n} + 1)) div 4, {n} - 1), 1L)"
 
-    def ranks(n: Column) -> list[Column]:
-        return [lower(n), lower(n) + 1]
+    def ranks(n: str) -> tuple[str, str]:
+        return lower(n), f"{lower(n)} + 1"
 
-    def combine(n: Column, values: Sequence[Column]) -> Column:
-        weight = F.lit(k) * (n + 1) - 4 * lower(n)
-        below, above = values
-        return (below * (4 - weight) + above * weight) / 4
+    def combine(n: str, values: Sequence[str]) -> str:
+        weight = f"({k} * ({n} + 1) - 4 * {lower(n)})"
+        return f"({values[0]} * (4 - {weight}) + {values[1]} * {weight}) / 4"
 
     return OrderStatistic(ranks, combine)
 
@@ -58,24 +65,23 @@ def _quartile(k: int) -> OrderStatistic:
 def _median() -> OrderStatistic:
     """Middle value, or the mean of the two middle values."""
 
-    def ranks(n: Column) -> list[Column]:
-        half = F.floor((n + 1) / 2).cast("bigint")
-        return [half, n + 1 - half]
+    def ranks(n: str) -> tuple[str, str]:
+        return f"({n} + 1) div 2", f"{n} + 1 - ({n} + 1) div 2"
 
-    def combine(n: Column, values: Sequence[Column]) -> Column:
-        return (values[0] + values[1]) / 2
+    def combine(n: str, values: Sequence[str]) -> str:
+        return f"({values[0]} + {values[1]}) / 2"
 
     return OrderStatistic(ranks, combine)
 
 
 STATISTICS: dict[str, Mergeable | OrderStatistic] = {
-    "min": Mergeable(F.min),
+    "min": Mergeable("min", rank=lambda n: "1"),
     "q1": _quartile(1),
-    "mean": Mergeable(F.avg),
+    "mean": Mergeable("avg"),
     "median": _median(),
     "q3": _quartile(3),
-    "stdev": Mergeable(F.stddev_samp),
-    "max": Mergeable(F.max),
+    "stdev": Mergeable("stddev_samp"),
+    "max": Mergeable("max", rank=lambda n: n),
 }
 
 OPERATIONS: tuple[str, ...] = tuple(STATISTICS)

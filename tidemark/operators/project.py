@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.config import SourceTopic
+from tidemark.functions.quoting import quoted
 
 # Fixed names: columns every summary row has, hence never aggregated.
 RESERVED_FIELDS = ("time", "window_size", "count")
@@ -31,10 +31,8 @@ def project_topic(df: DataFrame, source: SourceTopic, carry: Sequence[str] = ())
     clashes = sorted({name for name in outputs if outputs.count(name) > 1})
     if clashes:
         raise ValueError(f"Topic {source.name!r} would have several columns called {clashes}")
-    return df.select(
-        *[F.col(f"`{name}`") for name in passed],
-        *[F.col(f"`{name}`").alias(source.map.get(name, name)) for name in fields],
-    )
+    renamed = [f"{quoted(name)} AS {quoted(source.map.get(name, name))}" for name in fields]
+    return df.selectExpr(*map(quoted, passed), *renamed)
 
 
 def numeric_fields(

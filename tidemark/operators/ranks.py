@@ -32,9 +32,10 @@ GRID = 1000
 ACCURACY = 4 * GRID
 
 
-def sketch_of(value: Column) -> Column:
-    """Aggregate: ``GRID + 1`` evenly spaced approximate quantiles of ``value``."""
-    return F.percentile_approx(value, F.lit([i / GRID for i in range(GRID + 1)]), ACCURACY)
+def sketch_of(value: str) -> str:
+    """SQL aggregate: ``GRID + 1`` evenly spaced approximate quantiles of ``value``."""
+    steps = ", ".join(f"{i / GRID}D" for i in range(GRID + 1))
+    return f"percentile_approx({value}, array({steps}), {ACCURACY})"
 
 
 def values_at_ranks(
@@ -83,7 +84,7 @@ def _enclose(
         state = _shared(state, [*group, "lo", "hi"], "span")
         span = [*group, "span"]
         sketches = _inside(values, group, state, "span").groupBy(*span).agg(
-            sketch_of(F.col("value")).alias("grid")
+            F.expr(sketch_of("value")).alias("grid")
         )
         state = join_on(state, sketches, span)
     else:

@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import WindowAggregation
-from tidemark.functions.eventtime import as_timestamp, epoch_seconds, event_time, has_zone, tumbling
+from tidemark.functions.eventtime import (
+    as_timestamp,
+    epoch_seconds,
+    event_time,
+    has_zone,
+    tumbling,
+)
+from tidemark.functions.quoting import quoted, text
 from tidemark.functions.stats import STATISTICS, mergeable_operations, order_operations
 from tidemark.operators.matching import join_on
 from tidemark.operators.project import numeric_fields
@@ -22,7 +29,8 @@ MAX_GROUP_VALUES = 100_000
 
 _TIME, _WINDOW, _START, _COUNT = "__time", "__window", "__start", "__count"
 
-Picks = Callable[[int, str], list[Column]]
+# (position of the field, operation) -> SQL of the values at the operation's ranks
+Picks = Callable[[int, str], Sequence[str]]
 
 
 def summarize(
@@ -77,17 +85,17 @@ def summarize(
 
     zoned = df.isStreaming or has_zone(df, time_column)
     plan = _Plan(tuple(names), window, tuple(keys), len(order_by), on_error == "raise", zoned)
+    values = [f"CAST({quoted(name)} AS DOUBLE) AS __v_{i}" for i, name in enumerate(names)]
+    order = [f"{quoted(column)} AS __order_{i}" for i, column in enumerate(order_by)]
     rows = df.select(
         (as_timestamp if df.isStreaming else event_time)(df, time_column).alias(_TIME),
-        *[F.col(f"`{key}`") for key in keys],
-        *[F.col(f"`{column}`").alias(f"__order_{i}") for i, column in enumerate(order_by)],
-        *[F.col(f"`{name}`").cast("double").alias(f"__v_{i}") for i, name in enumerate(names)],
+        *[F.expr(column) for column in [*map(quoted, keys), *order, *values]],
     )
     in_window = tumbling(F.col(_TIME), window.window_size_seconds)
 
     if df.isStreaming:
         rows = rows.withWatermark(_TIME, f"{window.window_expiration_seconds} seconds")
-        sums = rows.groupBy(in_window.alias(_WINDOW), *keys).agg(*plan.aggregates(gather=True))
+        sums = plan.gathered(rows, [in_window.alias(_WINDOW), *keys])
         sums = sums.withColumn(_START, F.col(_WINDOW)["start"])
         return plan.output(sums, plan.picks_from_array)
 
@@ -97,7 +105,7 @@ def summarize(
 
 @dataclass(frozen=True)
 class _Plan:
-    """Column expressions of one summary. Fields are addressed by position."""
+    """Expressions of one summary. Fields are addressed by position."""
 
     names: tuple[str, ...]
     window: WindowAggregation
@@ -114,69 +122,101 @@ class _Plan:
     def order_ops(self) -> list[str]:
         return order_operations(self.window.operations)
 
-    def aggregates(self, gather: bool) -> list[Column]:
-        """Aggregates of a group; ``gather`` adds the sorted values if they are needed."""
-        columns = [F.count(F.lit(1)).alias(_COUNT)]
+    @property
+    def mergeable_ops(self) -> list[str]:
+        return mergeable_operations(self.window.operations)
+
+    def summed(self, rows: DataFrame, *extra: str) -> DataFrame:
+        """Mergeable aggregates of every group: number of values, first value, statistics."""
+        return self._aggregated(rows, self.group, [*self._sums(), *extra])
+
+    def gathered(self, rows: DataFrame, group: Sequence) -> DataFrame:
+        """The same with the sorted values of every group, from which most of it is read."""
+        if not self.order_ops:
+            return self._aggregated(rows, group, self._sums())
+        ranked = {
+            op: STATISTICS[op].rank for op in self.mergeable_ops if STATISTICS[op].rank is not None
+        }
+        columns, read = [], ["*"]
+        for i in range(len(self.names)):
+            columns.append(f"sort_array(collect_list(__v_{i})) AS __sorted_{i}")
+            columns += [
+                f"{STATISTICS[op].aggregate(f'__v_{i}')} AS __{op}_{i}"
+                for op in self.mergeable_ops
+                if op not in ranked
+            ]
+            n = f"size(__sorted_{i})"
+            read.append(f"CAST({n} AS BIGINT) AS __n_{i}")
+            read += [f"{self._at(i, rank(n))} AS __{op}_{i}" for op, rank in ranked.items()]
+            if self._first_is_lowest:
+                read.append(f"{self._at(i, '1')} AS __first_{i}")
+            else:
+                columns.append(f"{self._first(i)} AS __first_{i}")
+        return self._aggregated(rows, group, columns).selectExpr(*read)
+
+    def _aggregated(self, rows: DataFrame, group: Sequence, columns: list[str]) -> DataFrame:
+        everything = [f"count(1) AS {_COUNT}", *columns]
+        return rows.groupBy(*group).agg(*[F.expr(column) for column in everything])
+
+    def _sums(self) -> list[str]:
+        columns = []
         for i in range(len(self.names)):
-            value = F.col(f"__v_{i}")
-            columns += [F.count(value).alias(f"__n_{i}"), self._first(value).alias(f"__first_{i}")]
+            columns += [f"count(__v_{i}) AS __n_{i}", f"{self._first(i)} AS __first_{i}"]
             columns += [
-                STATISTICS[op].aggregate(value).alias(f"__{op}_{i}")
-                for op in mergeable_operations(self.window.operations)
+                f"{STATISTICS[op].aggregate(f'__v_{i}')} AS __{op}_{i}" for op in self.mergeable_ops
             ]
-            if gather and self.order_ops:
-                columns.append(F.sort_array(F.collect_list(value)).alias(f"__sorted_{i}"))
         return columns
 
-    def _first(self, value: Column) -> Column:
-        """Value used by groups of fewer than ``min_sample_size`` values.
+    @property
+    def _first_is_lowest(self) -> bool:
+        """With a minimum of 2, a group that needs its first value has a single one."""
+        return self.window.min_sample_size <= 2
+
+    def _first(self, i: int) -> str:
+        """Value used by groups of fewer than ``min_sample_size`` values."""
+        if self._first_is_lowest:
+            return f"min(__v_{i})"
+        ties = [f"__order_{k}" for k in range(self.n_order)]
+        arrival = f"struct({', '.join([_TIME, *ties])})" if ties else _TIME
+        return f"min_by(__v_{i}, CASE WHEN __v_{i} IS NOT NULL THEN {arrival} END)"
 
-        With a minimum of 2 such a group has a single value, so a plain minimum
-        finds it and the aggregation stays a hash aggregation.
-        """
-        if self.window.min_sample_size <= 2:
-            return F.min(value)
-        arrival = F.col(_TIME)
-        if self.n_order:
-            arrival = F.struct(_TIME, *[f"__order_{i}" for i in range(self.n_order)])
-        return F.min_by(value, F.when(value.isNotNull(), arrival))
+    def _at(self, i: int, rank: str) -> str:
+        return f"get(__sorted_{i}, CAST({rank} - 1 AS INT))"
 
-    def picks_from_array(self, i: int, op: str) -> list[Column]:
-        ranks = STATISTICS[op].ranks(F.col(f"__n_{i}"))
-        return [F.get(f"__sorted_{i}", (rank - 1).cast("int")) for rank in ranks]
+    def picks_from_array(self, i: int, op: str) -> list[str]:
+        return [self._at(i, rank) for rank in STATISTICS[op].ranks(f"__n_{i}")]
 
     def output(self, sums: DataFrame, picks: Picks) -> DataFrame:
         """Final columns from the aggregates."""
         size = float(self.window.window_size_seconds)
-        columns = [
-            *[F.col(f"`{key}`") for key in self.keys],
-            (epoch_seconds(F.col(_START), self.zoned) + F.lit(size / 2)).alias("time"),
-            F.lit(size).alias("window_size"),
-            F.col(_COUNT).alias("count"),
+        statistics = [
+            f"{self._statistic(i, op, picks)} AS {quoted(f'{op}_{name}')}"
+            for i, name in enumerate(self.names)
+            for op in self.window.operations
         ]
-        for i, name in enumerate(self.names):
-            columns += [
-                self._statistic(i, op, picks).alias(f"{op}_{name}")
-                for op in self.window.operations
-            ]
-        return sums.select(*columns)
+        middle = epoch_seconds(F.col(_START), self.zoned) + F.lit(size / 2)
+        return sums.withColumn(_START, middle).selectExpr(
+            *map(quoted, self.keys),
+            f"{_START} AS time",
+            f"DOUBLE({size}) AS window_size",
+            f"{_COUNT} AS count",
+            *statistics,
+        )
 
-    def _statistic(self, i: int, op: str, picks: Picks) -> Column:
-        n = F.col(f"__n_{i}")
+    def _statistic(self, i: int, op: str, picks: Picks) -> str:
+        value = f"__{op}_{i}"
         if op in self.order_ops:
-            value = STATISTICS[op].combine(n, picks(i, op))
-        else:
-            value = F.col(f"__{op}_{i}")
+            value = STATISTICS[op].combine(f"__n_{i}", picks(i, op))
         if self.strict:
-            message = F.lit(f"Cannot compute {op} of {self.names[i]} in a window.")
-            value = F.when(value.isNull(), F.raise_error(message)).otherwise(value)
-        return F.when(n >= self.window.min_sample_size, value).otherwise(F.col(f"__first_{i}"))
+            message = text(f"Cannot compute {op} of {self.names[i]} in a window.")
+            value = f"coalesce({value}, raise_error({message}))"
+        minimum = self.window.min_sample_size
+        return f"CASE WHEN __n_{i} >= {minimum} THEN {value} ELSE __first_{i} END"
 
 
 def _summarize_batch(rows: DataFrame, plan: _Plan, max_group_values: int | None) -> DataFrame:
     def gathered(part: DataFrame) -> DataFrame:
-        sums = part.groupBy(*plan.group).agg(*plan.aggregates(gather=True))
-        return plan.output(sums, plan.picks_from_array)
+        return plan.output(plan.gathered(part, plan.group), plan.picks_from_array)
 
     if not plan.order_ops or not plan.names or max_group_values is None:
         return gathered(rows)
@@ -198,53 +238,52 @@ def _summarize_batch(rows: DataFrame, plan: _Plan, max_group_values: int | None)
 
 def _summarize_hot(rows: DataFrame, plan: _Plan, sort_limit: int) -> DataFrame:
     """Groups too large for one task: mergeable aggregates plus selected ranks."""
-    positions = range(len(plan.names))
-    bounds = [F.min(f"__v_{i}").alias(f"__lo_{i}") for i in positions]
-    bounds += [F.max(f"__v_{i}").alias(f"__hi_{i}") for i in positions]
-    grids = [sketch_of(F.col(f"__v_{i}")).alias(f"__grid_{i}") for i in positions]
-    sums = rows.groupBy(*plan.group).agg(*plan.aggregates(gather=False), *bounds, *grids)
-    sums = written(sums, "sums")
-
-    slots = [
-        F.struct(
-            F.lit(i).alias("field"),
-            F.lit(f"{op}_{k}").alias("slot"),
-            rank.alias("rank"),
-            F.col(f"__lo_{i}").alias("lo"),
-            F.col(f"__hi_{i}").alias("hi"),
-            F.col(f"__n_{i}").alias("size"),
+    fields = range(len(plan.names))
+    slots = [(op, k) for op in plan.order_ops for k in (0, 1)]
+    extra = [
+        column
+        for i in fields
+        for column in (
+            f"min(__v_{i}) AS __lo_{i}",
+            f"max(__v_{i}) AS __hi_{i}",
+            f"{sketch_of(f'__v_{i}')} AS __grid_{i}",
         )
-        for i in positions
-        for op in plan.order_ops
-        for k, rank in enumerate(STATISTICS[op].ranks(F.col(f"__n_{i}")))
     ]
-    wanted = sums.select(*plan.group, F.inline(F.array(*slots)))
-    wanted = wanted.where((F.col("rank") >= 1) & (F.col("rank") <= F.col("size")))
-    cells = [
-        F.struct(F.lit(i).alias("field"), F.col(f"__v_{i}").alias("value")) for i in positions
-    ]
-    values = rows.select(*plan.group, F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+    sums = written(plan.summed(rows, *extra), "sums")
 
-    grids = [
-        F.struct(F.lit(i).alias("field"), F.col(f"__grid_{i}").alias("grid")) for i in positions
-    ]
-    sketches = sums.select(*plan.group, F.inline(F.array(*grids)))
+    def by_field(df: DataFrame, *structs: str) -> DataFrame:
+        groups = [quoted(name) for name in plan.group]
+        return df.selectExpr(*groups, f"inline(array({', '.join(structs)}))")
 
-    by_field = [*plan.group, "field"]
-    ranks = wanted.drop("slot").distinct()
-    found = values_at_ranks(values, by_field, ranks, sort_limit, sketches)
-    placed = join_on(wanted.select(*by_field, "slot", "rank"), found, [*by_field, "rank"])
+    def rank_of(i: int, op: str, k: int) -> str:
+        rank = STATISTICS[op].ranks(f"__n_{i}")[k]
+        return (
+            f"struct({i} AS field, '{op}_{k}' AS slot, {rank} AS rank,"
+            f" __lo_{i} AS lo, __hi_{i} AS hi, __n_{i} AS size)"
+        )
+
+    wanted = by_field(sums, *[rank_of(i, *slot) for i in fields for slot in slots])
+    wanted = wanted.where("rank BETWEEN 1 AND size")
+    sketches = by_field(sums, *[f"struct({i} AS field, __grid_{i} AS grid)" for i in fields])
+    values = by_field(rows, *[f"struct({i} AS field, __v_{i} AS value)" for i in fields])
+
+    group = [*plan.group, "field"]
+    found = values_at_ranks(
+        values.where("value IS NOT NULL"),
+        group,
+        wanted.drop("slot").distinct(),
+        sort_limit,
+        sketches,
+    )
+    placed = join_on(wanted.select(*group, "slot", "rank"), found, [*group, "rank"])
     picked = placed.groupBy(*plan.group).agg(
         *[
-            F.max(
-                F.when((F.col("field") == i) & (F.col("slot") == f"{op}_{k}"), F.col("value"))
-            ).alias(f"__pick_{i}_{op}_{k}")
-            for i in positions
-            for op in plan.order_ops
-            for k in (0, 1)
+            F.expr(f"max(value) FILTER (WHERE field = {i} AND slot = '{op}_{k}') AS __{op}_{k}_{i}")
+            for i in fields
+            for op, k in slots
         ]
     )
     return plan.output(
         join_on(sums, picked, plan.group, "left"),
-        lambda i, op: [F.col(f"__pick_{i}_{op}_{k}") for k in (0, 1)],
+        lambda i, op: [f"__{op}_{k}_{i}" for k in (0, 1)],
     )
