@@ -246,7 +246,7 @@ def _summarize_hot(rows: DataFrame, plan: _Plan, sort_limit: int) -> DataFrame:
         for column in (
             f"min(__v_{i}) AS __lo_{i}",
             f"max(__v_{i}) AS __hi_{i}",
-            f"{sketch_of(f'__v_{i}')} AS __grid_{i}",
+            f"{sketch_of(f'__v_{i}')} AS __sketch_{i}",
         )
     ]
     sums = written(plan.summed(rows, *extra), "sums")
@@ -264,7 +264,7 @@ def _summarize_hot(rows: DataFrame, plan: _Plan, sort_limit: int) -> DataFrame:
 
     wanted = by_field(sums, *[rank_of(i, *slot) for i in fields for slot in slots])
     wanted = wanted.where("rank BETWEEN 1 AND size")
-    sketches = by_field(sums, *[f"struct({i} AS field, __grid_{i} AS grid)" for i in fields])
+    sketches = by_field(sums, *[f"struct({i} AS field, __sketch_{i} AS sketch)" for i in fields])
     values = by_field(rows, *[f"struct({i} AS field, __v_{i} AS value)" for i in fields])
 
     group = [*plan.group, "field"]
