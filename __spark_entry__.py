@@ -41,6 +41,7 @@ from tidemark.operators.topics import (  # noqa: E402
 )
 from tidemark.sinks.aggregated import FileSink  # noqa: E402
 from tidemark.sources.topics import decode_messages, frames_source, tagged_source  # noqa: E402
+from tidemark.plans.aggregated import aggregate_matching  # noqa: E402
 from tidemark.storage import new_path  # noqa: E402
 from tidemark.streaming.queries import start_aggregations  # noqa: E402
 
@@ -160,6 +161,18 @@ def _by_topic(choose: Callable[[DataFrame], DataFrame]) -> Query:
     return run
 
 
+def _aggregate_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(
+        aggregate_matching(
+            _event_topics(spark, sf_dir).select("ts", "topic", "value"),
+            _hourly(),
+            topic_regex="(click|error|view)",
+            excluded_topics=["error"],
+            time_column="ts",
+        )
+    )
+
+
 def _multi_topic_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic = AggregatedTopic(
         name="aggregated_amounts",
@@ -305,6 +318,7 @@ def queries() -> dict[str, Query]:
         "source_topic_filter": _source_topic_filter,
         "topic_regex_select": _by_topic(lambda df: match_topics(df, "(click|view|err)")),
         "topic_exclude": _by_topic(lambda df: exclude_topics(df, ["error", "signup"])),
+        "aggregate_matching": _aggregate_matching,
         "multi_topic_union": _multi_topic_union,
         "multi_config": _multi_config,
         "cogroup_topics": _cogroup_topics,
@@ -375,6 +389,11 @@ def oracle_sql() -> dict[str, str]:
             **all_events, fields=value, operations=("mean", "stdev"), **by_topic,
             where="event_type NOT IN ('error', 'signup')",
         ),
+        "aggregate_matching": f"""
+            SELECT topic || '-aggregated' AS aggregated_topic, * FROM ({_summary_sql(
+                **all_events, fields=value, operations=OPERATIONS, **by_topic,
+                where="event_type IN ('click', 'view')",
+            )})""",
         "multi_topic_union": _summary_sql(
             amounts, "ts", DAY, same(["amount", "user_id"]), OPERATIONS, keys={"topic": "topic"}
         ),

@@ -1,7 +1,7 @@
 import pytest
 
 from tidemark import AggregatedTopic, AggregationConfig, SourceTopic, WindowAggregation
-from tidemark.plans.aggregated import aggregate_all, aggregate_topic
+from tidemark.plans.aggregated import aggregate_all, aggregate_matching, aggregate_topic
 from tidemark.sources.topics import frames_source, tagged_source
 
 
@@ -70,3 +70,17 @@ def test_all_entries_of_a_configuration(frames):
 def test_unknown_topic_raises(frames):
     with pytest.raises(KeyError):
         aggregate_topic(AggregatedTopic("a", (SourceTopic("nope", ("x",)),)), frames_source(frames))
+
+
+def test_matching_topics(messages):
+    rows = [(0.1 * i, name, float(i)) for i in range(4) for name in ("lab.a", "lab.b", "hall", "lab.c")]
+    df = messages(rows, "topic string, value double")
+    out = aggregate_matching(
+        df, WindowAggregation(), topic_regex=r"lab\..", excluded_topics=["lab.b"],
+        name_format="agg.{source_topic_name}.1s",
+    )
+    assert out.columns == ["aggregated_topic", "topic", "time", "window_size", "count", "mean_value"]
+    assert values(out, "aggregated_topic", "topic", "count", "mean_value") == [
+        ("agg.lab.a.1s", "lab.a", 4, 1.5), ("agg.lab.c.1s", "lab.c", 4, 1.5),
+    ]
+    assert aggregate_matching(df, WindowAggregation()).count() == 4

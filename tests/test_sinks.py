@@ -47,8 +47,13 @@ def test_table_sink(spark, df, table):
 
 
 def test_file_sink(spark, df, tmp_path):
-    FileSink(str(tmp_path)).write(df, "example-aggregated")
-    assert spark.read.parquet(str(tmp_path / "example-aggregated")).collect() == [(0.5, 2, None)]
+    sink = FileSink(str(tmp_path))
+    sink.write(df, "example-aggregated")
+    sink.write(df, "example-aggregated")
+    assert spark.read.parquet(str(tmp_path / "example-aggregated")).collect() == [(0.5, 2, None)] * 2
+    with pytest.raises(SchemaMismatch):
+        sink.write(df.drop("count"), "example-aggregated")
+    sink.write(df.drop("count"), "another")
 
 
 def test_messages_are_json_with_nulls(df):

@@ -129,6 +129,17 @@ def test_odd_column_names(messages):
     assert rows_of(summarize(df, window(("mean", "median"))))[0]["median_a.b c"] == 2.0
 
 
+@pytest.mark.parametrize("limit", [None, 2])
+def test_names_used_inside_do_not_clash(messages, limit):
+    df = messages(
+        [(0.1 * i, "k", "g", float(i), 2.0 * i) for i in range(7)],
+        "rank string, `a.b` string, value double, lo double",
+    )
+    out = summarize(df, window(), keys=["rank", "a.b"], max_group_values=limit)
+    row = rows_of(out)[0]
+    assert (row["rank"], row["a.b"], row["median_value"], row["q3_lo"]) == ("k", "g", 3.0, 10.0)
+
+
 def test_nulls_are_skipped_but_counted(messages):
     rows = [(0.0, 1.0, None), (0.1, None, None), (0.2, 3.0, None)]
     out = rows_of(summarize(messages(rows, "a double, b double"), window()))[0]

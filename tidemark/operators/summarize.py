@@ -85,17 +85,18 @@ def summarize(
 
     zoned = df.isStreaming or has_zone(df, time_column)
     plan = _Plan(tuple(names), window, tuple(keys), len(order_by), on_error == "raise", zoned)
+    by = [f"{quoted(key)} AS __key_{i}" for i, key in enumerate(keys)]
     values = [f"CAST({quoted(name)} AS DOUBLE) AS __v_{i}" for i, name in enumerate(names)]
     order = [f"{quoted(column)} AS __order_{i}" for i, column in enumerate(order_by)]
     rows = df.select(
         (as_timestamp if df.isStreaming else event_time)(df, time_column).alias(_TIME),
-        *[F.expr(column) for column in [*map(quoted, keys), *order, *values]],
+        *[F.expr(column) for column in [*by, *order, *values]],
     )
     in_window = tumbling(F.col(_TIME), window.window_size_seconds)
 
     if df.isStreaming:
         rows = rows.withWatermark(_TIME, f"{window.window_expiration_seconds} seconds")
-        sums = plan.gathered(rows, [in_window.alias(_WINDOW), *keys])
+        sums = plan.gathered(rows, [in_window.alias(_WINDOW), *plan.group[1:]])
         sums = sums.withColumn(_START, F.col(_WINDOW)["start"])
         return plan.output(sums, plan.picks_from_array)
 
@@ -105,7 +106,7 @@ def summarize(
 
 @dataclass(frozen=True)
 class _Plan:
-    """Expressions of one summary. Fields are addressed by position."""
+    """Expressions of one summary. Keys and fields are addressed by position."""
 
     names: tuple[str, ...]
     window: WindowAggregation
@@ -116,7 +117,7 @@ class _Plan:
 
     @property
     def group(self) -> list[str]:
-        return [_START, *self.keys]
+        return [_START, *[f"__key_{i}" for i in range(len(self.keys))]]
 
     @property
     def order_ops(self) -> list[str]:
@@ -196,7 +197,7 @@ class _Plan:
         ]
         middle = epoch_seconds(F.col(_START), self.zoned) + F.lit(size / 2)
         return sums.withColumn(_START, middle).selectExpr(
-            *map(quoted, self.keys),
+            *[f"__key_{i} AS {quoted(key)}" for i, key in enumerate(self.keys)],
             f"{_START} AS time",
             f"DOUBLE({size}) AS window_size",
             f"{_COUNT} AS count",
@@ -252,8 +253,7 @@ def _summarize_hot(rows: DataFrame, plan: _Plan, sort_limit: int) -> DataFrame:
     sums = written(plan.summed(rows, *extra), "sums")
 
     def by_field(df: DataFrame, *structs: str) -> DataFrame:
-        groups = [quoted(name) for name in plan.group]
-        return df.selectExpr(*groups, f"inline(array({', '.join(structs)}))")
+        return df.selectExpr(*plan.group, f"inline(array({', '.join(structs)}))")
 
     def rank_of(i: int, op: str, k: int) -> str:
         rank = STATISTICS[op].ranks(f"__n_{i}")[k]

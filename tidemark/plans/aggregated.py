@@ -5,10 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-
-from tidemark.config import AggregatedTopic, AggregationConfig, SourceTopic
+from pyspark.sql import functions as F
+
+from tidemark.config import (
+    DEFAULT_NAME_FORMAT,
+    AggregatedTopic,
+    AggregationConfig,
+    SourceTopic,
+    WindowAggregation,
+)
 from tidemark.operators.project import project_topic
 from tidemark.operators.summarize import summarize
+from tidemark.operators.topics import exclude_topics, match_topics
 from tidemark.sources.topics import TopicSource
 
 
@@ -86,3 +94,26 @@ def aggregate_all(
         topic.name: aggregate_topic(topic, source, **options)
         for topic in config.aggregated_topics
     }
+
+
+def aggregate_matching(
+    messages: DataFrame,
+    window: WindowAggregation,
+    *,
+    topic_regex: str = ".*",
+    excluded_topics: Sequence[str] = (),
+    name_format: str = DEFAULT_NAME_FORMAT,
+    exclude: Sequence[str] = (),
+    **options,
+) -> DataFrame:
+    """Summary rows of every topic of a tagged frame that matches and is not excluded.
+
+    All topics are summarised in one go, however many there are. The column
+    ``aggregated_topic`` names the topic the row belongs to after aggregation.
+    """
+    chosen = match_topics(messages, topic_regex)
+    if excluded_topics:
+        chosen = exclude_topics(chosen, excluded_topics)
+    rows = summarize(chosen, window, keys=["topic"], exclude=exclude, **options)
+    name = F.replace(F.lit(name_format), F.lit("{source_topic_name}"), F.col("topic"))
+    return rows.select(name.alias("aggregated_topic"), *[F.col(f"`{c}`") for c in rows.columns])

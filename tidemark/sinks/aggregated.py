@@ -6,6 +6,7 @@ micro-batch of a stream (``write_batch``).
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions.quoting import quoted
+
 
 class SchemaMismatch(ValueError):
     """The sink exists with another schema."""
@@ -21,25 +24,31 @@ class SchemaMismatch(ValueError):
 
 @dataclass(frozen=True)
 class FileSink:
-    """Files below ``<root>/<aggregated topic>``."""
+    """Files below ``<root>/<aggregated topic>``; schemas are kept in ``<root>/_schemas``."""
 
     root: str
     file_format: str = "parquet"
     options: dict[str, str] = field(default_factory=dict)
 
     def write(self, df: DataFrame, name: str) -> None:
+        self._register(df, name)
         writer = df.write.format(self.file_format).options(**self.options)
         writer.mode("append").save(f"{self.root}/{name}")
 
     def write_batch(self, df: DataFrame, name: str, batch_id: int) -> None:
         """Replace what an earlier attempt at this micro-batch wrote, if anything."""
+        self._register(df, name)
         writer = df.write.format(self.file_format).options(**self.options)
         writer.mode("overwrite").save(f"{self.root}/{name}/batch={batch_id}")
 
     def start(self, df: DataFrame, name: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+        self._register(df, name)
         writer = df.writeStream.format(self.file_format).options(**self.options)
         return _start(writer, name, checkpoint, trigger).start(f"{self.root}/{name}")
 
+    def _register(self, df: DataFrame, name: str) -> None:
+        register_file_schema(df.sparkSession, f"{self.root}/_schemas/{name}", df.schema, name)
+
 
 @dataclass(frozen=True)
 class TableSink:
@@ -49,7 +58,7 @@ class TableSink:
     file_format: str = "parquet"
 
     def table(self, name: str) -> str:
-        return f"`{self.database}`.`{name}`"
+        return f"{quoted(self.database)}.{quoted(name)}"
 
     def write(self, df: DataFrame, name: str) -> None:
         register_schema(df.sparkSession, self.table(name), df.schema, self.file_format)
@@ -89,7 +98,7 @@ class KafkaSink:
 
 def as_messages(df: DataFrame) -> DataFrame:
     """Rows as JSON in a ``value`` column, nulls included."""
-    return df.select(F.to_json(F.struct(*_quoted(df)), {"ignoreNullFields": "false"}).alias("value"))
+    return df.select(F.to_json(F.struct(*map(quoted, df.columns)), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def register_schema(
@@ -105,24 +114,37 @@ def register_schema(
     except AnalysisException as error:
         if error.getCondition() != "TABLE_OR_VIEW_NOT_FOUND":
             raise
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
         spark.sql(f"CREATE TABLE {table} ({columns}) USING {file_format}")
         return True
+    _require_same(table, present, schema)
+    return False
+
+
+def register_file_schema(spark: SparkSession, path: str, schema: T.StructType, name: str) -> bool:
+    """The same for a folder of files, whose schema is kept as one line of JSON at ``path``."""
+    try:
+        present = spark.read.text(path).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        spark.createDataFrame([(schema.json(),)], "value string").coalesce(1).write.text(path)
+        return True
+    _require_same(name, T.StructType.fromJson(json.loads(present[0])), schema)
+    return False
+
+
+def _require_same(name: str, present: T.StructType, schema: T.StructType) -> None:
     if _shape(present) != _shape(schema):
         raise SchemaMismatch(
-            f"{table} has {present.simpleString()}, the aggregated topic has {schema.simpleString()}"
+            f"{name} has {present.simpleString()}, the aggregated topic has {schema.simpleString()}"
         )
-    return False
 
 
 def _shape(schema: T.StructType) -> list[tuple[str, str]]:
     return [(field.name, field.dataType.simpleString()) for field in schema.fields]
 
 
-def _quoted(df: DataFrame) -> list:
-    return [F.col(f"`{name}`") for name in df.columns]
-
-
 def _start(writer, name: str, checkpoint: str, trigger: dict):
     writer = writer.outputMode("append").queryName(name).option("checkpointLocation", checkpoint)
     return writer.trigger(**trigger) if trigger else writer
