@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,7 +97,8 @@ class KafkaSink:
 
 def as_messages(df: DataFrame) -> DataFrame:
     """Rows as JSON in a ``value`` column, nulls included."""
-    return df.select(F.to_json(F.struct(*map(quoted, df.columns)), {"ignoreNullFields": "false"}).alias("value"))
+    row = F.struct(*map(quoted, df.columns))
+    return df.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("value"))
 
 
 def register_schema(
@@ -109,28 +109,23 @@ def register_schema(
     An existing table must have the same column names and types in the same
     order, else :class:`SchemaMismatch` is raised.
     """
-    try:
-        present = spark.table(table).schema
-    except AnalysisException as error:
-        if error.getCondition() != "TABLE_OR_VIEW_NOT_FOUND":
-            raise
+    if not spark.catalog.tableExists(table):
         columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
         spark.sql(f"CREATE TABLE {table} ({columns}) USING {file_format}")
         return True
-    _require_same(table, present, schema)
+    _require_same(table, spark.table(table).schema, schema)
     return False
 
 
 def register_file_schema(spark: SparkSession, path: str, schema: T.StructType, name: str) -> bool:
     """The same for a folder of files, whose schema is kept as one line of JSON at ``path``."""
-    try:
-        present = spark.read.text(path).first()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        spark.createDataFrame([(schema.json(),)], "value string").coalesce(1).write.text(path)
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        line = spark.createDataFrame([(schema.json(),)], "value string")
+        line.coalesce(1).write.mode("overwrite").text(path)
         return True
-    _require_same(name, T.StructType.fromJson(json.loads(present[0])), schema)
+    present = T.StructType.fromJson(json.loads(spark.read.text(path).first()[0]))
+    _require_same(name, present, schema)
     return False
 
 
