@@ -6,7 +6,14 @@ from pyspark.sql import types as T
 
 from tidemark.operators.project import numeric_fields
 from tidemark.sources.schema import schema_from_avro
-from tidemark.sources.topics import decode_messages, files_source, frames_source, tagged_source
+from tidemark.sources.topics import (
+    check_fixed_end,
+    decode_messages,
+    files_source,
+    frames_source,
+    kafka_source,
+    tagged_source,
+)
 
 AVRO = {
     "type": "record",
@@ -89,3 +96,12 @@ def test_all_sources_agree(spark, tmp_path):
     ]
     results = [sorted(map(tuple, s(["a", "c"]).select("topic", "value").collect())) for s in sources]
     assert results == [[("a", 0.0), ("c", 2.0)]] * 3
+
+
+def test_batch_reads_of_kafka_need_an_end(spark):
+    for options in ({}, {"startingOffsets": "earliest"}, {"endingOffsets": "latest"}):
+        with pytest.raises(ValueError):
+            check_fixed_end(options)
+    check_fixed_end({"endingTimestamp": "1700000000000"})
+    with pytest.raises(ValueError):
+        kafka_source(spark, "nowhere:9092", T.StructType(), streaming=False)(["t"])

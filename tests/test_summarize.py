@@ -222,6 +222,26 @@ def test_constant_group_above_the_limit(spark):
     assert (out["q1_v"], out["median_v"], out["q3_v"], out["stdev_v"]) == (3.5, 3.5, 3.5, 0.0)
 
 
+def test_group_of_nulls_above_the_limit(spark):
+    df = spark.range(100).selectExpr(
+        "timestamp_seconds(0) AS timestamp", "CAST(NULL AS DOUBLE) AS a",
+        "IF(id = 7, 2.0D, NULL) AS b", "IF(id % 50 = 7, DOUBLE(id), NULL) AS c",
+    )
+    row = summarize(df, window(), max_group_values=30).collect()[0]
+    assert row["count"] == 100
+    assert all(row[f"{op}_a"] is None for op in OPERATIONS)
+    assert {row[f"{op}_b"] for op in OPERATIONS} == {2.0}
+    assert (row["q1_c"], row["median_c"], row["q3_c"]) == (-5.5, 32.0, 69.5)
+    only_nulls = summarize(df.select("timestamp", "a"), window(), max_group_values=30).collect()
+    assert [r["median_a"] for r in only_nulls] == [None]
+
+
+@pytest.mark.parametrize("where", ["false", "value > 5"])
+def test_empty_input(messages, where):
+    df = messages([(0.0, 1.0)], "value double").where(where)
+    assert summarize(df, window()).collect() == []
+
+
 def test_only_mergeable_statistics_stay_a_hash_aggregation(messages):
     df = messages([(0.0, 1.0)], "value double")
     out = summarize(df, window(("min", "mean", "stdev", "max")))

@@ -48,6 +48,8 @@ def summarize(
 ) -> DataFrame:
     """One row per window and key: ``keys, time, window_size, count, {op}_{field}...``.
 
+    A batch frame may be read several times and must give the same rows each time.
+
     Parameters
     ----------
     time_column

@@ -69,6 +69,10 @@ def kafka_source(
     Avro schema (JSON text) for Avro, which needs Spark's Avro package too. The
     event time is the message timestamp. ``offset`` and ``partition`` identify a
     message and serve as ``order_by``.
+
+    A batch read (``streaming=False``) may be scanned several times and must give
+    the same messages every time, so its end has to be fixed with one of Spark's
+    ``ending...`` options.
     """
 
     def read(names: Sequence[str]) -> DataFrame:
@@ -121,7 +125,17 @@ def decode_messages(
     return raw.select(*KAFKA_COLUMNS, payload.alias("payload")).select(*KAFKA_COLUMNS, "payload.*")
 
 
+def check_fixed_end(options: Mapping[str, str]) -> None:
+    """Raise unless the options of a batch read say where it ends."""
+    ends = {name.lower(): str(value) for name, value in options.items()}
+    ends = {name: value for name, value in ends.items() if name.startswith("ending")}
+    if not ends or "latest" in ends.values():
+        raise ValueError("Fix the end of a batch read: endingTimestamp or endingOffsets.")
+
+
 def _kafka(spark, servers, subscription, streaming, options) -> DataFrame:
+    if not streaming:
+        check_fixed_end(options)
     reader = spark.readStream if streaming else spark.read
     return (
         reader.format("kafka")
