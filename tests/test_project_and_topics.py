@@ -42,6 +42,8 @@ def test_wrong_fields_raise(df, source):
 def test_carried_column_may_be_a_field_too(df):
     out = project_topic(df, SourceTopic("t", ("spam", "timestamp")), ["timestamp"])
     assert out.columns == ["spam", "timestamp"]
+    out = project_topic(df, SourceTopic("t", ("timestamp",), {"timestamp": "t0"}), ["timestamp"])
+    assert out.columns == ["timestamp", "t0"]
 
 
 def test_numeric_fields(spark):
@@ -90,3 +92,5 @@ def test_union_fills_missing_fields(spark):
     assert sorted(map(tuple, rows)) == [("a", 1.0, None), ("b", 2.0, 3)]
     with pytest.raises(ValueError):
         union_topics({})
+    with pytest.raises(ValueError, match="'x'"):
+        union_topics({"a": a}, "x")

@@ -26,7 +26,8 @@ def project_topic(df: DataFrame, source: SourceTopic, carry: Sequence[str] = ())
     missing = [name for name in [*carry, *fields, *source.map] if name not in df.columns]
     if missing:
         raise ValueError(f"Topic {source.name!r} has no field {missing}; it has {df.columns}")
-    passed = [name for name in carry if name not in fields]
+    kept = {name for name in fields if source.map.get(name, name) == name}
+    passed = [name for name in carry if name not in kept]
     outputs = passed + source.output_fields(fields)
     clashes = sorted({name for name in outputs if outputs.count(name) > 1})
     if clashes:

@@ -18,6 +18,7 @@ follows must see the very same pivots.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,15 +27,24 @@ from pyspark.sql import functions as F
 from tidemark.operators.matching import join_on
 from tidemark.storage import measured, written
 
-# A round narrows a zone to about 3/GRID of its values; a sketch of this size has
-# a rank error below 1/GRID and about 100 kB.
+# A sketch of this size has a rank error below 1/GRID and takes about 100 kB.
 GRID = 1000
 SKETCH_SIZE = 4 * GRID
 
 
-def sketch_of(value: str) -> str:
+def sketch_of(value: str, size: int = SKETCH_SIZE) -> str:
     """SQL aggregate: the sketch of ``value``."""
-    return f"kll_sketch_agg_double({value}, {SKETCH_SIZE})"
+    return f"kll_sketch_agg_double({value}, {size})"
+
+
+def sketch_size(n_columns: int) -> int:
+    """Size for sketching many columns at once, in a task that may hold 128 groups."""
+    return max(8, min(SKETCH_SIZE, 80_000 // n_columns))
+
+
+def _margin(size: int) -> int:
+    """Grid steps to either side that cover the usual rank error of a sketch."""
+    return max(1, math.ceil(GRID * 2.3 / size**0.97))
 
 
 def _grid_of(sketch: str) -> str:
@@ -49,6 +59,7 @@ def values_at_ranks(
     wanted: DataFrame,
     sort_limit: int,
     sketches: DataFrame | None = None,
+    size_of_sketches: int = SKETCH_SIZE,
 ) -> DataFrame:
     """Values at the wanted 1-based ranks of each group, as ``group, rank, value``.
 
@@ -56,7 +67,8 @@ def values_at_ranks(
     one row per rank: ``group, rank, lo, hi, size``, the last three being the
     smallest value, the largest and the number of values of the group. At most
     ``sort_limit`` values of a group are sorted in one task. ``sketches`` may
-    hold :func:`sketch_of` the values of each group as ``group, sketch``.
+    hold :func:`sketch_of` the values of each group as ``group, sketch``, made with
+    ``size_of_sketches``.
     """
     group = list(group)
     wide = (F.col("lo") < F.col("hi")) & (F.col("size") > sort_limit)
@@ -68,7 +80,8 @@ def values_at_ranks(
     start = wanted.select(*group, "rank", "lo", "hi", "size", F.lit(0).cast("bigint").alias("below"))
     state, n_wide = keep(start)
     while n_wide:
-        closer = _enclose(values, group, state.where(wide), sketches)
+        margin = _margin(SKETCH_SIZE if sketches is None else size_of_sketches)
+        closer = _enclose(values, group, state.where(wide), sketches, margin)
         state, n_wide = keep(state.where(~wide).unionByName(closer))
         sketches = None
 
@@ -82,7 +95,11 @@ def values_at_ranks(
 
 
 def _enclose(
-    values: DataFrame, group: list[str], state: DataFrame, sketches: DataFrame | None
+    values: DataFrame,
+    group: list[str],
+    state: DataFrame,
+    sketches: DataFrame | None,
+    margin: int,
 ) -> DataFrame:
     """One round: replace the span of every rank by the zone the rank lies in."""
     if sketches is None:
@@ -98,8 +115,8 @@ def _enclose(
     position = (F.col("rank") - F.col("below")) * GRID / F.col("size")
     pivots = state.withColumn("grid", F.expr(_grid_of("sketch"))).select(
         *[*group, "rank", "lo", "hi", "size", "below"],
-        F.get("grid", F.greatest(F.floor(position) - 1, F.lit(0)).cast("int")).alias("a"),
-        F.get("grid", F.least(F.ceil(position) + 1, F.lit(GRID)).cast("int")).alias("b"),
+        F.get("grid", F.greatest(F.floor(position) - margin, F.lit(0)).cast("int")).alias("a"),
+        F.get("grid", F.least(F.ceil(position) + margin, F.lit(GRID)).cast("int")).alias("b"),
     )
     pivots = written(_shared(pivots, [*group, "lo", "hi", "a", "b"], "cut"), "pivots")
 

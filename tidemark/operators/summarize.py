@@ -20,7 +20,7 @@ from tidemark.functions.quoting import quoted, text
 from tidemark.functions.stats import STATISTICS, mergeable_operations, order_operations
 from tidemark.operators.matching import join_on
 from tidemark.operators.project import numeric_fields
-from tidemark.operators.ranks import sketch_of, values_at_ranks
+from tidemark.operators.ranks import sketch_of, sketch_size, values_at_ranks
 from tidemark.storage import measured, written
 
 # A group with more values than this (messages x fields) is never gathered in one
@@ -236,12 +236,13 @@ def _summarize_batch(rows: DataFrame, plan: _Plan, max_group_values: int | None)
         return gathered(rows)
     cold_rows = join_on(rows, hot, plan.group, "left_anti")
     hot_rows = join_on(rows, hot, plan.group, "left_semi")
-    return gathered(cold_rows).unionByName(_summarize_hot(hot_rows, plan, max_group_rows))
+    return gathered(cold_rows).unionByName(_summarize_hot(hot_rows, plan, max_group_values))
 
 
 def _summarize_hot(rows: DataFrame, plan: _Plan, sort_limit: int) -> DataFrame:
     """Groups too large for one task: mergeable aggregates plus selected ranks."""
     fields = range(len(plan.names))
+    size = sketch_size(len(fields))
     slots = [(op, k) for op in plan.order_ops for k in (0, 1)]
     extra = [
         column
@@ -249,7 +250,7 @@ def _summarize_hot(rows: DataFrame, plan: _Plan, sort_limit: int) -> DataFrame:
         for column in (
             f"min(__v_{i}) AS __lo_{i}",
             f"max(__v_{i}) AS __hi_{i}",
-            f"{sketch_of(f'__v_{i}')} AS __sketch_{i}",
+            f"{sketch_of(f'__v_{i}', size)} AS __sketch_{i}",
         )
     ]
     sums = written(plan.summed(rows, *extra), "sums")
@@ -276,6 +277,7 @@ def _summarize_hot(rows: DataFrame, plan: _Plan, sort_limit: int) -> DataFrame:
         wanted.drop("slot").distinct(),
         sort_limit,
         sketches,
+        size,
     )
     placed = join_on(wanted.select(*group, "slot", "rank"), found, [*group, "rank"])
     picked = placed.groupBy(*plan.group).agg(

@@ -35,5 +35,8 @@ def union_topics(frames: Mapping[str, DataFrame], topic_column: str = "topic") -
     """
     if not frames:
         raise ValueError("union_topics needs at least one topic.")
+    taken = [name for name, df in frames.items() if topic_column in df.columns]
+    if taken:
+        raise ValueError(f"These topics have a field called {topic_column!r} already: {taken}")
     tagged = [df.withColumn(topic_column, F.lit(name)) for name, df in frames.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)

@@ -59,7 +59,7 @@ def kafka_source(
     servers: str,
     schema: T.StructType | str,
     value_format: str = "json",
-    confluent_header: bool = True,
+    schema_id_header: bool = True,
     streaming: bool = True,
     **options: str,
 ) -> TopicSource:
@@ -77,7 +77,7 @@ def kafka_source(
 
     def read(names: Sequence[str]) -> DataFrame:
         raw = _kafka(spark, servers, {"subscribe": ",".join(names)}, streaming, options)
-        return decode_messages(raw, schema, value_format, confluent_header)
+        return decode_messages(raw, schema, value_format, schema_id_header)
 
     return read
 
@@ -88,24 +88,24 @@ def kafka_pattern(
     topic_regex: str,
     schema: T.StructType | str,
     value_format: str = "json",
-    confluent_header: bool = True,
+    schema_id_header: bool = True,
     streaming: bool = True,
     **options: str,
 ) -> DataFrame:
     """All Kafka topics whose name matches ``topic_regex``, as one frame."""
     raw = _kafka(spark, servers, {"subscribePattern": topic_regex}, streaming, options)
-    return decode_messages(raw, schema, value_format, confluent_header)
+    return decode_messages(raw, schema, value_format, schema_id_header)
 
 
 def decode_messages(
     raw: DataFrame,
     schema: T.StructType | str,
     value_format: str = "json",
-    confluent_header: bool = True,
+    schema_id_header: bool = True,
 ) -> DataFrame:
     """Message columns and decoded payload fields from raw Kafka rows.
 
-    ``confluent_header`` skips the five bytes (marker and schema id) that schema
+    ``schema_id_header`` skips the five bytes (marker and schema id) that schema
     registry clients put before an Avro value.
     """
     if value_format == "json":
@@ -115,7 +115,7 @@ def decode_messages(
         from pyspark.sql.avro.functions import from_avro
 
         fields = schema_from_avro(schema).fieldNames()
-        body = F.expr("substring(value, 6)") if confluent_header else F.col("value")
+        body = F.expr("substring(value, 6)") if schema_id_header else F.col("value")
         payload = from_avro(body, schema)
     else:
         raise ValueError(f"value_format must be 'json' or 'avro', not {value_format!r}")
