@@ -23,6 +23,7 @@ from tidemark import (  # noqa: E402
     SourceTopic,
     WindowAggregation,
     aggregate_all,
+    aggregate_matching,
     aggregate_topic,
     cogroup,
     join_wide,
@@ -41,7 +42,6 @@ from tidemark.operators.topics import (  # noqa: E402
 )
 from tidemark.sinks.aggregated import FileSink  # noqa: E402
 from tidemark.sources.topics import decode_messages, frames_source, tagged_source  # noqa: E402
-from tidemark.plans.aggregated import aggregate_matching  # noqa: E402
 from tidemark.storage import new_path  # noqa: E402
 from tidemark.streaming.queries import start_aggregations  # noqa: E402
 

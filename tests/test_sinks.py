@@ -59,3 +59,9 @@ def test_file_sink(spark, df, tmp_path):
 def test_messages_are_json_with_nulls(df):
     value = as_messages(df).collect()[0]["value"]
     assert json.loads(value) == {"time": 0.5, "count": 2, "mean_a": None}
+
+
+def test_messages_can_carry_their_topic(df):
+    row = as_messages(df.selectExpr("'x-aggregated' AS name", "*"), "name").collect()[0]
+    assert row["topic"] == "x-aggregated"
+    assert json.loads(row["value"]) == {"time": 0.5, "count": 2, "mean_a": None}

@@ -8,7 +8,7 @@ from tidemark.config import (
 )
 from tidemark.operators.cogroup import cogroup, join_wide
 from tidemark.operators.summarize import summarize
-from tidemark.plans.aggregated import aggregate_all, aggregate_topic
+from tidemark.plans.aggregated import aggregate_all, aggregate_matching, aggregate_topic
 
 __all__ = [
     "AggregatedTopic",
@@ -16,6 +16,7 @@ __all__ = [
     "SourceTopic",
     "WindowAggregation",
     "aggregate_all",
+    "aggregate_matching",
     "aggregate_topic",
     "cogroup",
     "join_wide",

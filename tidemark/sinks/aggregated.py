@@ -75,30 +75,39 @@ class TableSink:
 
 @dataclass(frozen=True)
 class KafkaSink:
-    """Kafka topics named after the aggregated topic; needs Spark's Kafka package."""
+    """Kafka topics named after the aggregated topic; needs Spark's Kafka package.
+
+    With ``topic_column`` every row goes to the topic named there instead.
+    """
 
     servers: str
+    topic_column: str | None = None
     options: dict[str, str] = field(default_factory=dict)
 
     def _settings(self, name: str) -> dict[str, str]:
-        return {"kafka.bootstrap.servers": self.servers, "topic": name, **self.options}
+        target = {} if self.topic_column else {"topic": name}
+        return {"kafka.bootstrap.servers": self.servers, **target, **self.options}
 
     def write(self, df: DataFrame, name: str) -> None:
-        as_messages(df).write.format("kafka").options(**self._settings(name)).save()
+        messages = as_messages(df, self.topic_column)
+        messages.write.format("kafka").options(**self._settings(name)).save()
 
     def write_batch(self, df: DataFrame, name: str, batch_id: int) -> None:
         """Send; a repeated micro-batch is sent again."""
         self.write(df, name)
 
     def start(self, df: DataFrame, name: str, checkpoint: str, trigger: dict) -> StreamingQuery:
-        writer = as_messages(df).writeStream.format("kafka").options(**self._settings(name))
+        messages = as_messages(df, self.topic_column)
+        writer = messages.writeStream.format("kafka").options(**self._settings(name))
         return _start(writer, name, checkpoint, trigger).start()
 
 
-def as_messages(df: DataFrame) -> DataFrame:
-    """Rows as JSON in a ``value`` column, nulls included."""
-    row = F.struct(*map(quoted, df.columns))
-    return df.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("value"))
+def as_messages(df: DataFrame, topic_column: str | None = None) -> DataFrame:
+    """Rows as JSON in a ``value`` column, nulls included, and their ``topic`` if it is a column."""
+    row = F.struct(*[quoted(name) for name in df.columns if name != topic_column])
+    value = F.to_json(row, {"ignoreNullFields": "false"}).alias("value")
+    topic = [F.col(quoted(topic_column)).alias("topic")] if topic_column else []
+    return df.select(*topic, value)
 
 
 def register_schema(

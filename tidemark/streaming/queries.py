@@ -43,6 +43,10 @@ def start_aggregations(
     ``trigger`` takes the arguments of ``DataStreamWriter.trigger``. Restarting
     with the same checkpoint root continues where the queries stopped.
 
+    The source topics of an aggregated topic share one watermark: a topic that
+    lags behind the others by more than the window expiration loses messages. Set
+    the expiration accordingly, or aggregate such topics separately.
+
     Quartiles and median keep the values of an open window in one state row per
     topic. Use :func:`start_large_aggregations` where a topic sends more than a
     task can hold within a window.
