@@ -100,6 +100,30 @@ def test_late_messages_never_change_a_closed_window(spark, topics, tmp_path):
     assert [(r["time"], r["count"], r["mean_v"]) for r in rows] == [(0.5, 2, 2.0), (5.5, 1, 0.0)]
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_a_lagging_topic_loses_nothing(spark, topics, tmp_path, large):
+    out, config = FileSink(str(tmp_path / "out")), config_of("fast", "slow", operations=("mean",))
+
+    def go():
+        if not large:
+            return run(config, topics.source(), out, tmp_path / "ckpt")
+        for query in start_large_aggregations(
+            config, topics.source(), out, str(tmp_path / "ckpt"), 2, ONCE
+        ).values():
+            query.awaitTermination()
+
+    topics("fast", (0.1, None, 1.0), (9.0, None, 0.0))
+    topics("slow", (0.1, None, 5.0))
+    go()
+    topics("slow", (0.2, None, 7.0), (1.1, None, 3.0), (9.0, None, 0.0))
+    topics("fast", (9.1, None, 0.0))
+    go()
+    rows = spark.read.parquet(str(tmp_path / "out/agg")).collect()
+    assert sorted((r["topic"], r["time"], r["count"], r["mean_v"]) for r in rows) == [
+        ("fast", 0.5, 1, 1.0), ("slow", 0.5, 2, 6.0), ("slow", 1.5, 1, 3.0),
+    ]
+
+
 def test_expiration_keeps_windows_open(spark, topics, tmp_path):
     out = FileSink(str(tmp_path / "out"))
     topics("x", (0.1, None, 1.0), (5.0, None, 0.0))

@@ -59,3 +59,14 @@ def _micros_since_epoch(wall_clock: Column) -> Column:
 def tumbling(timestamp: Column, size_seconds: int) -> Column:
     """Left-closed, right-open, epoch-aligned window of ``size_seconds``."""
     return F.window(timestamp, f"{int(size_seconds)} seconds")
+
+
+# Fixed value: where Spark notes the watermark delay of a column.
+_WATERMARK = "spark.watermarkDelayMs"
+
+
+def watermarked(df: DataFrame, name: str, delay_seconds: int) -> DataFrame:
+    """``df`` with a watermark on column ``name``, unless it brings one."""
+    if _WATERMARK in df.schema[name].metadata:
+        return df
+    return df.withWatermark(name, f"{delay_seconds} seconds")

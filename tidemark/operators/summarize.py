@@ -15,6 +15,7 @@ from tidemark.functions.eventtime import (
     event_time,
     has_zone,
     tumbling,
+    watermarked,
 )
 from tidemark.functions.quoting import quoted, text
 from tidemark.functions.stats import STATISTICS, mergeable_operations, order_operations
@@ -54,7 +55,7 @@ def summarize(
     ----------
     time_column
         Event time. On a stream it also drives the watermark, with the window
-        expiration as the delay.
+        expiration as the delay, unless the frame brings a watermark on it.
     keys
         Grouping columns besides the window.
     fields
@@ -97,7 +98,7 @@ def summarize(
     in_window = tumbling(F.col(_TIME), window.window_size_seconds)
 
     if df.isStreaming:
-        rows = rows.withWatermark(_TIME, f"{window.window_expiration_seconds} seconds")
+        rows = watermarked(rows, _TIME, window.window_expiration_seconds)
         sums = plan.gathered(rows, [in_window.alias(_WINDOW), *plan.group[1:]])
         sums = sums.withColumn(_START, F.col(_WINDOW)["start"])
         return plan.output(sums, plan.picks_from_array)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from tidemark.config import (
     SourceTopic,
     WindowAggregation,
 )
+from tidemark.functions.eventtime import as_timestamp, watermarked
 from tidemark.operators.project import project_topic
 from tidemark.operators.summarize import summarize
 from tidemark.operators.topics import exclude_topics, match_topics
@@ -66,20 +68,30 @@ def source_messages(
 ) -> DataFrame:
     """Kept and renamed messages of all source topics of ``topic``.
 
-    Topics with the same projection are read together, in one scan.
+    In batch, topics with the same projection are read together, in one scan.
+    On a stream every topic is a source with a watermark of its own.
     """
     carry = [time_column, *_keys(topic), *order_by]
-    together: dict[tuple, list[SourceTopic]] = {}
-    for one in topic.source_topics:
-        together.setdefault((one.fields, tuple(sorted(one.map.items()))), []).append(one)
-    parts = [
-        project_topic(source([one.name for one in same]), same[0], carry)
-        for same in together.values()
-    ]
-    messages = parts[0]
-    for part in parts[1:]:
-        messages = messages.unionByName(part, allowMissingColumns=True)
-    return messages
+
+    def read(same: Sequence[SourceTopic]) -> DataFrame:
+        return project_topic(source([one.name for one in same]), same[0], carry)
+
+    first = read(topic.source_topics[:1])
+    if first.isStreaming:
+        delay = topic.window_aggregation.window_expiration_seconds
+        parts = [first, *[read([one]) for one in topic.source_topics[1:]]]
+        parts = [
+            watermarked(
+                part.withColumn(time_column, as_timestamp(part, time_column)), time_column, delay
+            )
+            for part in parts
+        ]
+    else:
+        together: dict[tuple, list[SourceTopic]] = {}
+        for one in topic.source_topics:
+            together.setdefault((one.fields, tuple(sorted(one.map.items()))), []).append(one)
+        parts = [read(same) for same in together.values()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def _keys(topic: AggregatedTopic) -> list[str]:

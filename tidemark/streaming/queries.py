@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.config import AggregationConfig, WindowAggregation
-from tidemark.functions.eventtime import as_timestamp, tumbling
+from tidemark.functions.eventtime import as_timestamp, tumbling, watermarked
 from tidemark.plans.aggregated import aggregate_all, source_messages, summarize_messages
 from tidemark.sources.topics import TopicSource
 from tidemark.storage import measured
@@ -43,9 +43,10 @@ def start_aggregations(
     ``trigger`` takes the arguments of ``DataStreamWriter.trigger``. Restarting
     with the same checkpoint root continues where the queries stopped.
 
-    The source topics of an aggregated topic share one watermark: a topic that
-    lags behind the others by more than the window expiration loses messages. Set
-    the expiration accordingly, or aggregate such topics separately.
+    A window closes when all source topics of the aggregated topic have passed it
+    (``spark.sql.streaming.multipleWatermarkPolicy`` is ``min`` by default), so a
+    topic that lags loses nothing, and one that is silent (also: since a restart)
+    holds the rows back until it sends again.
 
     Quartiles and median keep the values of an open window in one state row per
     topic. Use :func:`start_large_aggregations` where a topic sends more than a
@@ -113,9 +114,9 @@ def start_on_close(
         raise ValueError("buckets must be at least 1.")
     columns = [F.col(f"`{column}`") for column in messages.columns]
     at, bucket = "__at", F.pmod(F.xxhash64(*columns), F.lit(buckets))
+    timed = messages.withColumn(at, as_timestamp(messages, time_column))
     closed = (
-        messages.withColumn(at, as_timestamp(messages, time_column))
-        .withWatermark(at, f"{window.window_expiration_seconds} seconds")
+        watermarked(timed, at, window.window_expiration_seconds)
         .groupBy(tumbling(F.col(at), window.window_size_seconds), bucket.alias("__bucket"))
         .agg(F.collect_list(F.struct(*columns)).alias("__messages"))
     )
