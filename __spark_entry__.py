@@ -409,7 +409,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT '{aggregated_name("error")}' AS aggregated_topic, *
             FROM ({_summary_sql(errors, "ts", DAY, value, ("q1", "median", "q3"))})""",
         "cogroup_topics": f"""
-            SELECT time, window_start, CAST(0 AS INTEGER) AS part,
+            SELECT time, window_start, CAST(0 AS BIGINT) AS part,
                    string_agg(topic || '.value=' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR),
                               ',' ORDER BY ts, event_id) AS records
             FROM ({half_hours}) GROUP BY time, window_start""",
