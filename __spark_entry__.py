@@ -45,6 +45,11 @@ from tidemark.sources.topics import decode_messages, frames_source, tagged_sourc
 from tidemark.storage import new_path  # noqa: E402
 from tidemark.streaming.queries import start_aggregations  # noqa: E402
 
+try:  # the corpus operators are a part that can be left out
+    from tidemark.llm import queries as _corpus  # noqa: E402
+except ModuleNotFoundError:
+    _corpus = None
+
 HOUR = 3_600
 DAY = 86_400
 MONTH = 30 * DAY
@@ -327,6 +332,7 @@ def queries() -> dict[str, Query]:
         "reduction_factor": _reduction_factor,
         "message_round_trip": _message_round_trip,
         "stream_summary": _stream_summary,
+        **(_corpus.queries() if _corpus else {}),
     }
 
 
@@ -430,6 +436,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_summary": f"""
             SELECT * FROM ({events_sql(OPERATIONS)})
             WHERE time + {HOUR / 2} <= (SELECT epoch_us(max(ts)) / 1e6 FROM events)""",
+        **(_corpus.oracle_sql() if _corpus else {}),
     }
 
 
