@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.line_dedup import line_dedup
+from tidemark.llm.ngram_join import ngram_join
 from tidemark.llm.warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,10 @@ def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def _ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def _exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": _line_dedup,
         "op2_warc": _warc,
+        "op3_ngram_join": _ngram_join,
         "op5_exact_dedup": _exact_dedup,
     }
 
@@ -70,6 +76,34 @@ def oracle_sql() -> dict[str, str]:
                         ELSE 'response' END AS record_type,
                    CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
             FROM p JOIN f USING (payload_digest)""",
+        "op3_ngram_join": r"""
+            WITH RECURSIVE w AS (
+                SELECT doc_id, list_filter(regexp_split_to_array(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+                FROM documents),
+            g AS (
+                SELECT DISTINCT doc_id, unnest(
+                    CASE WHEN len(words) >= 5 THEN
+                        list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+                    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS s
+                FROM w),
+            n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+            c AS (
+                SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+                FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+            l AS (
+                SELECT x, y, c = nx.n AND c = ny.n AS same
+                FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+                WHERE 5 * c >= 4 * (nx.n + ny.n - c)),
+            r AS (
+                SELECT doc_id, doc_id AS root FROM documents
+                UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.doc_id)
+            SELECT doc_id,
+                   least(doc_id, coalesce((SELECT min(y) FROM l WHERE x = doc_id AND same), doc_id)) AS set_id,
+                   min(root) AS class_id, (SELECT count(*) FROM l WHERE x = doc_id) AS n_links,
+                   min(root) = doc_id AS first
+            FROM r GROUP BY doc_id""",
         "op5_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
