@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.ngram_join import ngram_join
+from tidemark.llm.tokens import read_tokens, write_tokens
 from tidemark.llm.warc import round_trip
+from tidemark.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,12 +39,23 @@ def _exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": _line_dedup,
         "op2_warc": _warc,
         "op3_ngram_join": _ngram_join,
         "op5_exact_dedup": _exact_dedup,
+        "op7_tokens": _tokens,
     }
 
 
