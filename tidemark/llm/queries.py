@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.ngram_join import ngram_join
+from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.tokens import read_tokens, write_tokens
 from tidemark.llm.warc import round_trip
 from tidemark.storage import new_path
@@ -35,6 +36,12 @@ def _ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def _substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def _exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -54,6 +61,7 @@ def queries() -> dict[str, Query]:
         "op1_line_dedup": _line_dedup,
         "op2_warc": _warc,
         "op3_ngram_join": _ngram_join,
+        "op4_substring_dedup": _substring_dedup,
         "op5_exact_dedup": _exact_dedup,
         "op7_tokens": _tokens,
     }
@@ -117,6 +125,28 @@ def oracle_sql() -> dict[str, str]:
                    min(root) AS class_id, (SELECT count(*) FROM l WHERE x = doc_id) AS n_links,
                    min(root) = doc_id AS first
             FROM r GROUP BY doc_id""",
+        "op4_substring_dedup": r"""
+            WITH t AS (
+                SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                                           lambda x: x <> '') AS words FROM documents),
+            w AS (
+                SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM t),
+            s AS (
+                SELECT doc_id, unnest(range(1, len(words) - 33)) AS pos,
+                       unnest(list_transform(range(1, len(words) - 33),
+                              lambda i: md5(array_to_string(words[i:i + 34], ' ')))) AS h
+                FROM t WHERE len(words) >= 35),
+            r AS (
+                SELECT doc_id, pos FROM s JOIN
+                    (SELECT h FROM s GROUP BY h HAVING count(*) > 1) USING (h)),
+            m AS (
+                SELECT w.*, last_value(r.pos IGNORE NULLS) OVER (
+                    PARTITION BY w.doc_id ORDER BY w.pos) AS start
+                FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.pos = w.pos),
+            k AS (SELECT doc_id, pos, word, coalesce(pos - start < 35, false) AS gone FROM m)
+            SELECT t.doc_id, len(any_value(t.words)) AS n_words, count(*) FILTER (gone) AS n_removed,
+                   sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+            FROM t LEFT JOIN k USING (doc_id) GROUP BY t.doc_id""",
         "op5_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
