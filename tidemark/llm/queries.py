@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.line_dedup import line_dedup
+from tidemark.llm.lm_score import lm_score
 from tidemark.llm.ngram_join import ngram_join
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.tokens import read_tokens, write_tokens
@@ -56,6 +57,10 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": _line_dedup,
@@ -64,6 +69,7 @@ def queries() -> dict[str, Query]:
         "op4_substring_dedup": _substring_dedup,
         "op5_exact_dedup": _exact_dedup,
         "op7_tokens": _tokens,
+        "op8_lm_score": _lm_score,
     }
 
 
