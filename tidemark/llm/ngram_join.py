@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.components import connected_components
 from tidemark.llm.frames import join_counted, own_id, texts
 from tidemark.llm.shipping import ship
-from tidemark.llm.words import mixed, text_words, window_hashes
+from tidemark.llm.words import LOWER, mixed, text_words, window_hashes
 from tidemark.storage import measured, written
 
 # Members of a candidate group that a task compares with one another at a time.
@@ -35,7 +35,7 @@ def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> in
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[list[np.ndarray]]:
     """Distinct word n-grams of each text as sorted hashes; fewer words than ``size`` are one n-gram."""
-    for words in text_words(column, lower=True):
+    for words in text_words(column, LOWER):
         hashes = window_hashes(words.hashes, size)
         sets = []
         for start, end in zip(words.bounds[:-1], words.bounds[1:]):

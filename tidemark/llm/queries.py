@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.language_id import language_id
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.lm_score import lm_score
 from tidemark.llm.ngram_join import ngram_join
@@ -61,6 +63,16 @@ def _lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"))
 
 
+def _language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(
+        table(spark, sf_dir, "documents"), declared=F.col("lang"), address=F.col("source")
+    ).drop("th")
+
+
+def _decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": _line_dedup,
@@ -70,6 +82,8 @@ def queries() -> dict[str, Query]:
         "op5_exact_dedup": _exact_dedup,
         "op7_tokens": _tokens,
         "op8_lm_score": _lm_score,
+        "op9_language_id": _language_id,
+        "op10_decontaminate": _decontaminate,
     }
 
 

@@ -82,8 +82,17 @@ def window_hashes(words: np.ndarray, size: int, base: np.uint64 = np.uint64(0xD6
             length *= 2
 
 
-def text_words(column: pa.Array, lower: bool = False) -> Iterator[Words]:
-    """The words of a string or binary column without nulls, a slice at a time."""
+# A-Z in lower case, ASCII punctuation as blanks.
+PLAIN = np.array(
+    [LOWER[b] if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)], dtype=np.uint8
+)
+
+
+def text_words(column: pa.Array, table: np.ndarray | None = None) -> Iterator[Words]:
+    """The words of a string or binary column without nulls, a slice at a time.
+
+    ``table`` replaces each byte first, as ``LOWER`` and ``PLAIN`` do.
+    """
     wide = column.type in (pa.large_string(), pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)
     offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -94,8 +103,8 @@ def text_words(column: pa.Array, lower: bool = False) -> Iterator[Words]:
         last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1
         last = min(max(last, first + 1), len(column))
         data = everything[offsets[first] : offsets[last]]
-        if lower:
-            data = LOWER[data]
+        if table is not None:
+            data = table[data]
         yield _split(first, last, data, offsets[first : last + 1] - offsets[first])
         first = last
 
