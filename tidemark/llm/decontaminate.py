@@ -115,8 +115,8 @@ def decontaminate(
 ) -> DataFrame:
     """Which documents hold a passage of a test item, copied, edited or paraphrased.
 
-    Returns ``doc_id, contaminated, item_id, score, item_ids``: one row per row of
-    ``docs``. ``score`` is the best Smith-Waterman score over words (2 for a match, -1
+    Returns ``doc_id, contaminated, item_id, score, item_ids, th`` (hash of the text):
+    one row per row of ``docs``. ``score`` is the best Smith-Waterman score over words (2 for a match, -1
     for another word or a gap) as a share of the item's full score, ``item_id`` the item
     that has it (the smallest of equals), ``item_ids`` all items of ``threshold`` or
     more. Words ignore punctuation and the case of A-Z. Documents that share no seed
@@ -155,7 +155,7 @@ def decontaminate(
         own_id("did").alias("doc_id"),
         F.coalesce(F.col("score") >= threshold, F.lit(False)).alias("contaminated"),
         "item_id", F.coalesce("score", F.lit(0.0)).alias("score"),
-        F.coalesce("item_ids", none).alias("item_ids"),
+        F.coalesce("item_ids", none).alias("item_ids"), "th",
     )
 
 

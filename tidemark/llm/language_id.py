@@ -109,8 +109,8 @@ def language_id(
 ) -> DataFrame:
     """The most probable language of each document, and whether it is certain enough to keep.
 
-    Returns ``doc_id, language, posterior, text_language, declared, host, kept``: one row
-    per row of ``docs``. ``declared`` is a column with a declared language (such as
+    Returns ``doc_id, language, posterior, text_language, declared, host, kept, th`` (hash
+    of the text): one row per row of ``docs``. ``declared`` is a column with a declared language (such as
     :func:`declared_in_markup`), ``address`` one with a URL or host. Four things are weighed:
 
     * the text's byte trigrams under a model of each language, trained on about ``sample``
@@ -154,7 +154,7 @@ def language_id(
     if not total:
         return rows.select(
             own_id("did").alias("doc_id"), F.lit("").alias("language"), F.lit(0.0).alias("posterior"),
-            F.lit("").alias("text_language"), "declared", "host", F.lit(False).alias("kept"),
+            F.lit("").alias("text_language"), "declared", "host", F.lit(False).alias("kept"), "th",
         )
     mix = [((size[f"q{i}"] or 0.0) + 1.0) / (total + k + 1) for i in range(k + 1)]
 

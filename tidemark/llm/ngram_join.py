@@ -90,8 +90,8 @@ def ngram_join(
 ) -> DataFrame:
     """Which documents share ``threshold`` or more of their word n-grams (Jaccard).
 
-    Returns ``doc_id, set_id, class_id, n_links, first``: one row per row of
-    ``docs``. ``set_id`` is the smallest id with the same set of n-grams,
+    Returns ``doc_id, set_id, class_id, n_links, first, th`` (hash of the text): one
+    row per row of ``docs``. ``set_id`` is the smallest id with the same set of n-grams,
     ``class_id`` the smallest id that links lead to, ``n_links`` the number of
     other rows linked directly (equal sets included), and ``first`` is true for
     exactly one row of each class. Words are split at white space and compared
@@ -162,17 +162,17 @@ def ngram_join(
             F.col("node").alias("first_node"))),
         "classed",
     )
-    narrow = rows.select("did", "row", "size", "digest")
+    narrow = rows.select("did", "th", "row", "size", "digest")
     result = join_counted(narrow.where("size > 0"), classed, ["digest"], "copies", n_rows)
     return result.select(
         own_id("did").alias("doc_id"), own_id("node_did").alias("set_id"),
         own_id("class_did").alias("class_id"),
         (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links"),
-        (F.col("row") == F.col("first_node")).alias("first"),
+        (F.col("row") == F.col("first_node")).alias("first"), "th",
     ).unionByName(
         narrow.where("size = 0").select(
             own_id("did").alias("doc_id"), own_id("did").alias("set_id"), own_id("did").alias("class_id"),
-            F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("first"),
+            F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("first"), "th",
         )
     )
 

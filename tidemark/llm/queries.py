@@ -12,12 +12,17 @@ from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.language_id import language_id
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.lm_score import lm_score
+from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_join import ngram_join
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.tokens import read_tokens, write_tokens
 from tidemark.llm.warc import round_trip
 from tidemark.storage import new_path
 
+# Target shares of tokens, and the domain that keeps all of its own.
+MIX_WEIGHTS = {"good": 0.95, "low": 0.05, "toxic": 0.0}
+MIX_ANCHOR = "good"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -36,7 +41,7 @@ def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join(table(spark, sf_dir, "documents")).drop("th")
 
 
 def _substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,16 +54,27 @@ def _exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokens(docs: DataFrame) -> DataFrame:
+    """Token shards of ``docs``, read back: where each document stands, and its checksum."""
     import public_tokenizers
 
-    path = new_path(spark, "tokens")
-    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    return read_tokens(spark, path).select(
+    path = new_path(docs.sparkSession, "tokens")
+    write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(docs.sparkSession, path).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
 
 
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(table(spark, sf_dir, "documents"))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX_WEIGHTS, MIX_ANCHOR)
+    shares = [F.get("posteriors", i).alias(f"p_{d}") for i, d in enumerate(MIX_WEIGHTS)]
+    return rated.select("doc_id", "tokens", *shares, "rate", "copies")
+
+
 def _lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"))
 
@@ -70,7 +86,7 @@ def _language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
 
 def queries() -> dict[str, Query]:
@@ -80,6 +96,7 @@ def queries() -> dict[str, Query]:
         "op3_ngram_join": _ngram_join,
         "op4_substring_dedup": _substring_dedup,
         "op5_exact_dedup": _exact_dedup,
+        "op6_mix_sources": _mix,
         "op7_tokens": _tokens,
         "op8_lm_score": _lm_score,
         "op9_language_id": _language_id,
