@@ -46,9 +46,12 @@ from tidemark.storage import new_path  # noqa: E402
 from tidemark.streaming.queries import start_aggregations  # noqa: E402
 
 try:  # the corpus operators are a part that can be left out
+    import corpus_pipeline as _pipeline  # noqa: E402
     from tidemark.llm import queries as _corpus  # noqa: E402
-except ModuleNotFoundError:
-    _corpus = None
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "tidemark.llm"):
+        raise
+    _corpus = _pipeline = None
 
 HOUR = 3_600
 DAY = 86_400
@@ -332,7 +335,7 @@ def queries() -> dict[str, Query]:
         "reduction_factor": _reduction_factor,
         "message_round_trip": _message_round_trip,
         "stream_summary": _stream_summary,
-        **(_corpus.queries() if _corpus else {}),
+        **({**_corpus.queries(), "pipeline": _pipeline.run} if _corpus else {}),
     }
 
 
