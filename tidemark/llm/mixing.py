@@ -76,13 +76,18 @@ def fit(rows: DataFrame, labels: DataFrame, domain: Column, label_id: str, domai
     return Classifier(domains, prior, weights)
 
 
+def _constant(values: np.ndarray) -> Column:
+    """An array that the optimizer folds into one literal."""
+    return F.split(F.lit(",".join(f"{x:.5f}" for x in values)), ",").cast("array<double>")
+
+
 def posteriors(rows: DataFrame, model: Classifier) -> DataFrame:
     """``row, did, th, tokens, p0, p1, ...``: words of each row and its domain posteriors."""
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     words = _words(numbered.select("row", "text"))
     sums = [F.count("*").alias("tokens")]
     for i in range(1, len(model.domains)):
-        tables = [F.get(F.lit(model.weights[kind][i].tolist()), F.col(kind)) for kind in ("whole", "ending")]
+        tables = [F.get(_constant(model.weights[kind][i]), F.col(kind)) for kind in ("whole", "ending")]
         sums.append(F.sum(tables[0] + tables[1]).alias(f"l{i}"))
     scored = words.groupBy("row").agg(*sums)
     logs = [F.lit(model.prior[0])] + [
