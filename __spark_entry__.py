@@ -288,17 +288,18 @@ def _stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         (AggregatedTopic("stream_summary", (SourceTopic("events", ("value",)),), _hourly()),)
     )
     out = new_path(spark, "stream")
+    sink = FileSink(f"{out}/data")
     started = start_aggregations(
         config,
         frames_source({"events": stream}),
-        FileSink(f"{out}/data"),
+        sink,
         f"{out}/checkpoints",
         {"availableNow": True},
         time_column="ts",
     )
     for query in started.values():
         query.awaitTermination()
-    return _rounded(spark.read.parquet(f"{out}/data/stream_summary"))
+    return _rounded(sink.read(spark, "stream_summary"))
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -41,7 +41,10 @@ def test_table_sink(spark, df, table):
     sink = TableSink()
     sink.write(df, table)
     sink.write(df, table)
-    assert spark.table(f"default.`{table}`").collect() == [(0.5, 2, None)] * 2
+    for _ in range(2):
+        sink.write_batch(df, table, 7)
+    assert sink.read(spark, table).collect() == [(0.5, 2, None)] * 3
+    assert sink.read(spark, table).dtypes == df.dtypes
     with pytest.raises(SchemaMismatch):
         sink.write(df.drop("count"), table)
 
@@ -50,12 +53,28 @@ def test_file_sink(spark, df, tmp_path):
     sink = FileSink(str(tmp_path))
     sink.write(df, "example-aggregated")
     sink.write(df, "example-aggregated")
-    assert spark.read.parquet(str(tmp_path / "example-aggregated")).collect() == [(0.5, 2, None)] * 2
+    assert sink.read(spark, "example-aggregated").collect() == [(0.5, 2, None)] * 2
     with pytest.raises(SchemaMismatch):
         sink.write(df.drop("count"), "example-aggregated")
     sink.write(df.drop("count"), "another")
 
 
+def test_registration_needs_no_success_marker(spark, df, tmp_path):
+    sink = FileSink(str(tmp_path))
+    sink.write(df, "a")
+    for marker in list((tmp_path / "_schemas").rglob("*_SUCCESS*")):
+        marker.unlink()
+    with pytest.raises(SchemaMismatch):
+        sink.write(df.drop("count"), "a")
+    assert sink.read(spark, "a").count() == 1
+
+
+def test_a_folder_with_a_stream_log_is_refused(df, tmp_path):
+    (tmp_path / "a/_spark_metadata").mkdir(parents=True)
+    with pytest.raises(ValueError, match="log of a file stream"):
+        FileSink(str(tmp_path)).write(df, "a")
+
+
 def test_messages_are_json_with_nulls(df):
     value = as_messages(df).collect()[0]["value"]
     assert json.loads(value) == {"time": 0.5, "count": 2, "mean_a": None}

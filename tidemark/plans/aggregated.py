@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -94,6 +95,28 @@ def source_messages(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def messages_by_topic(
+    topic: AggregatedTopic,
+    source: TopicSource,
+    time_column: str = "timestamp",
+    order_by: Sequence[str] = (),
+) -> dict[str, DataFrame]:
+    """The same, a frame for each source topic; all have the columns of the whole."""
+    whole = source_messages(topic, source, time_column, order_by).schema
+    parts = {}
+    for one in topic.source_topics:
+        alone = replace(topic, source_topics=(one,))
+        carry = [time_column, *_keys(topic), *order_by]
+        part = project_topic(source([one.name]), alone.source_topics[0], carry)
+        parts[one.name] = part.select(
+            *[
+                (F.col(f"`{f.name}`") if f.name in part.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in whole.fields
+            ]
+        )
+    return parts
+
+
 def _keys(topic: AggregatedTopic) -> list[str]:
     return ["topic"] if len(topic.source_topics) > 1 else []
 
@@ -116,16 +139,36 @@ def aggregate_matching(
     excluded_topics: Sequence[str] = (),
     name_format: str = DEFAULT_NAME_FORMAT,
     exclude: Sequence[str] = (),
+    topics: Sequence[str] | None = None,
+    lag_seconds: int | None = None,
     **options,
 ) -> DataFrame:
     """Summary rows of every topic of a tagged frame that matches and is not excluded.
 
     All topics are summarised in one go, however many there are. The column
     ``aggregated_topic`` names the topic the row belongs to after aggregation.
+
+    On a stream, topics that lag behind others would lose messages to a common
+    watermark, so one of two things must be said: ``topics``, all names there may be,
+    each of which gets a watermark of its own (the slowest holds the windows open), or
+    ``lag_seconds``, by how much a topic may be behind the one furthest ahead.
     """
     chosen = match_topics(messages, topic_regex)
     if excluded_topics:
         chosen = exclude_topics(chosen, excluded_topics)
+    if messages.isStreaming:
+        time_column = options.get("time_column", "timestamp")
+        if topics is not None:
+            timed = chosen.withColumn(time_column, as_timestamp(chosen, time_column))
+            delay = window.window_expiration_seconds
+            each = [watermarked(timed.where(F.col("topic") == t), time_column, delay) for t in topics]
+            chosen = reduce(DataFrame.unionByName, each)
+        elif lag_seconds is not None:
+            window = replace(
+                window, window_expiration_seconds=window.window_expiration_seconds + lag_seconds
+            )
+        else:
+            raise ValueError("On a stream, name the topics or say how far a topic may lag behind.")
     rows = summarize(chosen, window, keys=["topic"], exclude=exclude, **options)
     name = F.replace(F.lit(name_format), F.lit("{source_topic_name}"), F.col("topic"))
     return rows.select(name.alias("aggregated_topic"), *[F.col(f"`{c}`") for c in rows.columns])

@@ -1,12 +1,16 @@
 """Writing an aggregated topic, after its schema has been settled with the sink.
 
 Every sink writes a frame (``write``), starts a stream (``start``) or takes one
-micro-batch of a stream (``write_batch``).
+micro-batch of a stream (``write_batch``). Files and tables hold all three in one
+layout, partitioned by who wrote (``_writer``) and by micro-batch (``_batch``); a
+micro-batch that is repeated replaces what it wrote before. Read with ``read``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,43 +18,73 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.quoting import quoted
+from tidemark.functions.quoting import quoted, text
 
 
 class SchemaMismatch(ValueError):
     """The sink exists with another schema."""
 
 
+# Partition columns of files and tables.
+WRITER, BATCH = "_writer", "_batch"
+
+
+class _Batches:
+    """Streams into ``write_batch``; the writer is known by its checkpoint."""
+
+    def start(
+        self, df: DataFrame, name: str, checkpoint: str, trigger: dict, label: str | None = None
+    ) -> StreamingQuery:
+        self._register(df, name)
+        writer = writer_id(checkpoint)
+
+        def emit(batch: DataFrame, batch_id: int) -> None:
+            self.write_batch(batch, name, batch_id, writer)
+
+        return _start(df.writeStream.foreachBatch(emit), label or name, checkpoint, trigger).start()
+
+    def write(self, df: DataFrame, name: str) -> None:
+        """Add the rows of ``df``."""
+        self.write_batch(df, name, 0, uuid.uuid4().hex)
+
+
+def writer_id(checkpoint: str) -> str:
+    """The name under which a stream writes, the same after a restart."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+
 @dataclass(frozen=True)
-class FileSink:
+class FileSink(_Batches):
     """Files below ``<root>/<aggregated topic>``; schemas are kept in ``<root>/_schemas``."""
 
     root: str
     file_format: str = "parquet"
     options: dict[str, str] = field(default_factory=dict)
 
-    def write(self, df: DataFrame, name: str) -> None:
-        self._register(df, name)
-        writer = df.write.format(self.file_format).options(**self.options)
-        writer.mode("append").save(f"{self.root}/{name}")
-
-    def write_batch(self, df: DataFrame, name: str, batch_id: int) -> None:
+    def write_batch(self, df: DataFrame, name: str, batch_id: int, writer: str = "batches") -> None:
         """Replace what an earlier attempt at this micro-batch wrote, if anything."""
         self._register(df, name)
-        writer = df.write.format(self.file_format).options(**self.options)
-        writer.mode("overwrite").save(f"{self.root}/{name}/batch={batch_id}")
+        out = df.write.format(self.file_format).options(**self.options)
+        out.mode("overwrite").save(f"{self.root}/{name}/{WRITER}={writer}/{BATCH}={batch_id}")
 
-    def start(self, df: DataFrame, name: str, checkpoint: str, trigger: dict) -> StreamingQuery:
-        self._register(df, name)
-        writer = df.writeStream.format(self.file_format).options(**self.options)
-        return _start(writer, name, checkpoint, trigger).start(f"{self.root}/{name}")
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        """All rows of an aggregated topic, whoever wrote them."""
+        schema = _file_schemas(spark, f"{self.root}/_schemas/{name}")[0]
+        layout = T.StructType([*schema.fields, T.StructField(WRITER, T.StringType()), T.StructField(BATCH, T.LongType())])
+        rows = spark.read.schema(layout).format(self.file_format).options(**self.options)
+        return rows.load(f"{self.root}/{name}").drop(WRITER, BATCH)
 
     def _register(self, df: DataFrame, name: str) -> None:
-        register_file_schema(df.sparkSession, f"{self.root}/_schemas/{name}", df.schema, name)
+        spark = df.sparkSession
+        if _exists(spark, f"{self.root}/{name}/_spark_metadata"):
+            raise ValueError(
+                f"{self.root}/{name} has the log of a file stream, which hides files written otherwise."
+            )
+        register_file_schema(spark, f"{self.root}/_schemas/{name}", df.schema, name)
 
 
 @dataclass(frozen=True)
-class TableSink:
+class TableSink(_Batches):
     """Catalog tables named after the aggregated topic, created when absent."""
 
     database: str = "default"
@@ -59,18 +93,20 @@ class TableSink:
     def table(self, name: str) -> str:
         return f"{quoted(self.database)}.{quoted(name)}"
 
-    def write(self, df: DataFrame, name: str) -> None:
-        register_schema(df.sparkSession, self.table(name), df.schema, self.file_format)
-        df.write.format(self.file_format).mode("append").saveAsTable(self.table(name))
+    def write_batch(self, df: DataFrame, name: str, batch_id: int, writer: str = "batches") -> None:
+        """Replace what an earlier attempt at this micro-batch wrote, if anything."""
+        self._register(df, name)
+        into = f"{self.table(name)} PARTITION ({WRITER} = {text(writer)}, {BATCH} = {batch_id})"
+        columns = ", ".join(map(quoted, df.columns))
+        df.sparkSession.sql(f"INSERT OVERWRITE {into} SELECT {columns} FROM {{rows}}", rows=df)
 
-    def write_batch(self, df: DataFrame, name: str, batch_id: int) -> None:
-        """Append; a repeated micro-batch is appended again."""
-        self.write(df, name)
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        """All rows of an aggregated topic, whoever wrote them."""
+        return spark.table(self.table(name)).drop(WRITER, BATCH)
 
-    def start(self, df: DataFrame, name: str, checkpoint: str, trigger: dict) -> StreamingQuery:
-        register_schema(df.sparkSession, self.table(name), df.schema, self.file_format)
-        writer = df.writeStream.format(self.file_format)
-        return _start(writer, name, checkpoint, trigger).toTable(self.table(name))
+    def _register(self, df: DataFrame, name: str) -> None:
+        parts = {WRITER: "string", BATCH: "bigint"}
+        register_schema(df.sparkSession, self.table(name), df.schema, self.file_format, parts)
 
 
 @dataclass(frozen=True)
@@ -92,14 +128,16 @@ class KafkaSink:
         messages = as_messages(df, self.topic_column)
         messages.write.format("kafka").options(**self._settings(name)).save()
 
-    def write_batch(self, df: DataFrame, name: str, batch_id: int) -> None:
+    def write_batch(self, df: DataFrame, name: str, batch_id: int, writer: str = "batches") -> None:
         """Send; a repeated micro-batch is sent again."""
         self.write(df, name)
 
-    def start(self, df: DataFrame, name: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+    def start(
+        self, df: DataFrame, name: str, checkpoint: str, trigger: dict, label: str | None = None
+    ) -> StreamingQuery:
         messages = as_messages(df, self.topic_column)
         writer = messages.writeStream.format("kafka").options(**self._settings(name))
-        return _start(writer, name, checkpoint, trigger).start()
+        return _start(writer, label or name, checkpoint, trigger).start()
 
 
 def as_messages(df: DataFrame, topic_column: str | None = None) -> DataFrame:
@@ -111,31 +149,55 @@ def as_messages(df: DataFrame, topic_column: str | None = None) -> DataFrame:
 
 
 def register_schema(
-    spark: SparkSession, table: str, schema: T.StructType, file_format: str = "parquet"
+    spark: SparkSession,
+    table: str,
+    schema: T.StructType,
+    file_format: str = "parquet",
+    partitions: dict[str, str] | None = None,
 ) -> bool:
     """Create ``table`` with ``schema`` unless it is there; True if it was created.
 
     An existing table must have the same column names and types in the same
-    order, else :class:`SchemaMismatch` is raised.
+    order, else :class:`SchemaMismatch` is raised. ``partitions`` are columns of the
+    table alone.
     """
+    partitions = partitions or {}
     if not spark.catalog.tableExists(table):
         columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
-        spark.sql(f"CREATE TABLE {table} ({columns}) USING {file_format}")
+        columns += "".join(f", {quoted(name)} {kind}" for name, kind in partitions.items())
+        by = f" PARTITIONED BY ({', '.join(map(quoted, partitions))})" if partitions else ""
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING {file_format}{by}")
         return True
-    _require_same(table, spark.table(table).schema, schema)
+    present = [f for f in spark.table(table).schema.fields if f.name not in partitions]
+    _require_same(table, T.StructType(present), schema)
     return False
 
 
 def register_file_schema(spark: SparkSession, path: str, schema: T.StructType, name: str) -> bool:
-    """The same for a folder of files, whose schema is kept as one line of JSON at ``path``."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+    """The same for a folder of files, whose schema is kept as a line of JSON below ``path``.
+
+    Every first writer has a folder of its own there. The line is added and then compared with all lines there are, so two first
+    writers at once find out about one another.
+    """
+    known = _file_schemas(spark, path)
+    if not known:
         line = spark.createDataFrame([(schema.json(),)], "value string")
-        line.coalesce(1).write.mode("overwrite").text(path)
-        return True
-    present = T.StructType.fromJson(json.loads(spark.read.text(path).first()[0]))
-    _require_same(name, present, schema)
-    return False
+        line.coalesce(1).write.text(f"{path}/{uuid.uuid4().hex}")
+    for present in known or _file_schemas(spark, path):
+        _require_same(name, present, schema)
+    return not known
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _file_schemas(spark: SparkSession, path: str) -> list[T.StructType]:
+    if not _exists(spark, path):
+        return []
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).distinct().collect()
+    return [T.StructType.fromJson(json.loads(line["value"])) for line in lines]
 
 
 def _require_same(name: str, present: T.StructType, schema: T.StructType) -> None:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -47,3 +49,17 @@ def measured(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame,
     observed.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     return table, observation.get if measures else {}
+
+
+@contextmanager
+def scratch(df: DataFrame, label: str, **measures: Column) -> Iterator[tuple[DataFrame, dict[str, Any]]]:
+    """Like :func:`measured`; the files go when the block ends."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    observation = Observation()
+    df.observe(observation, *[c.alias(n) for n, c in measures.items()]).write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path), observation.get
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -1,4 +1,4 @@
-"""One streaming query per aggregated topic, each with its own checkpoint."""
+"""Streaming queries of the aggregated topics, each with its own checkpoint."""
 
 from __future__ import annotations
 
@@ -11,9 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.config import AggregationConfig, WindowAggregation
 from tidemark.functions.eventtime import as_timestamp, tumbling, watermarked
-from tidemark.plans.aggregated import aggregate_all, source_messages, summarize_messages
+from tidemark.functions.stats import order_operations
+from tidemark.plans.aggregated import messages_by_topic, summarize_messages
+from tidemark.sinks.aggregated import writer_id
 from tidemark.sources.topics import TopicSource
-from tidemark.storage import measured
+from tidemark.storage import scratch
 
 # Spark's state store providers under the names used in configurations.
 STATE_STORES = {
@@ -36,6 +38,8 @@ def start_aggregations(
     sink,
     checkpoint_root: str,
     trigger: Mapping | None = None,
+    time_column: str = "timestamp",
+    order_by: Sequence[str] = (),
     **options,
 ) -> dict[str, StreamingQuery]:
     """Start every aggregated topic. Rows appear once their window has closed.
@@ -43,53 +47,32 @@ def start_aggregations(
     ``trigger`` takes the arguments of ``DataStreamWriter.trigger``. Restarting
     with the same checkpoint root continues where the queries stopped.
 
-    A window closes when all source topics of the aggregated topic have passed it
-    (``spark.sql.streaming.multipleWatermarkPolicy`` is ``min`` by default), so a
-    topic that lags loses nothing, and one that is silent (also: since a restart)
-    holds the rows back until it sends again.
-
-    Quartiles and median keep the values of an open window in one state row per
-    topic. Use :func:`start_large_aggregations` where a topic sends more than a
-    task can hold within a window.
-    """
-    frames = aggregate_all(config, source, **options)
-    return {
-        name: sink.start(frame, name, f"{checkpoint_root}/{name}", dict(trigger or {}))
-        for name, frame in frames.items()
-    }
-
-
-def start_large_aggregations(
-    config: AggregationConfig,
-    source: TopicSource,
-    sink,
-    checkpoint_root: str,
-    buckets: int,
-    trigger: Mapping | None = None,
-    time_column: str = "timestamp",
-    order_by: Sequence[str] = (),
-    **options,
-) -> dict[str, StreamingQuery]:
-    """Like :func:`start_aggregations`, for windows of any size.
+    Source topics of one aggregated topic are summarised separately, so each has a
+    query and a watermark of its own (``<aggregated topic>/<source topic>`` where there
+    are several): one that lags loses nothing, and one that is silent holds back
+    nothing but its own rows.
 
-    The messages of an open window are kept in ``buckets`` state rows, and the
-    closed window is summarised by the batch plan.
+    Statistics that merge keep a state row of fixed size for each window. Quartiles
+    and median go through :func:`start_on_close`.
     """
     started = {}
     for topic in config.aggregated_topics:
-        started[topic.name] = start_on_close(
-            source_messages(topic, source, time_column, order_by),
-            topic.window_aggregation,
-            partial(
+        parts = messages_by_topic(topic, source, time_column, order_by)
+        for name, messages in parts.items():
+            label = topic.name if len(parts) == 1 else f"{topic.name}/{name}"
+            summary = partial(
                 summarize_messages, topic, time_column=time_column, order_by=order_by, **options
-            ),
-            sink,
-            topic.name,
-            checkpoint_root,
-            buckets,
-            trigger,
-            time_column,
-        )
+            )
+            if order_operations(topic.window_aggregation.operations):
+                started[label] = start_on_close(
+                    messages, topic.window_aggregation, summary, sink, topic.name,
+                    checkpoint_root, trigger, time_column, label,
+                )
+            else:
+                checkpoint = f"{checkpoint_root}/{label}"
+                started[label] = sink.start(
+                    summary(messages), topic.name, checkpoint, dict(trigger or {}), label
+                )
     return started
 
 
@@ -100,37 +83,38 @@ def start_on_close(
     sink,
     name: str,
     checkpoint_root: str,
-    buckets: int,
     trigger: Mapping | None = None,
     time_column: str = "timestamp",
+    label: str | None = None,
 ) -> StreamingQuery:
     """Apply the batch plan ``compute`` to the messages of every window that closes.
 
-    Messages go to buckets by the hash of their content, so no state row holds
-    more than a share of a window whatever its keys are. Exact copies share a
-    bucket unless a column such as the offset tells them apart.
+    The state holds a count for every distinct message of an open window, in rows of
+    fixed size spread over all partitions, whatever the window's keys are. ``label``
+    names the query and its checkpoint, by default like the aggregated topic.
     """
-    if buckets < 1:
-        raise ValueError("buckets must be at least 1.")
-    columns = [F.col(f"`{column}`") for column in messages.columns]
-    at, bucket = "__at", F.pmod(F.xxhash64(*columns), F.lit(buckets))
+    label = label or name
+    at, copies, keep = "__at", "__copies", messages.columns
     timed = messages.withColumn(at, as_timestamp(messages, time_column))
     closed = (
         watermarked(timed, at, window.window_expiration_seconds)
-        .groupBy(tumbling(F.col(at), window.window_size_seconds), bucket.alias("__bucket"))
-        .agg(F.collect_list(F.struct(*columns)).alias("__messages"))
+        .groupBy(tumbling(F.col(at), window.window_size_seconds), *[F.col(f"`{c}`") for c in keep])
+        .agg(F.count(F.lit(1)).alias(copies))
     )
+    checkpoint = f"{checkpoint_root}/{label}"
+    writer = writer_id(checkpoint)
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        rows, found = measured(
-            batch.select(F.inline("__messages")), "closed", rows=F.count(F.lit(1))
-        )
-        if found["rows"]:
-            sink.write_batch(compute(rows), name, batch_id)
-
-    writer = closed.writeStream.outputMode("append").queryName(name).foreachBatch(emit)
-    writer = writer.option("checkpointLocation", f"{checkpoint_root}/{name}")
-    return (writer.trigger(**trigger) if trigger else writer).start()
+        counted = batch.select(*[F.col(f"`{c}`") for c in keep], copies)
+        with scratch(counted, "closed", rows=F.count(F.lit(1))) as (rows, found):
+            if found["rows"]:
+                each = F.explode(F.sequence(F.lit(1).cast("bigint"), copies)).alias("__copy")
+                whole = rows.select("*", each).drop(copies, "__copy")
+                sink.write_batch(compute(whole), name, batch_id, writer)
+
+    out = closed.writeStream.outputMode("append").queryName(label).foreachBatch(emit)
+    out = out.option("checkpointLocation", checkpoint)
+    return (out.trigger(**trigger) if trigger else out).start()
 
 
 def start_passthrough(
