@@ -140,68 +140,66 @@ def language_id(
                 logs = np.add.reduceat(table[codes], starts, axis=0).astype(float) * tempering
                 part = batch.slice(first, len(run)).drop_columns(["text"])
                 yield pa.record_batch(
-                    [*part.columns, pa.array(list(logs), pa.list_(pa.float64()))], names=[*part.schema.names, "logs"]
+                    [*part.columns, _lists(logs), _lists(_posterior(logs))], names=[*part.schema.names, "logs", "q"]
                 )
 
     has_letters = F.col("text").rlike(r"\p{L}").alias("letters")
+    evident = "did bigint, th bigint, declared string, host string, suffix string, letters boolean, logs array<double>, q array<double>"
+    shares = [F.sum(F.get("q", i)) for i in range(k + 1)]
     scored, size = measured(
-        rows.select("did", "th", "declared", "host", "suffix", has_letters, "text").mapInArrow(
-            weigh, "did bigint, th bigint, declared string, host string, suffix string, letters boolean, logs array<double>"
-        ).select("*", *_posterior("logs", k + 1)),
-        "languages", n=F.count("*"), **{f"q{i}": F.sum(f"q{i}") for i in range(k + 1)},
+        rows.select("did", "th", "declared", "host", "suffix", has_letters, "text").mapInArrow(weigh, evident),
+        "languages", n=F.count("*"), **{f"q{i}": x for i, x in enumerate(shares)},
     )
     total = size["n"] or 0
-    if not total:
-        return rows.select(
-            own_id("did").alias("doc_id"), F.lit("").alias("language"), F.lit(0.0).alias("posterior"),
-            F.lit("").alias("text_language"), "declared", "host", F.lit(False).alias("kept"), "th",
-        )
-    mix = [((size[f"q{i}"] or 0.0) + 1.0) / (total + k + 1) for i in range(k + 1)]
+    mix = np.array([((size[f"q{i}"] or 0.0) + 1.0) / (total + k + 1) for i in range(k + 1)])
 
     def totals(key: str, label: str) -> DataFrame:
-        named = [F.sum(f"q{i}").alias(f"{label}{i}") for i in range(k + 1)]
-        return measured(scored.groupBy(key).agg(F.count("*").alias(f"n_{label}"), *named), f"by-{key}")[0]
+        summed = scored.groupBy(key).agg(F.count("*").alias(f"n_{label}"), F.array(*shares).alias(label))
+        return measured(summed, f"by-{key}")[0]
 
-    # What documents of each language declare: at most one row for each language and one for all else.
+    # What documents of each language declare: a row for each language, and one for all else.
     code = F.when(F.col("declared").isin(*languages), F.col("declared")).otherwise(F.lit(""))
-    stated = {r["code"]: r for r in scored.groupBy(code.alias("code")).agg(*[F.sum(f"q{i}").alias(f"q{i}") for i in range(k + 1)]).collect()}
-    of_language = [sum(r[f"q{i}"] for c, r in stated.items() if c) for i in range(k + 1)]
+    stated = {r["code"]: np.array(r["q"]) for r in scored.groupBy(code.alias("code")).agg(F.array(*shares).alias("q")).collect()}
+    counts = np.array([stated.get(name, np.zeros(k + 1)) for name in languages])
+    told = dict(zip(languages, np.log((counts + 1) / (counts.sum(0) + k))))
+    names = np.array([*languages, UNKNOWN])
 
-    def told(i: int) -> Column:
-        """log of the share of language i that declares what this document does."""
-        value = F.lit(0.0)
-        for name in languages:
-            n = stated[name][f"q{i}"] if name in stated else 0.0
-            value = F.when(F.col("declared") == name, F.lit(float(np.log((n + 1) / (of_language[i] + k))))).otherwise(value)
-        return value
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logs, q, h, s = (_matrix(batch.column(c), k + 1) for c in ("logs", "q", "h", "s"))
+            n_h, n_s = (batch.column(c).to_numpy()[:, None] for c in ("n_h", "n_s"))
+            of_suffix = (np.maximum(s - q, 0) + strength * mix) / (n_s - 1 + strength)
+            of_host = (np.maximum(h - q, 0) + strength * of_suffix) / (n_h - 1 + strength)
+            declared_logs = np.array([told.get(d, np.zeros(k + 1)) for d in batch.column("declared").to_pylist()]).reshape(-1, k + 1)
+            f = _posterior(logs + declared_logs + np.log(of_host))
+            letters = np.array(batch.column("letters"))
+            language = np.where(letters, names[f.argmax(1)], UNKNOWN)
+            by_text = np.where(letters, names[q.argmax(1)], UNKNOWN)
+            posterior = f.max(1)
+            kept = (language != UNKNOWN) & (posterior >= min_posterior)
+            yield pa.record_batch(
+                [batch.column("did"), pa.array(language.tolist(), pa.string()), pa.array(posterior),
+                 pa.array(by_text.tolist(), pa.string()), batch.column("declared"), batch.column("host"), pa.array(kept), batch.column("th")],
+                names=["did", "language", "posterior", "text_language", "declared", "host", "kept", "th"],
+            )
 
     hosted = join_counted(scored, totals("host", "h"), ["host"], "n_h", total)
     joined = join_counted(hosted, totals("suffix", "s"), ["suffix"], "n_s", total)
-    logs = []
-    for i in range(k + 1):
-        own = F.col(f"q{i}")
-        of_suffix = (F.col(f"s{i}") - own + strength * mix[i]) / (F.col("n_s") - 1 + strength)
-        of_host = (F.greatest(F.col(f"h{i}") - own, F.lit(0.0)) + strength * of_suffix) / (F.col("n_h") - 1 + strength)
-        logs.append(F.get("logs", i) + told(i) + F.log(F.greatest(of_host, F.lit(1e-9))))
-    fused = joined.withColumn("fused", F.array(*logs)).select("*", *_posterior("fused", k + 1, "f"))
-    names = F.array(*[F.lit(x) for x in (*languages, UNKNOWN)])
-
-    def best(label: str) -> Column:
-        values = F.array(*[F.col(f"{label}{i}") for i in range(k + 1)])
-        return F.get(names, F.array_position(values, F.array_max(values)).cast("int") - 1)
-
-    language = F.when(F.col("letters"), best("f")).otherwise(UNKNOWN)
-    posterior = F.greatest(*[F.col(f"f{i}") for i in range(k + 1)])
-    return fused.select(
-        own_id("did").alias("doc_id"), language.alias("language"), posterior.alias("posterior"),
-        F.when(F.col("letters"), best("q")).otherwise(UNKNOWN).alias("text_language"), "declared", "host",
-        ((language != UNKNOWN) & (posterior >= min_posterior)).alias("kept"), "th",
-    )
+    found = joined.select("did", "th", "declared", "host", "letters", "logs", "q", "h", "n_h", "s", "n_s").mapInArrow(
+        fuse, "did bigint, language string, posterior double, text_language string, declared string, host string, kept boolean, th bigint"
+    )
+    return found.withColumn("did", own_id("did")).withColumnRenamed("did", "doc_id")
+
+
+def _posterior(logs: np.ndarray) -> np.ndarray:
+    weights = np.exp(logs - logs.max(1, keepdims=True))
+    return weights / weights.sum(1, keepdims=True)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
 
 
-def _posterior(logs: str, n: int, label: str = "q") -> list[Column]:
-    """Normalised weights from an array of logarithms."""
-    top = F.array_max(logs)
-    weights = [F.exp(F.get(logs, i) - top) for i in range(n)]
-    total = sum(weights[1:], weights[0])
-    return [(w / total).alias(f"{label}{i}") for i, w in enumerate(weights)]
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, width)
