@@ -64,8 +64,9 @@ def fit(rows: DataFrame, labels: DataFrame, domain: Column, label_id: str, domai
     weights = {}
     for kind in ("whole", "ending"):
         counts = np.zeros((len(domains), BUCKETS))
-        for r in words.groupBy("domain", kind).count().collect():  # domains x buckets at most
-            counts[domains.index(r["domain"]), r[kind]] += r["count"]
+        found = words.groupBy("domain", kind).count().toArrow()  # domains x buckets at most
+        at = [domains.index(d) for d in found.column("domain").to_pylist()]
+        counts[at, found.column(kind).to_numpy()] = found.column("count").to_numpy()
         # How much more often than in all domains together; few counts say little.
         expected = counts.sum(0) / max(counts.sum(), 1) * counts.sum(1, keepdims=True)
         logs = np.log((counts + SHRINK) / (expected + SHRINK))

@@ -183,27 +183,35 @@ def _small_runs(column: pa.Array, chars: int = 400_000) -> Iterator[list[str]]:
         yield run
 
 
-def train_dictionary(base: DataFrame, tokenizer_path: str, end_id: int, documents: int, size: int) -> bytes:
-    """A dictionary from at most ``documents`` documents of up to 16 kB, those with the least hashes."""
+def train_dictionary(base: DataFrame, tokenizer_path: str, end_id: int, documents: int, size: int) -> tuple[int, bytes]:
+    """Bytes per id, and a dictionary from the ids of ``documents`` documents at most.
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    They are those of up to 16 kB with the least hashes, so one task can hold them.
+    """
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer_path)
         end = end_id.to_bytes(tool.width, "little")
+        samples = []
         for batch in batches:
             for run in _small_runs(batch.column("text")):
-                yield pa.record_batch([pa.array([x + end for x in tool.encode(run)], pa.binary())], names=["ids"])
+                samples += [x + end for x in tool.encode(run)]
+        dictionary = b""
+        if len(samples) >= 50:
+            try:
+                dictionary = zstandard.train_dictionary(size, samples, level=3).as_bytes()
+            except zstandard.ZstdError:  # too little to learn from
+                pass
+        yield pa.record_batch([pa.array([tool.width]), pa.array([dictionary], pa.binary())], names=["width", "dictionary"])
 
     sample = (
         base.where("octet_length(text) between 1 and 16384")
         .select("text", F.xxhash64("did", "th").alias("at")).orderBy("at", "text").limit(documents)
     )
-    samples = [bytes(r["ids"]) for r in sample.select("text").mapInArrow(encode, "ids binary").collect()]
-    if len(samples) < 50:
-        return b""
-    try:
-        return zstandard.train_dictionary(size, samples, level=3).as_bytes()
-    except zstandard.ZstdError:  # too little to learn from
-        return b""
+    trained = sample.select("text").coalesce(1).mapInArrow(train, "width bigint, dictionary binary").collect()
+    if not trained:  # Spark leaves out what it knows to be empty
+        return 4, b""
+    return trained[0]["width"], bytes(trained[0]["dictionary"])
 
 
 def write_tokens(
@@ -227,7 +235,7 @@ def write_tokens(
     spark = docs.sparkSession
     ship(spark)
     base = texts(docs, id_column, text_column)
-    dictionary = train_dictionary(base, tokenizer_path, end_id, dictionary_documents, dictionary_bytes)
+    width, dictionary = train_dictionary(base, tokenizer_path, end_id, dictionary_documents, dictionary_bytes)
     (
         spark.createDataFrame([(bytearray(dictionary),)], "content binary").coalesce(1)
         .select(F.col("content").cast("string").alias("value")).write.text(f"{path}/dictionary")
@@ -254,7 +262,6 @@ def write_tokens(
         "frames", bytes=F.sum(F.length("frame")),
     )
     partitions = int((size["bytes"] or 0) // partition_bytes) + 1
-    width = _id_width(tokenizer_path)
     stamp = _hash(dictionary)
 
     def pack_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,10 +300,6 @@ def write_tokens(
     )
 
 
-def _id_width(tokenizer_path: str) -> int:
-    return encoder(tokenizer_path).width
-
-
 def _index(content: bytes) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray, int]:
     head = struct.unpack_from(HEADER, content)
     if head[0] != MAGIC:
