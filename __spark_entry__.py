@@ -8,6 +8,7 @@ sides.
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
 from collections.abc import Callable
@@ -43,7 +44,7 @@ from tidemark.operators.topics import (  # noqa: E402
 from tidemark.sinks.aggregated import FileSink  # noqa: E402
 from tidemark.sources.topics import decode_messages, frames_source, tagged_source  # noqa: E402
 from tidemark.storage import new_path  # noqa: E402
-from tidemark.streaming.queries import start_aggregations  # noqa: E402
+from tidemark.streaming.queries import start_aggregations, start_passthrough  # noqa: E402
 
 try:  # the corpus operators are a part that can be left out
     import corpus_pipeline as _pipeline  # noqa: E402
@@ -224,18 +225,54 @@ def _half_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.withColumn("time", F.floor(seconds / 1800) * F.lit(1800.0))
 
 
-def _cogroup_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = cogroup(
-        _half_hours(spark, sf_dir),
-        window_size_seconds=HOUR, time_column="ts", value="value", order_by=["event_id"],
-    )
-
+def _cogrouped(**options) -> Query:
     def text(record: Column) -> Column:
         cents = F.round(record["value"] * 100).cast("bigint").cast("string")
         return F.concat(record["field"], F.lit("="), cents)
 
-    listed = F.concat_ws(",", F.transform("records", text))
-    return groups.select("time", "window_start", "part", listed.alias("records"))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        groups = cogroup(
+            _half_hours(spark, sf_dir),
+            window_size_seconds=HOUR, time_column="ts", value="value", order_by=["event_id"], **options,
+        )
+        listed = F.concat_ws(",", F.transform("records", text))
+        return groups.select("time", "window_start", "part", "parts", listed.alias("records"))
+
+    return run
+
+
+def _config_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = AggregationConfig.from_mapping(
+        {
+            "aggregated_topics": [
+                {
+                    "window_aggregation": {"window_size_seconds": HOUR, "operations": ["mean", "max"]},
+                    "filter": {
+                        "topic_regex": "(click|error|view)",
+                        "excluded_topics": ["error"],
+                        "excluded_field_names": ["event_id", "user_id"],
+                    },
+                    "name_format": "{source_topic_name}-hourly",
+                }
+            ]
+        }
+    )
+    events = _event_topics(spark, sf_dir)
+    names = [r["topic"] for r in events.select("topic").distinct().collect()]
+    frames = aggregate_all(config, tagged_source(events), available=names, time_column="ts")
+    labelled = [f.select(F.lit(n).alias("aggregated_topic"), "*") for n, f in frames.items()]
+    return _rounded(functools.reduce(DataFrame.unionByName, labelled))
+
+
+def _passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _events(spark, sf_dir).schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    out = new_path(spark, "copy")
+    sink = FileSink(f"{out}/data")
+    start_passthrough(
+        stream.select("event_id", "user_id", "event_type"), "events", sink, f"{out}/checkpoints", {"availableNow": True}
+    ).awaitTermination()
+    return sink.read(spark, "events")
 
 
 def _join_topics_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,7 +367,11 @@ def queries() -> dict[str, Query]:
         "aggregate_matching": _aggregate_matching,
         "multi_topic_union": _multi_topic_union,
         "multi_config": _multi_config,
-        "cogroup_topics": _cogroup_topics,
+        "cogroup_topics": _cogrouped(),
+        "cogroup_parts": _cogrouped(part_rows=2),
+        "config_regex": _config_regex,
+        "undefined_statistic": _event_summary(("stdev", "q1"), keys=("event_type",), min_sample_size=1),
+        "passthrough": _passthrough,
         "join_topics_wide": _join_topics_wide,
         "standard_error": _standard_error,
         "reduction_factor": _reduction_factor,
@@ -418,11 +459,17 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL BY NAME
             SELECT '{aggregated_name("error")}' AS aggregated_topic, *
             FROM ({_summary_sql(errors, "ts", DAY, value, ("q1", "median", "q3"))})""",
-        "cogroup_topics": f"""
-            SELECT time, window_start, CAST(0 AS BIGINT) AS part,
-                   string_agg(topic || '.value=' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR),
-                              ',' ORDER BY ts, event_id) AS records
-            FROM ({half_hours}) GROUP BY time, window_start""",
+        "cogroup_topics": _cogroup_sql(half_hours, 50_000),
+        "cogroup_parts": _cogroup_sql(half_hours, 2),
+        "config_regex": f"""
+            SELECT topic || '-hourly' AS aggregated_topic, * EXCLUDE (topic) FROM ({_summary_sql(
+                **all_events, fields=value, operations=("mean", "max"), **by_topic,
+                where="event_type IN ('click', 'view')",
+            )})""",
+        "undefined_statistic": events_sql(
+            ("stdev", "q1"), keys={"event_type": "event_type"}, min_sample_size=1
+        ),
+        "passthrough": "SELECT event_id, user_id, event_type FROM events",
         "join_topics_wide": f"""
             SELECT time, window_start,
                    round(arg_max(value, (ts, event_id)) FILTER (topic = 'click'), 6) AS click_value,
@@ -444,6 +491,18 @@ def oracle_sql() -> dict[str, str]:
     }
 
 
+def _cogroup_sql(relation: str, part_rows: int) -> str:
+    return f"""
+        SELECT time, window_start, part, CAST(ceil(any_value(n) / {part_rows}.0) AS BIGINT) AS parts,
+               string_agg(topic || '.value=' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR),
+                          ',' ORDER BY ts, event_id) AS records
+        FROM (SELECT *, count(*) OVER (PARTITION BY time, window_start) AS n,
+                     (row_number() OVER (PARTITION BY time, window_start ORDER BY ts, event_id) - 1)
+                         // {part_rows} AS part
+              FROM ({relation}))
+        GROUP BY time, window_start, part"""
+
+
 def _summary_sql(
     relation, time, size, fields, operations,
     keys=None, min_sample_size=2, order=None, where="true", digits=6,

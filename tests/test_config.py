@@ -117,3 +117,21 @@ def test_repeated_topics_raise():
         AggregationConfig((one, one))
     with pytest.raises(ValueError):
         AggregatedTopic("a", ())
+
+
+def test_patterns_take_the_topics_there_are():
+    config = AggregationConfig.from_mapping({"aggregated_topics": [
+        {"filter": {"topic_regex": "pump_.*", "excluded_topics": ["pump_b"], "excluded_field_names": ["id"]},
+         "window_aggregation": {"window_size_seconds": 60}, "name_format": "{source_topic_name}-minutely"},
+        {"name": "tank", "filter": {"source_topics": [{"name": "tank", "fields": ["depth"]}]}},
+    ]})
+    resolved = config.resolve(["pump_a", "pump_b", "pump_c", "a_pump_x", "tank"])
+    assert resolved.aggregated_topic_names == ["tank", "pump_a-minutely", "pump_c-minutely"]
+    pump = resolved.get("pump_a-minutely")
+    assert pump.excluded_fields == ("id",) and pump.window_aggregation.window_size_seconds == 60
+    assert pump.source_topics[0].fields is None
+
+
+def test_a_pattern_has_no_name_of_its_own():
+    with pytest.raises(ValueError):
+        AggregationConfig.from_mapping({"aggregated_topics": [{"name": "x", "filter": {"topic_regex": "a"}}]})

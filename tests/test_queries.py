@@ -35,7 +35,11 @@ def ordered(rows, columns):
     return sorted(rows, key=lambda row: [(v is None, str(v)) for v in row])
 
 
-@pytest.mark.parametrize("name", list(entries.queries()))
+# Queries of the corpus operators have tests of their own.
+NAMES = [name for name in entries.queries() if not name.startswith("op") and name != "pipeline"]
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_same_rows_as_sql(spark, sql, name):
     got = entries.queries()[name](spark, SF)
     want = sql.execute(entries.oracle_sql()[name])

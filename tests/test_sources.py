@@ -43,14 +43,21 @@ def test_avro_fields():
     assert numeric_fields(schema, "strict") == ["long_field", "double_field"]
 
 
-@pytest.mark.parametrize(
-    "bad",
-    ["string", {"type": "record", "fields": [{"name": "x", "type": ["int", "string"]}]},
-     {"type": "record", "fields": [{"name": "x", "type": {"type": "array", "items": "int"}}]}],
-)
-def test_other_avro_schemas_raise(bad):
+def test_an_avro_schema_is_a_record():
     with pytest.raises(ValueError):
-        schema_from_avro(json.dumps(bad))
+        schema_from_avro(json.dumps("string"))
+
+
+def test_other_avro_fields_are_kept_but_never_numeric():
+    record = {"type": "record", "fields": [
+        {"name": "choice", "type": ["int", "string"]},
+        {"name": "list", "type": {"type": "array", "items": "int"}},
+        {"name": "inner", "type": {"type": "record", "name": "r", "fields": []}},
+        {"name": "x", "type": ["null", {"type": "double"}]},
+    ]}
+    schema = schema_from_avro(json.dumps(record))
+    assert schema.fieldNames() == ["choice", "list", "inner", "x"]
+    assert numeric_fields(schema) == ["x"]
 
 
 @pytest.fixture
@@ -73,6 +80,20 @@ def test_json_messages(raw):
     ]
 
 
+def test_malformed_messages_can_raise(raw):
+    schema = T.StructType().add("time", "double").add("value0", "double")
+    with pytest.raises(Exception, match="MALFORMED"):
+        decode_messages(raw, schema, on_malformed="raise").collect()
+    with pytest.raises(ValueError, match="skip"):
+        decode_messages(raw, schema, on_malformed="skip")
+
+
+def test_a_prefix_frees_the_names_of_message_columns(raw):
+    schema = T.StructType().add("time", "double").add("offset", "double")
+    out = decode_messages(raw, schema, prefix="message_")
+    assert set(out.columns) == {f"message_{c}" for c in ("topic", "partition", "offset", "timestamp")} | {"time", "offset"}
+
+
 def test_payload_cannot_hide_message_columns(raw):
     with pytest.raises(ValueError, match="offset"):
         decode_messages(raw, T.StructType().add("offset", "double"))

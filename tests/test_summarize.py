@@ -261,4 +261,8 @@ def test_a_hot_plan_never_gathers_the_hot_group(messages):
     rows = [(0.0, float(i)) for i in range(100)]
     out = summarize(messages(rows, "value double"), window(), max_group_values=10)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan  # all rows are in hot groups
+    rows.append((5.0, 1.0))
+    out = summarize(messages(rows, "value double"), window(), max_group_values=10)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan  # the rows of hot groups do not reach collect_list

@@ -3,7 +3,7 @@
 The YAML layout (fixed names, so existing files keep working)::
 
     aggregated_topics:
-    - name: aggregated_example0
+    - name: tank_levels_hourly
       window_aggregation:
         window_size_seconds: 1
         window_expiration_seconds: 0
@@ -11,13 +11,22 @@ The YAML layout (fixed names, so existing files keep working)::
         operations: [mean]
       filter:
         source_topics:
-        - name: example0
-          fields: [spam, ham, eggs]
-          map: {spam: foo}
+        - name: tank_levels
+          fields: [depth, volume, inflow]
+          map: {depth: depth_m}
+        excluded_field_names: [volume]
+    - filter:
+        topic_regex: pump_.*
+        excluded_topics: [pump_test]
+      name_format: "{source_topic_name}-minutely"
+
+An entry with ``topic_regex`` stands for all topics whose whole name matches; see
+:meth:`AggregationConfig.resolve`.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -82,9 +91,11 @@ class AggregatedTopic:
     name: str
     source_topics: tuple[SourceTopic, ...]
     window_aggregation: WindowAggregation = field(default_factory=WindowAggregation)
+    excluded_fields: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "source_topics", tuple(self.source_topics))
+        object.__setattr__(self, "excluded_fields", tuple(self.excluded_fields))
         if not self.source_topics:
             raise ValueError(f"Aggregated topic {self.name!r} has no source topic.")
         _reject_duplicates(self.source_topic_names, f"source topics of {self.name!r}")
@@ -98,14 +109,41 @@ class AggregatedTopic:
         return {topic.name: topic for topic in self.source_topics}[source_topic]
 
 
+@dataclass(frozen=True)
+class TopicPattern:
+    """An aggregated topic for each topic whose whole name matches and is not excluded."""
+
+    topic_regex: str = ".*"
+    excluded_topics: tuple[str, ...] = ()
+    excluded_fields: tuple[str, ...] = ()
+    window_aggregation: WindowAggregation = field(default_factory=WindowAggregation)
+    name_format: str = DEFAULT_NAME_FORMAT
+
+    def __post_init__(self) -> None:
+        re.compile(self.topic_regex)
+        object.__setattr__(self, "excluded_topics", tuple(self.excluded_topics))
+        object.__setattr__(self, "excluded_fields", tuple(self.excluded_fields))
+
+    def resolve(self, available: Iterable[str]) -> list[AggregatedTopic]:
+        return [
+            AggregatedTopic(
+                aggregated_name(name, self.name_format), (SourceTopic(name),), self.window_aggregation, self.excluded_fields
+            )
+            for name in sorted(set(available))
+            if re.fullmatch(self.topic_regex, name) and name not in self.excluded_topics
+        ]
+
+
 @dataclass(frozen=True)
 class AggregationConfig:
     """All aggregated topics of one deployment."""
 
     aggregated_topics: tuple[AggregatedTopic, ...]
+    patterns: tuple[TopicPattern, ...] = ()
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "aggregated_topics", tuple(self.aggregated_topics))
+        object.__setattr__(self, "patterns", tuple(self.patterns))
         _reject_duplicates(self.aggregated_topic_names, "aggregated topics")
 
     @property
@@ -125,7 +163,20 @@ class AggregationConfig:
         An entry without a name is called after its first source topic, using
         ``name_format``.
         """
-        return cls(tuple(_read_topic(entry, name_format) for entry in tree["aggregated_topics"]))
+        read = [_read_entry(entry, name_format) for entry in tree["aggregated_topics"]]
+        return cls(
+            tuple(entry for entry in read if isinstance(entry, AggregatedTopic)),
+            tuple(entry for entry in read if isinstance(entry, TopicPattern)),
+        )
+
+    def resolve(self, available: Iterable[str]) -> AggregationConfig:
+        """The same with an entry for each of the ``available`` topics that a pattern takes.
+
+        A topic that several entries take belongs to each of them; their names must differ.
+        """
+        available = list(available)
+        matched = [topic for pattern in self.patterns for topic in pattern.resolve(available)]
+        return AggregationConfig((*self.aggregated_topics, *matched))
 
     @classmethod
     def from_yaml(
@@ -141,15 +192,23 @@ def aggregated_name(source_topic: str, name_format: str = DEFAULT_NAME_FORMAT) -
     return name_format.format(source_topic_name=source_topic)
 
 
-def _read_topic(entry: Mapping[str, Any], name_format: str) -> AggregatedTopic:
-    sources = tuple(SourceTopic(**source) for source in entry["filter"]["source_topics"])
+def _read_entry(entry: Mapping[str, Any], name_format: str) -> AggregatedTopic | TopicPattern:
+    chosen = entry["filter"]
+    window = WindowAggregation(**(entry.get("window_aggregation") or {}))
+    excluded = tuple(chosen.get("excluded_field_names") or ())
+    if "topic_regex" in chosen:
+        if chosen.get("source_topics") or entry.get("name"):
+            raise ValueError("An entry has either topic_regex or source topics and a name.")
+        return TopicPattern(
+            chosen["topic_regex"], tuple(chosen.get("excluded_topics") or ()), excluded, window,
+            entry.get("name_format", name_format),
+        )
+    gone = set(chosen.get("excluded_topics") or ())
+    sources = tuple(SourceTopic(**source) for source in chosen["source_topics"] if source["name"] not in gone)
     if not sources:
         raise ValueError("An aggregated topic has no source topic.")
-    return AggregatedTopic(
-        name=entry.get("name") or aggregated_name(sources[0].name, name_format),
-        source_topics=sources,
-        window_aggregation=WindowAggregation(**(entry.get("window_aggregation") or {})),
-    )
+    name = entry.get("name") or aggregated_name(sources[0].name, entry.get("name_format", name_format))
+    return AggregatedTopic(name, sources, window, excluded)
 
 
 def _reject_duplicates(names: Iterable[str], what: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.config import WindowAggregation
@@ -226,17 +226,24 @@ def _summarize_batch(rows: DataFrame, plan: _Plan, max_group_values: int | None)
         return gathered(rows)
     max_group_rows = max(1, max_group_values // len(plan.names))
 
-    # At most (all rows / max_group_rows) groups are hot, so this table is small.
     sizes = rows.groupBy(*plan.group).agg(F.count(F.lit(1)).alias(_COUNT))
+    everything = Observation()
     hot, found = measured(
-        sizes.where(F.col(_COUNT) > max_group_rows).select(*plan.group),
+        sizes.observe(everything, F.sum(_COUNT).alias("rows"))
+        .where(F.col(_COUNT) > max_group_rows)
+        .select(*plan.group, _COUNT),
         "hot",
         groups=F.count(F.lit(1)),
+        rows=F.sum(_COUNT),
     )
     if not found["groups"]:
         return gathered(rows)
+    # The selection reads its rows several times: they are written once, with their fields alone.
+    hot = hot.select(*plan.group)
+    if found["rows"] == everything.get["rows"]:
+        return _summarize_hot(written(rows, "hot-rows"), plan, max_group_values)
+    hot_rows = written(join_on(rows, hot, plan.group, "left_semi"), "hot-rows")
     cold_rows = join_on(rows, hot, plan.group, "left_anti")
-    hot_rows = join_on(rows, hot, plan.group, "left_semi")
     return gathered(cold_rows).unionByName(_summarize_hot(hot_rows, plan, max_group_values))
 
 

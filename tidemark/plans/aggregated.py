@@ -56,7 +56,7 @@ def summarize_messages(
         time_column=time_column,
         keys=_keys(topic),
         order_by=order_by,
-        exclude=["topic", *exclude],
+        exclude=["topic", *topic.excluded_fields, *exclude],
         **options,
     )
 
@@ -108,6 +108,8 @@ def messages_by_topic(
         alone = replace(topic, source_topics=(one,))
         carry = [time_column, *_keys(topic), *order_by]
         part = project_topic(source([one.name]), alone.source_topics[0], carry)
+        if part.isStreaming:
+            part = part.withColumn(time_column, as_timestamp(part, time_column))
         parts[one.name] = part.select(
             *[
                 (F.col(f"`{f.name}`") if f.name in part.columns else F.lit(None)).cast(f.dataType).alias(f.name)
@@ -122,9 +124,19 @@ def _keys(topic: AggregatedTopic) -> list[str]:
 
 
 def aggregate_all(
-    config: AggregationConfig, source: TopicSource, **options
+    config: AggregationConfig,
+    source: TopicSource,
+    available: Sequence[str] | None = None,
+    **options,
 ) -> dict[str, DataFrame]:
-    """All aggregated topics of a configuration, by name."""
+    """All aggregated topics of a configuration, by name.
+
+    A configuration with patterns needs the names of the ``available`` topics.
+    """
+    if config.patterns:
+        if available is None:
+            raise ValueError("The configuration has patterns: say which topics there are.")
+        config = config.resolve(available)
     return {
         topic.name: aggregate_topic(topic, source, **options)
         for topic in config.aggregated_topics

@@ -19,7 +19,12 @@ AVRO_PRIMITIVES = {
 
 
 def schema_from_avro(avro_schema: str) -> T.StructType:
-    """Spark schema of an Avro record of primitive or optional primitive fields."""
+    """Spark schema of an Avro record.
+
+    Fields of primitive or optional primitive types have their Spark type. Of all others
+    (records, arrays, maps, enumerations, fixed, unions of several) only the name matters
+    here, as they are never aggregated; they appear as strings.
+    """
     record = json.loads(avro_schema)
     if not isinstance(record, dict) or record.get("type") != "record":
         raise ValueError("The Avro schema of a topic must be a record.")
@@ -28,9 +33,14 @@ def schema_from_avro(avro_schema: str) -> T.StructType:
 
 def _field(name: str, kind) -> T.StructField:
     branches = kind if isinstance(kind, list) else [kind]
-    branches = [branch["type"] if isinstance(branch, dict) else branch for branch in branches]
+    branches = [_plain(branch) for branch in branches]
     nullable = "null" in branches
     kinds = [branch for branch in branches if branch != "null"]
-    if len(kinds) != 1 or kinds[0] not in AVRO_PRIMITIVES:
-        raise ValueError(f"Field {name!r} has the unsupported Avro type {kind!r}")
-    return T.StructField(name, AVRO_PRIMITIVES[kinds[0]], nullable)
+    single = AVRO_PRIMITIVES.get(kinds[0]) if len(kinds) == 1 else None
+    return T.StructField(name, single or T.StringType(), nullable)
+
+
+def _plain(kind) -> str:
+    while isinstance(kind, dict):
+        kind = kind["type"]
+    return kind if isinstance(kind, str) else ""

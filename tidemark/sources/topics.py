@@ -102,27 +102,39 @@ def decode_messages(
     schema: T.StructType | str,
     value_format: str = "json",
     schema_id_header: bool = True,
+    on_malformed: str = "keep",
+    prefix: str = "",
 ) -> DataFrame:
     """Message columns and decoded payload fields from raw Kafka rows.
 
     ``schema_id_header`` skips the five bytes (marker and schema id) that schema
     registry clients put before an Avro value.
+
+    A value that cannot be read gives a row of nulls, which ``count`` counts, or an error
+    with ``on_malformed="raise"``. ``prefix`` is put before the names of the message
+    columns (timestamp, offset, partition, topic), so that a payload may have fields of
+    these names.
     """
+    if on_malformed not in ("keep", "raise"):
+        raise ValueError(f"on_malformed must be 'keep' or 'raise', not {on_malformed!r}")
+    mode = {"mode": "FAILFAST" if on_malformed == "raise" else "PERMISSIVE"}
     if value_format == "json":
         fields = schema.fieldNames()
-        payload = F.from_json(F.col("value").cast("string"), schema)
+        payload = F.from_json(F.col("value").cast("string"), schema, mode)
     elif value_format == "avro":
         from pyspark.sql.avro.functions import from_avro
 
         fields = schema_from_avro(schema).fieldNames()
         body = F.expr("substring(value, 6)") if schema_id_header else F.col("value")
-        payload = from_avro(body, schema)
+        payload = from_avro(body, schema, mode)
     else:
         raise ValueError(f"value_format must be 'json' or 'avro', not {value_format!r}")
-    clashes = sorted(set(fields) & set(KAFKA_COLUMNS))
+    names = [prefix + column for column in KAFKA_COLUMNS]
+    clashes = sorted(set(fields) & set(names))
     if clashes:
-        raise ValueError(f"The payload has fields named like message columns: {clashes}")
-    return raw.select(*KAFKA_COLUMNS, payload.alias("payload")).select(*KAFKA_COLUMNS, "payload.*")
+        raise ValueError(f"The payload has fields named like message columns: {clashes}; set a prefix.")
+    columns = [F.col(column).alias(name) for column, name in zip(KAFKA_COLUMNS, names)]
+    return raw.select(*columns, payload.alias("payload")).select(*names, "payload.*")
 
 
 def check_fixed_end(options: Mapping[str, str]) -> None:

@@ -54,7 +54,11 @@ def start_aggregations(
 
     Statistics that merge keep a state row of fixed size for each window. Quartiles
     and median go through :func:`start_on_close`.
+
+    A configuration with patterns is to be resolved against the topics there are.
     """
+    if config.patterns:
+        raise ValueError("Resolve the patterns of the configuration first.")
     started = {}
     for topic in config.aggregated_topics:
         parts = messages_by_topic(topic, source, time_column, order_by)
