@@ -16,8 +16,10 @@ from tidemark.storage import measured
 BUCKETS = 2**14
 # Labelled documents the classifier is fitted on, at most (those with the least hashes).
 SAMPLE = 20_000
-# Occurrences added to those of a feature and to those expected of it.
-SHRINK = 5.0
+# A feature counts for a domain if its documents are so many standard deviations from what is expected.
+CLEAR = 4.0
+# Documents added to those with a feature and to those expected.
+SHRINK = 1.0
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -59,21 +61,26 @@ def fit(rows: DataFrame, labels: DataFrame, domain: Column, label_id: str, domai
     known = known.where(F.col("did").isNotNull() & F.col("domain").isin(*domains)).distinct()
     chosen = known.orderBy(F.xxhash64("did"), "did", "domain").limit(sample)
     chosen = measured(chosen, "labelled")[0]  # at most ``sample`` rows, so it can be sent
-    labelled = rows.select("did", "text").join(F.broadcast(chosen), "did").select("domain", "text")
+    labelled = rows.join(F.broadcast(chosen), "did").select("domain", "th", "text")
+    labelled = labelled.dropDuplicates(["domain", "th"])  # copies are no further evidence
     words = _words(labelled)
+    found = labelled.groupBy("domain").count().toArrow()
+    documents = np.zeros(len(domains))
+    documents[[domains.index(d) for d in found.column("domain").to_pylist()]] = found.column("count").to_numpy()
+    total = max(documents.sum(), 1)
     weights = {}
     for kind in ("whole", "ending"):
         counts = np.zeros((len(domains), BUCKETS))
-        found = words.groupBy("domain", kind).count().toArrow()  # domains x buckets at most
+        holding = words.select("domain", "th", kind).distinct().groupBy("domain", kind).count()
+        found = holding.toArrow()  # domains x buckets at most
         at = [domains.index(d) for d in found.column("domain").to_pylist()]
         counts[at, found.column(kind).to_numpy()] = found.column("count").to_numpy()
-        # How much more often than in all domains together; few counts say little.
-        expected = counts.sum(0) / max(counts.sum(), 1) * counts.sum(1, keepdims=True)
-        logs = np.log((counts + SHRINK) / (expected + SHRINK))
+        # In how many more documents of a domain than in those of all; chance differences say nothing.
+        expected = counts.sum(0) / total * documents[:, None]
+        clear = np.abs(counts - expected) > CLEAR * np.sqrt(expected + 1)
+        logs = np.where(clear, np.log((counts + SHRINK) / (expected + SHRINK)), 0.0)
         weights[kind] = logs - logs[:1]  # against the first domain
-    documents = {r["domain"]: r["count"] for r in labelled.groupBy("domain").count().collect()}
-    total = sum(documents.values())
-    prior = [float(np.log((documents.get(d, 0) + 1) / (total + len(domains)))) for d in domains]
+    prior = np.log((documents + 1) / (documents.sum() + len(domains))).tolist()
     return Classifier(domains, prior, weights)
 
 
