@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tidemark.llm.decontaminate import decontaminate  # noqa: E402
-from tidemark.llm.frames import NO_ID  # noqa: E402
+from tidemark.llm.frames import NO_ID, matched  # noqa: E402
 from tidemark.llm.language_id import language_id  # noqa: E402
 from tidemark.llm.mixing import mix  # noqa: E402
 from tidemark.llm.ngram_join import ngram_join  # noqa: E402
 from tidemark.llm.queries import MIX_ANCHOR, MIX_WEIGHTS, tokens  # noqa: E402
-from tidemark.storage import written  # noqa: E402
+from tidemark.storage import measured, written  # noqa: E402
 
 
 def _key(docs: DataFrame) -> list[Column]:
@@ -32,8 +32,10 @@ def _key(docs: DataFrame) -> list[Column]:
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows of ``dropped(did, th)``."""
     did, th = _key(docs)
-    gone = written(dropped.select(F.col("did").alias("__did"), F.col("th").alias("__th")).distinct(), "dropped")
-    return docs.withColumns({"__did": did, "__th": th}).join(gone, ["__did", "__th"], "left_anti").select(*docs.columns)
+    keys = dropped.select(F.col("did").alias("__did"), F.col("th").alias("__th")).distinct()
+    gone, size = measured(keys, "dropped", n=F.count("*"))
+    marked = docs.withColumns({"__did": did, "__th": th})
+    return matched(marked, gone, ["__did", "__th"], size["n"] or 0, "left_anti").select(*docs.columns)
 
 
 def _decided(decisions: DataFrame) -> DataFrame:

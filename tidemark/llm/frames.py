@@ -12,6 +12,9 @@ NO_ID = 2**63 - 1
 # A key is heavy if it holds more than one row in so many; there are at most so many heavy keys.
 HEAVY_SHARE = 500
 
+# A table of row keys up to this size (16 bytes each) is sent to the rows instead of moving them.
+SENT_KEYS = 500_000
+
 
 def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``did`` (never null), ``th`` (hash of the text) and ``text`` (never null).
@@ -46,3 +49,11 @@ def join_counted(
     return rows.join(heavy, list(keys)).unionByName(
         rows.join(groups.where(F.col(count) <= limit), list(keys))
     )
+
+
+def matched(rows: DataFrame, keys: DataFrame, on: Sequence[str], n_keys: int, how: str) -> DataFrame:
+    """Semi or anti join of ``rows``, which hold whole texts, with ``n_keys`` keys.
+
+    Few keys are broadcast, so the texts stay where they are; many are joined by a shuffle.
+    """
+    return rows.join(F.broadcast(keys) if n_keys <= SENT_KEYS else keys, list(on), how)

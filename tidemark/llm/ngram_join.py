@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.frames import join_counted, own_id, texts
+from tidemark.llm.frames import join_counted, matched, own_id, texts
 from tidemark.llm.shipping import ship
 from tidemark.llm.words import LOWER, mixed, text_words, window_hashes
 from tidemark.storage import measured, written
@@ -215,9 +215,12 @@ def _links(base: DataFrame, sets: DataFrame, size: int, threshold: float, trees:
     wanted = sets.select("node", "node_did", "node_th", "copies", "prefixes").join(members, "node")
     # Small groups share a pack; a large one has a pack for each pair of blocks.
     packs = max(1, n // 1000)
-    with_text = wanted.join(
-        base.select(F.col("did").alias("node_did"), F.col("th").alias("node_th"), "text"), ["node_did", "node_th"]
-    ).dropDuplicates(["node"])  # rows that repeat one another
+    place = ["node_did", "node_th"]
+    compared = matched(
+        base.select(F.col("did").alias("node_did"), F.col("th").alias("node_th"), "text"),
+        written(wanted.select(*place), "compared"), place, n, "left_semi",
+    )
+    with_text = wanted.join(compared.dropDuplicates(place), place)  # rows may repeat one another
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
