@@ -79,6 +79,13 @@ def fit(rows: DataFrame, labels: DataFrame, domain: Column, label_id: str, domai
         expected = counts.sum(0) / total * documents[:, None]
         clear = np.abs(counts - expected) > CLEAR * np.sqrt(expected + 1)
         logs = np.where(clear, np.log((counts + SHRINK) / (expected + SHRINK)), 0.0)
+        # All other words are one feature: the more clear ones a domain has, the fewer of these.
+        found = words.groupBy("domain", kind).count().toArrow()
+        shares = np.zeros((len(domains), BUCKETS))
+        at = [domains.index(d) for d in found.column("domain").to_pylist()]
+        shares[at, found.column(kind).to_numpy()] = found.column("count").to_numpy()
+        other = shares[:, ~clear.any(0)].sum(1)
+        logs[:, ~clear.any(0)] = np.log((other + SHRINK) / (shares.sum(1) + SHRINK))[:, None]
         weights[kind] = logs - logs[:1]  # against the first domain
     prior = np.log((documents + 1) / (documents.sum() + len(domains))).tolist()
     return Classifier(domains, prior, weights)
