@@ -13,7 +13,7 @@ from tidemark.llm.frames import NO_ID, own_id
 from tidemark.storage import measured
 
 # Word features fall into so many buckets of each kind; this bounds the classifier.
-BUCKETS = 2**16
+BUCKETS = 2**14
 # Labelled documents the classifier is fitted on, at most (those with the least hashes).
 SAMPLE = 20_000
 # A feature counts for a domain if its documents are so many standard deviations from what is expected.
