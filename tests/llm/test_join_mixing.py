@@ -158,6 +158,57 @@ def test_benchmark_passages(spark):
                 assert r["score"] == pytest.approx(full / (MATCH * 30)) and r["item_id"] in r["item_ids"]
 
 
+def test_a_hot_passage_hides_no_edited_copy(spark):
+    """A third of the rows are one text that holds all items; other copies have every third word or a fifth of all edited."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(6))
+    items = [[word() for _ in range(15)] for _ in range(4)]
+    hot = [w for item in items for w in item]
+    rows = [(i, " ".join(hot)) for i in range(120)]
+    for i in range(120, 360):
+        words = [word() for _ in range(60)]
+        if i % 2:
+            passage = list(items[rng.randrange(4)])
+            for at in range(2, 15, 3) if i % 4 == 1 else rng.sample(range(15), 3):
+                passage[at] = word()
+            words[30:30] = passage
+        rows.append((i, " ".join(words)))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()
+    number = {w: n for n, w in enumerate({w for _, t in rows for w in t.split()} | set(hot))}
+    coded = [np.array([number[w] for w in item]) for item in items]
+    want = {i: [j for j, x in enumerate(coded) if align(x, np.array([number[w] for w in t.split()])) >= 15] for i, t in rows}
+    assert sum(bool(x) for x in want.values()) == 240
+    assert {r["doc_id"]: r["item_ids"] for r in got} == want
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_anchors_miss_no_alignment(monkeypatch, threshold):
+    import tidemark.llm.decontaminate as module
+
+    monkeypatch.setattr(module, "ANCHORS_AT_ONCE", 50)
+    rng = np.random.RandomState(5)
+    value = rng.randint(0, 2**63 - 1, 40).astype(np.uint64) * np.uint64(2)
+    reached = 0
+    for _ in range(40):
+        items = [(i, value[rng.randint(0, 40, rng.randint(3, 14))]) for i in range(5)]
+        texts = [value[rng.randint(0, 40, rng.randint(0, 40))] for _ in range(6)]
+        for text in texts[:4]:
+            item = items[rng.randint(0, 5)][1]
+            text[:] = np.resize(np.insert(item, rng.randint(0, len(item), 2), value[:2]), len(text))
+        frequency = dict(zip(value.tolist(), rng.random_sample(40) ** 4 / 10 + 1e-6))
+        anchors = module.Anchors(items, frequency, 1e-6, threshold)
+        bounds = np.cumsum([0, *map(len, texts)])
+        hits = list(anchors.hits(np.concatenate(texts), bounds))
+        for d, text in enumerate(texts):
+            own = [(at - bounds[d], i, False) for at, i in hits if bounds[d] <= at < bounds[d + 1]]
+            found = {i: s for i, s in module._scores(text, own, items, threshold) if s >= threshold - 1e-9}
+            full = {i: align(item, text) / (MATCH * len(item)) for i, item in items}
+            assert found == {i: s for i, s in full.items() if s >= threshold - 1e-9}
+            reached += len(found)
+    assert reached > 40
+
+
 def test_contamination_of_odd_documents(odd, none, spark):
     items = spark.createDataFrame([(1, "beta gamma delta epsilon"), (2, "")], "item_id long, text string")
     out = decontaminate(odd, items)
