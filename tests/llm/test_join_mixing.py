@@ -114,6 +114,12 @@ def test_join_of_odd_documents(odd, none):
     assert prefix_length(0.8, 32, 6, 0.9999) == 6 and prefix_length(0.8, 4, 6, 0.9999) == 1
 
 
+@pytest.mark.parametrize("threshold, trees", [(0.8, 4), (0.2, 32)])
+def test_a_join_that_cannot_keep_its_recall_raises(none, threshold, trees):
+    with pytest.raises(ValueError, match="trees"):
+        ngram_join(none, threshold=threshold, trees=trees)
+
+
 def plain_align(a, b):
     rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a, 1):

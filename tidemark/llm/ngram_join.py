@@ -1,4 +1,4 @@
-"""Similarity join on word n-grams: an LSH forest finds candidates, exact Jaccard decides."""
+"""Similarity join on word n-grams: MinHash bands of one fixed length find candidates, exact Jaccard decides."""
 
 from __future__ import annotations
 
@@ -22,10 +22,10 @@ BLOCK = 128
 def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> int:
     """The longest prefix that finds a pair at the threshold with the wanted probability.
 
-    A tree of the forest holds ``depth`` MinHash values of each set. Matching
-    starts with whole signatures and shortens them value by value; two sets of
-    similarity s share the first k values of some tree with probability
-    ``1 - (1 - s ** k) ** trees``.
+    A tree holds ``depth`` MinHash values of each set; two sets of similarity s share
+    the first k values of some tree with probability ``1 - (1 - s ** k) ** trees``.
+    The length is fixed before any data are read, so trees are bands of that many
+    values and not a forest of sorted prefixes. 1 if no length is enough.
     """
     for length in range(depth, 1, -1):
         if 1 - (1 - threshold**length) ** trees >= recall:
@@ -100,13 +100,16 @@ def ngram_join(
     null id comes after all others. Repeated rows are copies like others.
 
     Equal sets become one node first, so copies cost nothing more. Nodes that
-    share a trie node of the forest at :func:`prefix_length` are candidates; each
+    share the first :func:`prefix_length` values of a tree are candidates (a
+    ``threshold`` and ``recall`` that no length meets raise); each
     connected group of candidates is compared exactly, in blocks of about
     ``BLOCK`` nodes, so that no task holds a group and pairs never become rows.
     """
+    length = prefix_length(threshold, trees, depth, recall)
+    if 1 - (1 - threshold**length) ** trees < recall:
+        raise ValueError(f"{trees} trees cannot find pairs at {threshold} with probability {recall}; take more trees")
     ship(docs.sparkSession)
     base = texts(docs, id_column, text_column)
-    length = prefix_length(threshold, trees, depth, recall)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,7 +289,7 @@ def _compare(group: pa.Table, low: int, high: int, threshold: float) -> pa.Table
 
 
 def _linked(left, right, same, prefixes, shingles, threshold) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions that share a trie node and reach the threshold."""
+    """Pairs of positions that share a band and reach the threshold."""
     p, q = np.stack([prefixes[i] for i in left]), np.stack([prefixes[i] for i in right])
     close = np.zeros((len(left), len(right)), bool)
     for tree in range(p.shape[1]):
