@@ -1,13 +1,12 @@
 """Passages of many words that occur more than once, removed wherever they stand.
 
-The suffixes that start at each word are sorted into subtrees by prefixes that
-grow only while they are shared. The first prefix of a suffix is sampled: of the
-n-grams of half a window inside its first ``window`` words, the one with the
-least hash. Suffixes that agree on ``window`` words agree on that n-gram, so a
-suffix whose n-gram stands nowhere else is a leaf and goes no further. The others
-are dealt by the n-gram to groups that fit memory, and there lengthened to
-``window`` words. Two suffixes that still agree then hang below one internal node
-of that depth, and so are both ends of a repeat.
+Windows are hashed; no suffix is sorted and no suffix tree is built, as only repeats
+of one length, ``window`` words, are asked for. The key of a window is its minimizer:
+of the n-grams of half a window inside it, the one with the least hash, wherever it
+stands. Equal windows have equal minimizers, so a window whose minimizer stands
+nowhere else is not repeated and goes no further. The others are dealt by the
+minimizer to groups that fit memory, and there compared by one 64-bit hash of all
+their words.
 """
 
 from __future__ import annotations
@@ -48,7 +47,7 @@ def _sliding(values: np.ndarray, size: int, pick: np.ufunc, filler: np.uint64) -
 
 
 class Sampled:
-    """The sampled prefix of each window of a slice of texts."""
+    """The minimizer of each window of a slice of texts."""
 
     def __init__(self, words: Words, window: int):
         n = len(words.hashes)
@@ -235,7 +234,7 @@ def _cells(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Ar
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of this group of subtrees that stand twice, as stretches of their documents."""
+    """Windows of this group that stand twice, as stretches of their documents."""
     held = [batch for batch in batches if batch.num_rows]
     if not held:
         return
