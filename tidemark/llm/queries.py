@@ -14,6 +14,9 @@ from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.lm_score import lm_score
 from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_join import ngram_join
+from tidemark.llm.periodic_runs import periodic_runs
+from tidemark.llm.prefix_trie import NO_ID, conversation_trie
+from tidemark.llm.sentence_pieces import decode_pieces, encode_pieces
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.tokens import read_tokens, write_tokens
 from tidemark.llm.warc import round_trip
@@ -25,6 +28,11 @@ MIX_ANCHOR = "good"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# SQL: the unsigned CRC-32 of ``c`` in decimal, bit by bit.
+_CRC32 = """xor(list_reduce(
+    flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [ascii(x), 0, 0, 0, 0, 0, 0, 0])),
+    lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384), 4294967295), 4294967295)"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -89,6 +97,60 @@ def _decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the documents; about a tenth goes on with a period from some word on."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    h = F.crc32(docs["doc_id"].cast("bigint").cast("string"))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = docs.select("doc_id", text.alias("text"), F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g"))
+    n = F.greatest(F.size("words"), F.lit(1))
+    a = F.col("g") % n
+    plan = chosen.withColumn("a", a.cast("int")).withColumn(
+        "p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    )
+    word = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.get("words", F.col("a") + (i - F.col("a")) % F.col("p"))
+    ))
+    return plan.select("doc_id", F.when(F.size("words") > 0, F.array_join(word, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def _periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")
+    )))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"),
+    ).selectExpr(
+        "doc_id", "n_runs", "-best.start AS start", "best.length AS length", "-best.period AS period",
+        "1000 * best.length div -best.period AS exponent_milli", "runs_sha256", "collapsed_sha256",
+    )
+
+
+# The most turns that a conversation of the trie query takes from another.
+LENT_TURNS = 5
+
+
+def _prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cid = F.col("cid")
+    head = F.when(cid != NO_ID, F.crc32(cid.cast("string")) % (LENT_TURNS + 1)).otherwise(0)
+    return conversation_trie(table(spark, sf_dir, "conversations"), graft=(cid - cid % 100, head, LENT_TURNS)).drop("path")
+
+
+def _sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), path), path)
+    return found.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": _line_dedup,
@@ -101,6 +163,9 @@ def queries() -> dict[str, Query]:
         "op8_lm_score": _lm_score,
         "op9_language_id": _language_id,
         "op10_decontaminate": _decontaminate,
+        "op11_periodic_runs": _periodic_runs,
+        "op12_prefix_trie": _prefix_trie,
+        "op13_sentence_pieces": _sentence_pieces,
     }
 
 
@@ -188,4 +253,38 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+            "op12_prefix_trie": f"""
+            WITH t AS (
+                SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                       row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos
+                FROM conversations),
+            ids AS (SELECT c, {_CRC32} % 6 AS h, c - c % 100 AS b FROM (SELECT DISTINCT c FROM t)),
+            taken AS (SELECT ids.c, h, least(h, count(t.c)) AS m FROM ids LEFT JOIN t ON t.c = ids.b GROUP BY ids.c, h),
+            r AS (
+                SELECT ids.c, t.pos + 1 AS d, role, text FROM ids JOIN t ON t.c = ids.b AND t.pos < ids.h
+                UNION ALL
+                SELECT t.c, t.pos - h + m + 1, role, text FROM t JOIN taken ON taken.c = t.c AND t.pos >= h),
+            p AS (
+                SELECT c, d, length(text) AS len,
+                       sha256(string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY c ORDER BY d)) AS path
+                FROM r
+                UNION ALL SELECT c, 0, 0, '' FROM ids),
+            last AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+            nodes AS (
+                SELECT path, any_value(p.d) AS d, min(c) AS rep, count(*) AS n, any_value(len) AS len,
+                       sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)
+                                       FILTER (p.d = last.d), '')) AS ends
+                FROM p JOIN last USING (c) GROUP BY path),
+            edges AS (
+                SELECT nodes.path, p.path AS parent FROM nodes JOIN p ON p.c = nodes.rep AND p.d = nodes.d - 1),
+            kids AS (SELECT parent AS path, count(*) AS k FROM edges GROUP BY parent),
+            under AS (
+                SELECT p.path, sum((n - 1) * nodes.len) AS saved, count(*) FILTER (k IS NULL) AS leaves
+                FROM nodes LEFT JOIN kids USING (path) JOIN p ON p.c = nodes.rep AND p.d <= nodes.d
+                GROUP BY p.path)
+            SELECT nodes.rep AS conv_id, nodes.d AS depth, above.rep AS parent_conv_id, nodes.n AS n_convs,
+                   coalesce(k, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+                   nodes.ends AS ends_sha256
+            FROM nodes JOIN under USING (path) LEFT JOIN kids USING (path) LEFT JOIN edges USING (path)
+            LEFT JOIN nodes AS above ON above.path = edges.parent""",
     }
