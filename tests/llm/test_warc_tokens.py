@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.frames import NO_ID
-from tidemark.llm.tokens import document_ids, encoder, read_tokens, write_tokens
+from tidemark.llm import tokens as token_module
+from tidemark.llm.frames import NO_ID, texts
+from tidemark.llm.tokens import document_ids, read_tokens, sampled_pieces, write_tokens
 from tidemark.llm.warc import parse_records, read_warc, round_trip, unchunked, write_warc
 
 from .conftest import ODD_IDS, ids
@@ -89,7 +90,6 @@ def test_chunked_framing():
 
 def plain_tokens(rows):
     tool = Tokenizer.from_file(VOCABULARY)
-    tool.encode_special_tokens = True
     out = {}
     for did, text in rows:
         ids_ = np.array([*tool.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -110,7 +110,7 @@ def check_tokens(df, path):
     assert {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in want.items()}
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_bytes": 500, "partition_bytes": 2000, "dictionary_documents": 60, "dictionary_bytes": 1024}])
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 500, "partition_bytes": 2000, "dictionary_slices": 60, "dictionary_bytes": 1024}])
 def test_tokens_come_back(spark, tmp_path, options):
     text = F.concat_ws(" ", F.lit("some words of text"), F.sha2(F.col("id").cast("string"), 256), F.repeat(F.lit("again "), F.col("id").cast("int") % 50))
     docs = spark.range(200).select(((F.col("id") * 37) % 200).alias("doc_id"), text.alias("text"))
@@ -137,11 +137,37 @@ def test_tokens_of_odd_documents(odd, none, tmp_path):
     assert read_tokens(odd.sparkSession, str(tmp_path / "n")).collect() == []
 
 
-def test_pieces_give_the_ids_of_whole_texts():
+@pytest.mark.parametrize("run_chars, known", [(1_000_000, 16_000_000), (500, 16_000_000), (3000, 2000), (1, 0)])
+def test_words_give_the_ids_of_whole_texts(monkeypatch, run_chars, known):
     import random
 
+    for name, value in {"RUN_CHARS": run_chars, "KNOWN_BYTES": known, "LIBRARY_CHARS": 100}.items():
+        monkeypatch.setattr(token_module, name, value)
     rng = random.Random(3)
-    texts = ["", " ", "a", "don't 'tis I'll", "a\tb", "é²³ 1/2 ½", "日本語", "x  y", "\n\na b \n c", "<|endoftext|> hi", "ª \xa0 b"]
-    texts += ["".join(rng.choice("ab 'ts\n,.1é") for _ in range(rng.randint(1, 40))) for _ in range(5000)]
-    tool = encoder(VOCABULARY)
-    assert tool.by_piece and tool.encode(texts) == tool.whole(texts)
+    some_texts = ["", " ", "a", "don't 'tis I'll", "a\tb", "é²³ 1/2 ½", "日本語", "x  y", "\n\na b \n c", "<|endoftext|> hi", "ª \xa0 b"]
+    some_texts += ["a <|endoftext|> b", "a<|endoftext|>b  <|endoftext|>", " a", "a ", "\u3000 a \u2003b", "😀 😀x 😀"]
+    some = [*"ab 'ts\n,.1é", " ", " ", "\xa0", "\u3000", "<|endoftext|>", " word", " the"]
+    some_texts += ["".join(rng.choice(some) for _ in range(rng.randint(1, 40))) for _ in range(3000 if run_chars > 1 else 300)]
+    tool = token_module.Encoder(VOCABULARY)
+    plain = Tokenizer.from_file(VOCABULARY)
+    assert tool.by_word
+    for _ in range(2):  # the second time with words that are known
+        ids, counts = tool.encode(some_texts)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in some_texts]
+
+
+def test_special_tokens_are_those_of_the_library(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|endoftext|>")], "doc_id long, text string")
+    write_tokens(docs, str(tmp_path / "t"), VOCABULARY)
+    check_tokens(docs, str(tmp_path / "t"))
+    rows = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in read_tokens(spark, str(tmp_path / "t")).collect()}
+    assert rows == {1: [64, 220, 50256, 275, 2], 2: [50256, 2]}
+
+
+def test_the_dictionary_sees_long_texts_and_no_more_than_the_sample(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 1000 = 7, repeat('long text ', 300000), 'short') AS text")
+    sizes = [len(r["text"]) for r in sampled_pieces(texts(docs), 200).collect()]
+    # 3 texts of 3,000,000 characters make 552 of 3549 pieces.
+    assert len(sizes) == 200 and max(sizes) == 16_384 and 10 <= sum(n > 5 for n in sizes) <= 60
+    assert sampled_pieces(texts(docs), 100_000).count() == 3549 and sampled_pieces(texts(docs.where("false")), 9).count() == 0

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.frames import own_id, texts
 from tidemark.llm.shipping import ship
+from tidemark.llm.words import ranges
 
 BLANK = "▁"  # fixed value: how the models write a blank
 NONE = np.iinfo(np.int32).max
@@ -237,7 +238,7 @@ class Model:
         order = np.argsort(words)
         begin = (np.cumsum(lengths) - lengths)[order]
         lengths = lengths[order]
-        return flat[_ranges(begin, lengths)], lengths
+        return flat[ranges(begin, lengths)], lengths
 
     # -- texts -----------------------------------------------------------------------
 
@@ -274,7 +275,7 @@ class Model:
         each = lengths[which]
         sums = np.append(0, np.cumsum(each))
         firsts = np.searchsorted(starts, edges)
-        return ids[_ranges(begin[which], each)], np.diff(sums[firsts])
+        return ids[ranges(begin[which], each)], np.diff(sums[firsts])
 
     def _spelled(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids for symbols: the bytes of a character that is no piece."""
@@ -308,7 +309,7 @@ class Model:
         firsts = firsts[self.blank_first[ids[firsts]]]
         length[firsts] -= 1
         begin[firsts] += 1
-        out = self.said[_ranges(begin, length)]
+        out = self.said[ranges(begin, length)]
         cuts = np.append(0, np.cumsum(np.bincount(owner, length, len(sizes)).astype(np.int64)))
         raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(out)])
         try:
@@ -321,12 +322,6 @@ class Model:
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
-def _ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Indices ``begin[i]`` to ``begin[i] + sizes[i]`` for every i in turn."""
-    stops = np.cumsum(sizes)
-    return np.repeat(begin - stops + sizes, sizes) + np.arange(int(stops[-1]) if len(stops) else 0)
-
-
 def _runs(some: list[str]) -> Iterator[tuple[list[str], list[int]]]:
     """Texts with their first blank, in runs of bounded length, and the number of the text of each part."""
     run, own, size = [], [], 0

@@ -137,3 +137,9 @@ def _split(first: int, last: int, data: np.ndarray, offsets: np.ndarray) -> Word
         values[~inside[starts[0] :]] = 0
         hashes = mixed(np.add.reduceat(values, starts - starts[0]) + (ends - starts).astype(np.uint64))
     return Words(first, last, data, starts, ends, bounds, hashes)
+
+
+def ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices ``begin[i]`` to ``begin[i] + sizes[i]`` (not included) for every i in turn."""
+    stops = np.cumsum(sizes)
+    return np.repeat(begin - stops + sizes, sizes) + np.arange(int(stops[-1]) if len(stops) else 0)
