@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -269,10 +270,11 @@ def decontaminate(
     n_items = wanted.count()
     blocks = n_items // block_items + 1
     block_of = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
-    found = None
+    found, sent = None, []
     for block in range(blocks):
         rows = wanted.where(block_of == block).orderBy("item_id", "text").collect()
-        hits = _find(base, [(r["item_id"], item_words(r["text"])) for r in rows], threshold)
+        hits, shared = _find(base, [(r["item_id"], item_words(r["text"])) for r in rows], threshold)
+        sent.append(shared)
         found = hits if found is None else found.unionByName(hits)
     best, _ = measured(
         found.groupBy("did", "th").agg(
@@ -282,6 +284,8 @@ def decontaminate(
         ),
         "contaminated",
     )
+    for shared in sent:
+        shared.destroy()
     none = F.array().cast("array<bigint>")
     return base.select("did", "th").join(best, ["did", "th"], "left").select(
         own_id("did").alias("doc_id"),
@@ -291,7 +295,8 @@ def decontaminate(
     )
 
 
-def _find(base: DataFrame, items: list[tuple[int, list[bytes]]], threshold: float) -> DataFrame:
+def _find(base: DataFrame, items: list[tuple[int, list[bytes]]], threshold: float) -> tuple[DataFrame, Broadcast]:
+    """Scores of documents and items, and what is to be destroyed when they have been computed."""
     spark = base.sparkSession
     hashed = [(item_id, _hashes(words)) for item_id, words in items if words]
     known = np.unique(np.concatenate([h for _, h in hashed])) if hashed else np.zeros(0, np.uint64)
@@ -313,6 +318,7 @@ def _find(base: DataFrame, items: list[tuple[int, list[bytes]]], threshold: floa
 
     counts = base.select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     seen = {r["word"]: r["n"] for r in counts.collect()}  # as many rows as the block has words
+    vocabulary.destroy()
     total = max(seen.pop(-1, 0), 1)
     frequency = {int(known[at]): n / total for at, n in seen.items()}
     shared = spark.sparkContext.broadcast(
@@ -340,4 +346,4 @@ def _find(base: DataFrame, items: list[tuple[int, list[bytes]]], threshold: floa
                     [pa.array(did), pa.array(th), pa.array(item), pa.array(score)], names=["did", "th", "item_id", "score"]
                 )
 
-    return base.mapInArrow(search, "did bigint, th bigint, item_id bigint, score double")
+    return base.mapInArrow(search, "did bigint, th bigint, item_id bigint, score double"), shared

@@ -150,6 +150,7 @@ def language_id(
         rows.select("did", "th", "declared", "host", "suffix", has_letters, "text").mapInArrow(weigh, evident),
         "languages", n=F.count("*"), **{f"q{i}": x for i, x in enumerate(shares)},
     )
+    shared.destroy()
     total = size["n"] or 0
     mix = np.array([((size[f"q{i}"] or 0.0) + 1.0) / (total + k + 1) for i in range(k + 1)])
 

@@ -232,7 +232,7 @@ def _weigh(batches: Iterator[pa.RecordBatch], depth: int, top: Top) -> Iterator[
 
 
 def gram_probabilities(counts: DataFrame, depth: int, n_grams: int) -> DataFrame:
-    """``gram, logp`` for ``counts(gram, n)``."""
+    """``gram, logp`` for ``counts(gram, n)``, written."""
     # The three last bytes of the context name the subtree; with a depth of 5 it holds 2^24 n-grams at most.
     tasks = max(n_grams // TASK_GRAMS + 1, 1)
     dealt = counts.repartition(tasks, F.col("gram").bitwiseAND(0xFFFFFF00))
@@ -252,7 +252,9 @@ def gram_probabilities(counts: DataFrame, depth: int, n_grams: int) -> DataFrame
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _weigh(batches, depth, shared.value)
 
-    return dealt.mapInArrow(weigh, "gram bigint, logp double")
+    weighted = written(dealt.mapInArrow(weigh, "gram bigint, logp double"), "weighted")
+    shared.destroy()
+    return weighted
 
 
 def lm_score(
@@ -284,7 +286,7 @@ def lm_score(
         "grams", n=F.count("*"),
     )
     n_grams = seen["n"] or 0
-    logs = written(gram_probabilities(counts, depth, n_grams), "weighted") if n_grams else counts.select("gram", F.lit(0.0).alias("logp"))
+    logs = gram_probabilities(counts, depth, n_grams) if n_grams else counts.select("gram", F.lit(0.0).alias("logp"))
     vocabulary, size = measured(
         learned.mapInArrow(_count_words, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c")),
         "vocabulary", tokens=F.sum("c"), distinct=F.count("*"),
@@ -318,6 +320,7 @@ def lm_score(
         ),
         "scores",
     )
+    shared.destroy()
     rare = (
         scored.select("row", F.explode(F.arrays_zip("rare", "n")).alias("x"))
         .select("row", F.col("x.rare").alias("token"), F.col("x.n").alias("n"))

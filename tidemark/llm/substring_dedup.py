@@ -16,6 +16,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,10 +96,12 @@ def substring_dedup(
     spark = docs.sparkSession
     ship(spark)
     base = texts(docs, id_column, text_column)
+    shared = spark.sparkContext.broadcast(_shared_grams(spark, base, window))
     pieces, size = measured(
-        _pieces(base, window, *_shared_grams(spark, base, window)), "windows",
+        _pieces(base, window, shared), "windows",
         bytes=F.sum(F.octet_length("hashes")),
     )
+    shared.destroy()
     groups = int((size["bytes"] or 0) // GROUP_BYTES) + 1
     groups = max(groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = pieces.where("hashes is not null").repartition(groups, "key").mapInArrow(
@@ -155,7 +158,7 @@ def _shared_grams(spark: SparkSession, base: DataFrame, window: int) -> tuple[np
     return sketch, np.sort(common.column("gram").to_numpy().view(np.uint64))
 
 
-def _pieces(base: DataFrame, window: int, sketch: np.ndarray, common: np.ndarray) -> DataFrame:
+def _pieces(base: DataFrame, window: int, shared: Broadcast) -> DataFrame:
     """Stretches of windows below one shared n-gram.
 
     A row with ``did`` and ``hashes`` asks whether these windows stand elsewhere; one
@@ -163,7 +166,6 @@ def _pieces(base: DataFrame, window: int, sketch: np.ndarray, common: np.ndarray
     is a stretch found repeated within the batch. Windows of very common n-grams are
     dealt one by one, by their own hash.
     """
-    shared = base.sparkSession.sparkContext.broadcast((sketch, common))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, hot = shared.value
