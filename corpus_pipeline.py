@@ -20,6 +20,7 @@ from tidemark.llm.language_id import language_id  # noqa: E402
 from tidemark.llm.mixing import mix  # noqa: E402
 from tidemark.llm.ngram_join import ngram_join  # noqa: E402
 from tidemark.llm.queries import MIX_ANCHOR, MIX_WEIGHTS, tokens  # noqa: E402
+from tidemark.llm.shipping import small_batches  # noqa: E402
 from tidemark.storage import measured, written  # noqa: E402
 
 
@@ -44,6 +45,7 @@ def _decided(decisions: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the known languages."""
+    small_batches(spark)
     found = language_id(docs, declared=F.col("lang"), address=F.col("source"))
     return _without(docs, _decided(found).where("not kept"))
 
@@ -53,6 +55,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of rows that repeat one another entirely one stays too.
     """
+    small_batches(spark)
     found = _decided(ngram_join(docs))
     gone = found.where("not first")
     stays = found.where("first").select("did", "th")
@@ -70,6 +73,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
+    small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _without(docs, _decided(decontaminate(docs, items)).where("contaminated"))
 
@@ -83,6 +87,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in binary shards, and where each document stands in them."""
+    small_batches(spark)
     return tokens(docs)
 
 

@@ -24,3 +24,14 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(package.parent))
     context.addPyFile(archive)
     _shipped.add(context.applicationId)
+
+
+# Spark's default of 10,000 rows makes batches of tens of megabytes where rows hold whole texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in batches of ``BATCH_ROWS``, unless the session has its own number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) in (None, "10000"):
+        spark.conf.set(key, str(BATCH_ROWS))
