@@ -356,6 +356,7 @@ def queries() -> dict[str, Query]:
         "summary_lineitem": _lineitem_summary(MONTH),
         "summary_one_window": _lineitem_summary(DECADE, fields=LINEITEM_MEASURES),
         "quartiles_ranked": _event_summary(("q1", "median", "q3"), size=DAY, max_group_values=100),
+        "summary_hot_cold": _event_summary(keys=("event_type",), size=DAY, max_group_values=60),
         "project_fields": _configured(("value", "user_id")),
         "rename_fields": _configured(("value", "user_id"), {"value": "amount"}),
         "numeric_fields": _numeric_fields("all"),
@@ -423,6 +424,7 @@ def oracle_sql() -> dict[str, str]:
             "lineitem", "l_shipdate", DECADE, same(LINEITEM_MEASURES), OPERATIONS
         ),
         "quartiles_ranked": events_sql(("q1", "median", "q3"), size=DAY),
+        "summary_hot_cold": events_sql(OPERATIONS, size=DAY, keys={"event_type": "event_type"}),
         "project_fields": events_sql(light, fields={"value": "value", "user_id": "user_id"}),
         "rename_fields": events_sql(light, fields={"amount": "value", "user_id": "user_id"}),
         "numeric_fields": month_sql(LINEITEM_ALL, light),

@@ -3,11 +3,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators.matching import among
 from tidemark.operators.ranks import values_at_ranks
 
 
-@pytest.mark.parametrize("limit", [0, 3, 100, 10_000])
-def test_every_rank(spark, limit):
+@pytest.mark.parametrize("part_values", [3, 50, 10_000])
+def test_every_rank(spark, part_values):
     rng = random.Random(2)
     groups = {
         "spread": [rng.uniform(-1e6, 1e6) for _ in range(300)],
@@ -19,18 +20,16 @@ def test_every_rank(spark, limit):
     values = spark.createDataFrame(
         [(key, v) for key, vs in groups.items() for v in vs], "key string, value double"
     )
-    wanted = spark.createDataFrame(
-        [
-            (key, rank, min(vs), max(vs), len(vs))
-            for key, vs in groups.items()
-            for rank in range(1, len(vs) + 1, 1 if len(vs) < 10 else 23)
-        ],
-        "key string, rank bigint, lo double, hi double, size bigint",
-    )
-    found = values_at_ranks(values, ["key"], wanted, limit).collect()
-    assert len(found) == wanted.count()
-    for row in found:
-        assert row["value"] == sorted(groups[row["key"]])[row["rank"] - 1]
+    slots = {f"r{k}": lambda n, k=k: str(k) for k in [1, 2, 3, 4, 5, 24, 150, 151, 200, 299, 300]}
+    slots |= {"last": lambda n: n, "none": lambda n: f"{n} + 1"}
+    found = values_at_ranks(values, ["key"], slots, values.count(), part_values).collect()
+    want = {
+        (key, slot): sorted(vs)[int(rank(str(len(vs))).replace(" + 1", "")) - 1]
+        for key, vs in groups.items()
+        for slot, rank in slots.items()
+        if slot != "none" and int(rank(str(len(vs)))) <= len(vs)
+    }
+    assert {(r["key"], r["slot"]): r["value"] for r in found} == want and len(found) == len(want)
 
 
 def test_nan_is_the_largest(spark):
@@ -38,8 +37,19 @@ def test_nan_is_the_largest(spark):
         F.lit("k").alias("key"),
         F.when(F.col("id") < 50, F.lit(float("nan"))).otherwise(F.col("id").cast("double")).alias("value"),
     )
-    wanted = values.groupBy("key").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("value").alias("size")
-    ).withColumn("rank", F.explode(F.lit([150, 151]).cast("array<bigint>")))
-    found = {r["rank"]: r["value"] for r in values_at_ranks(values, ["key"], wanted, 10).collect()}
-    assert found[150] == 199.0 and found[151] != found[151]
+    found = values_at_ranks(values, ["key"], {"a": lambda n: "150", "b": lambda n: "151"}, 200, 10)
+    found = {r["slot"]: r["value"] for r in found.collect()}
+    assert found["a"] == 199.0 and found["b"] != found["b"]
+
+
+@pytest.mark.parametrize("n_groups", [1, 700])
+def test_filter_of_groups(spark, n_groups):
+    rows = spark.range(60_000).select(
+        (F.col("id") % 3000).cast("double").alias("a"), F.when(F.col("id") % 3000 > 5, F.lit("x")).alias("b")
+    ).withColumn("a", F.when(F.col("a") == 0, F.lit(-0.0)).otherwise(F.col("a")))
+    chosen = rows.where(F.col("a") < n_groups).withColumn("a", F.col("a") + 0.0).distinct()
+    marked = rows.withColumn("hit", among(chosen, ["a", "b"], n_groups).cast("int"))
+    by_group = marked.groupBy("a", "b").agg(F.min("hit").alias("lo"), F.max("hit").alias("hi")).collect()
+    assert all(r["lo"] == r["hi"] for r in by_group)  # whole groups
+    assert all(r["hi"] for r in by_group if r["a"] < n_groups)
+    assert sum(r["hi"] for r in by_group if r["a"] >= n_groups) < 0.15 * len(by_group)

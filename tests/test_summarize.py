@@ -265,4 +265,62 @@ def test_a_hot_plan_never_gathers_the_hot_group(messages):
     rows.append((5.0, 1.0))
     out = summarize(messages(rows, "value double"), window(), max_group_values=10)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "LeftAnti" in plan  # the rows of hot groups do not reach collect_list
+    assert "bit_get" in plan and "LeftAnti" not in plan  # the rows of hot groups do not reach collect_list
+
+
+def exchanged(df):
+    """What is exchanged in the plan of ``df``: the first real operator below each exchange."""
+    passed = ("WholeStageCodegen", "InputAdapter", "Project", "Filter", "Sort", "ColumnarToRow", "Generate")
+    found = []
+
+    def children(node):
+        return [node.children().apply(i) for i in range(node.children().size())]
+
+    def walk(node):
+        if node.nodeName() == "Exchange":
+            below = children(node)[0]
+            while below.nodeName().startswith(passed):
+                below = children(below)[0]
+            found.append(below.nodeName())
+        for child in children(node):
+            walk(child)
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+@pytest.fixture
+def no_help(spark):
+    """Neither broadcasts nor adaptive plans."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def test_rows_of_hot_groups_are_never_exchanged(spark, messages, no_help):
+    rows = [(float(i % 3) / 10, i % 50 if i % 5 == 0 else -1, float(i % 977)) for i in range(5_000)]
+    df = messages(rows, "key int, value double")
+    out = summarize(df, window(), keys=["key"], max_group_values=100)
+    below = exchanged(out)
+    assert "HashAggregate" in below and not [name for name in below if name.startswith("Scan ExistingRDD")]
+    got = {r["key"]: r.asDict() for r in out.collect()}
+    for key in {k for _, k, _ in rows}:
+        values = [v for _, k, v in rows if k == key]
+        assert got[key]["count"] == len(values)
+        for op in OPERATIONS:
+            assert got[key][f"{op}_value"] == pytest.approx(PYTHON[op](values), rel=1e-12)
+
+
+def test_rows_of_hot_cogroups_are_never_exchanged_by_group(spark, no_help):
+    from tidemark import cogroup
+
+    rows = spark.range(3_000).select(
+        F.timestamp_millis("id").alias("timestamp"), F.lit("a").alias("topic"),
+        F.when(F.col("id") % 3 == 0, F.col("id") % 17).otherwise(-1).cast("double").alias("time"), F.col("id").cast("double").alias("value0"),
+    )
+    out = cogroup(rows, window_size_seconds=60, part_rows=200)
+    assert "Range" not in exchanged(out) and len(out.collect()) == 17 + 10

@@ -1,165 +1,67 @@
-"""Exact values at given ranks of very large groups, without gathering a group.
+"""Exact values at given ranks of groups of any size, by prefix counts.
 
 Sorting one group means one task; a group holding a third of all rows cannot be
-sorted that way. Instead each wanted rank is enclosed ever more tightly:
+sorted that way. Instead
 
-1. a KLL quantile sketch (merged map-side) proposes two pivots around the rank,
-2. one counting aggregate says how many values lie below, at, between and above
-   the pivots, and so in which zone the rank really is.
+1. equal values of a group are counted (map-side first), so a value repeated in a third
+   of the rows is one row;
+2. the distinct values are range-partitioned on group *and* value, into parts of bounded
+   size, so a large group lies in as many parts as it needs, in order;
+3. the number of values in each part, summed over the parts before it, says in which
+   part of its group every wanted rank lies, and only there a running count finds it.
 
-The sketch only steers. The counts are exact, so a poor sketch costs another
-round and never a wrong value; the pivots are values of the group, so every
-round shrinks the zone. When the zone is one value the rank is known; when it is
-small it is sorted. Each round reads the values twice (once if the first sketch
-is given) and shuffles only aggregates. The state between the rounds, one row
-per wanted rank, is written to the shared folder, because everything that
-follows must see the very same pivots.
+The number of passes does not depend on the data, and every step spills.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.matching import join_on
-from tidemark.storage import measured, written
+from tidemark.storage import written
 
-# A sketch of this size has a rank error below 1/GRID and takes about 100 kB.
-GRID = 1000
-SKETCH_SIZE = 4 * GRID
-
-
-def sketch_of(value: str, size: int = SKETCH_SIZE) -> str:
-    """SQL aggregate: the sketch of ``value``."""
-    return f"kll_sketch_agg_double({value}, {size})"
-
-
-def sketch_size(n_columns: int) -> int:
-    """Size for sketching many columns at once, in a task that may hold 128 groups."""
-    return max(8, min(SKETCH_SIZE, 80_000 // n_columns))
-
-
-def _margin(size: int) -> int:
-    """Grid steps to either side that cover the usual rank error of a sketch."""
-    return max(1, math.ceil(GRID * 2.3 / size**0.97))
-
-
-def _grid_of(sketch: str) -> str:
-    """SQL: ``GRID + 1`` evenly spaced approximate quantiles, all of them values of the group."""
-    steps = ", ".join(f"{i / GRID}D" for i in range(GRID + 1))
-    return f"kll_sketch_get_quantile_double({sketch}, array({steps}))"
+# Distinct values in one part.
+PART_VALUES = 500_000
 
 
 def values_at_ranks(
     values: DataFrame,
     group: Sequence[str],
-    wanted: DataFrame,
-    sort_limit: int,
-    sketches: DataFrame | None = None,
-    size_of_sketches: int = SKETCH_SIZE,
+    ranks: Mapping[str, Callable[[str], str]],
+    n_values: int,
+    part_values: int = PART_VALUES,
 ) -> DataFrame:
-    """Values at the wanted 1-based ranks of each group, as ``group, rank, value``.
+    """Values at 1-based ranks of each group, as ``group, slot, value``.
 
-    ``values`` has the columns ``group`` and a non-null ``value``. ``wanted`` has
-    one row per rank: ``group, rank, lo, hi, size``, the last three being the
-    smallest value, the largest and the number of values of the group. At most
-    ``sort_limit`` values of a group are sorted in one task. ``sketches`` may
-    hold :func:`sketch_of` the values of each group as ``group, sketch``, made with
-    ``size_of_sketches``.
+    ``values`` has the columns ``group`` and a non-null ``value``, some ``n_values`` of them.
+    ``ranks`` maps slots to SQL for a rank, given SQL for the number of values of a group;
+    a rank that a group does not have gives no row.
     """
     group = list(group)
-    wide = (F.col("lo") < F.col("hi")) & (F.col("size") > sort_limit)
-
-    def keep(state: DataFrame) -> tuple[DataFrame, int]:
-        table, found = measured(state, "ranks", wide=F.count_if(wide))
-        return table, found["wide"]
-
-    start = wanted.select(*group, "rank", "lo", "hi", "size", F.lit(0).cast("bigint").alias("below"))
-    state, n_wide = keep(start)
-    while n_wide:
-        margin = _margin(SKETCH_SIZE if sketches is None else size_of_sketches)
-        closer = _enclose(values, group, state.where(wide), sketches, margin)
-        state, n_wide = keep(state.where(~wide).unionByName(closer))
-        sketches = None
-
-    known = state.where(F.col("lo") == F.col("hi")).select(*group, "rank", F.col("lo").alias("value"))
-
-    narrow = _shared(state.where(F.col("lo") < F.col("hi")), [*group, "lo", "hi"], "span")
-    span = [*group, "span"]
-    counted = _inside(values, group, narrow, "span").groupBy(*span, "value").agg(_copies())
-    found = _holding(narrow, counted, span, "value").select(*group, "rank", "value")
-    return known.unionByName(found)
-
-
-def _enclose(
-    values: DataFrame,
-    group: list[str],
-    state: DataFrame,
-    sketches: DataFrame | None,
-    margin: int,
-) -> DataFrame:
-    """One round: replace the span of every rank by the zone the rank lies in."""
-    if sketches is None:
-        state = _shared(state, [*group, "lo", "hi"], "span")
-        span = [*group, "span"]
-        sketches = _inside(values, group, state, "span").groupBy(*span).agg(
-            F.expr(sketch_of("value")).alias("sketch")
-        )
-        state = join_on(state, sketches, span)
-    else:
-        state = join_on(state, sketches, group)
-
-    position = (F.col("rank") - F.col("below")) * GRID / F.col("size")
-    pivots = state.withColumn("grid", F.expr(_grid_of("sketch"))).select(
-        *[*group, "rank", "lo", "hi", "size", "below"],
-        F.get("grid", F.greatest(F.floor(position) - margin, F.lit(0)).cast("int")).alias("a"),
-        F.get("grid", F.least(F.ceil(position) + margin, F.lit(GRID)).cast("int")).alias("b"),
-    )
-    pivots = written(_shared(pivots, [*group, "lo", "hi", "a", "b"], "cut"), "pivots")
-
-    value, a, b = F.col("value"), F.col("a"), F.col("b")
-    passed = [test.cast("int") for test in (value >= a, value > a, value >= b, value > b)]
-    cut = [*group, "cut"]
-    zones = (
-        _inside(values, group, pivots, "cut", "a", "b")
-        .groupBy(*cut, sum(passed[1:], passed[0]).alias("zone"))
-        .agg(_copies(), F.min("value").alias("zone_lo"), F.max("value").alias("zone_hi"))
-    )
-    return _holding(pivots, zones, cut, "zone").select(
-        *group,
-        "rank",
-        F.col("zone_lo").alias("lo"),
-        F.col("zone_hi").alias("hi"),
-        F.col("copies").alias("size"),
-        (F.col("below") + F.col("upto") - F.col("copies")).alias("below"),
-    )
-
-
-def _copies() -> Column:
-    return F.count(F.lit(1)).alias("copies")
-
-
-def _shared(state: DataFrame, same: list[str], name: str) -> DataFrame:
-    """Number the ranks that agree on ``same`` alike, by the lowest of them."""
-    return state.withColumn(name, F.min("rank").over(Window.partitionBy(*same)))
-
-
-def _inside(
-    values: DataFrame, group: list[str], state: DataFrame, number: str, *extra: str
-) -> DataFrame:
-    """The values between ``lo`` and ``hi``, once per ``number`` of their group."""
-    ranges = state.where(F.col("rank") == F.col(number)).select(*group, number, "lo", "hi", *extra)
-    between = (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))
-    return join_on(values, ranges, group, condition=between)
-
-
-def _holding(state: DataFrame, counted: DataFrame, part: list[str], order: str) -> DataFrame:
-    """Each rank with the counted row that holds it, rows of a part taken by ``order``."""
-    running = Window.partitionBy(*part).orderBy(order)
-    counted = counted.withColumn("upto", F.sum("copies").over(running))
-    offset = F.col("rank") - F.col("below")
-    holds = (offset > F.col("upto") - F.col("copies")) & (offset <= F.col("upto"))
-    return join_on(state, counted, part, condition=holds)
+    counted = values.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("copies"))
+    n_parts = -(-n_values // part_values) or 1
+    dealt = counted.repartitionByRange(n_parts, *group, "value")
+    dealt = written(dealt.withColumn("part", F.spark_partition_id()), "ranks")
+
+    # A row for each group and part; a group has as many parts as its size asks for.
+    totals = dealt.groupBy(*group, "part").agg(F.sum("copies").alias("inside"))
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        *group, "part", "inside",
+        F.coalesce(F.sum("inside").over(earlier), F.lit(0)).alias("before"),
+        F.sum("inside").over(whole).alias("n"),
+    )
+    slots = ", ".join(f"struct('{slot}' AS slot, {rank('n')} - before AS place)" for slot, rank in ranks.items())
+    wanted = totals.selectExpr(
+        *group, "part", f"filter(array({slots}), x -> x.place BETWEEN 1 AND inside) AS wanted"
+    ).where("size(wanted) > 0")
+
+    running = Window.partitionBy(*group, "part").orderBy("value")
+    there = join_on(dealt, wanted, [*group, "part"]).withColumn("upto", F.sum("copies").over(running))
+    return there.selectExpr(
+        *group, "value", "inline(filter(wanted, x -> x.place > upto - copies AND x.place <= upto))"
+    ).select(*group, "slot", "value")

@@ -19,10 +19,10 @@ from tidemark.functions.eventtime import (
 )
 from tidemark.functions.quoting import quoted, text
 from tidemark.functions.stats import STATISTICS, mergeable_operations, order_operations
-from tidemark.operators.matching import join_on
+from tidemark.operators.matching import among, join_on
 from tidemark.operators.project import numeric_fields
-from tidemark.operators.ranks import sketch_of, sketch_size, values_at_ranks
-from tidemark.storage import measured, written
+from tidemark.operators.ranks import values_at_ranks
+from tidemark.storage import measured
 
 # A group with more values than this (messages x fields) is never gathered in one
 # task. A task holds up to 128 groups at a time before it falls back to sorting.
@@ -130,9 +130,9 @@ class _Plan:
     def mergeable_ops(self) -> list[str]:
         return mergeable_operations(self.window.operations)
 
-    def summed(self, rows: DataFrame, *extra: str) -> DataFrame:
+    def summed(self, rows: DataFrame) -> DataFrame:
         """Mergeable aggregates of every group: number of values, first value, statistics."""
-        return self._aggregated(rows, self.group, [*self._sums(), *extra])
+        return self._aggregated(rows, self.group, self._sums())
 
     def gathered(self, rows: DataFrame, group: Sequence) -> DataFrame:
         """The same with the sorted values of every group, from which most of it is read."""
@@ -238,57 +238,23 @@ def _summarize_batch(rows: DataFrame, plan: _Plan, max_group_values: int | None)
     )
     if not found["groups"]:
         return gathered(rows)
-    # The selection reads its rows several times: they are written once, with their fields alone.
-    hot = hot.select(*plan.group)
+    n_values = found["rows"] * len(plan.names)
     if found["rows"] == everything.get["rows"]:
-        return _summarize_hot(written(rows, "hot-rows"), plan, max_group_values)
-    hot_rows = written(join_on(rows, hot, plan.group, "left_semi"), "hot-rows")
-    cold_rows = join_on(rows, hot, plan.group, "left_anti")
-    return gathered(cold_rows).unionByName(_summarize_hot(hot_rows, plan, max_group_values))
+        return _summarize_hot(rows, plan, n_values)
+    # Whole groups on either side; a few small ones may come with the large ones, and are right there too.
+    is_hot = among(hot, plan.group, found["groups"])
+    return gathered(rows.where(~is_hot)).unionByName(_summarize_hot(rows.where(is_hot), plan, n_values))
 
 
-def _summarize_hot(rows: DataFrame, plan: _Plan, sort_limit: int) -> DataFrame:
+def _summarize_hot(rows: DataFrame, plan: _Plan, n_values: int) -> DataFrame:
     """Groups too large for one task: mergeable aggregates plus selected ranks."""
     fields = range(len(plan.names))
-    size = sketch_size(len(fields))
+    each = ", ".join(f"struct({i} AS field, __v_{i} AS value)" for i in fields)
+    values = rows.selectExpr(*plan.group, f"inline(array({each}))").where("value IS NOT NULL")
     slots = [(op, k) for op in plan.order_ops for k in (0, 1)]
-    extra = [
-        column
-        for i in fields
-        for column in (
-            f"min(__v_{i}) AS __lo_{i}",
-            f"max(__v_{i}) AS __hi_{i}",
-            f"{sketch_of(f'__v_{i}', size)} AS __sketch_{i}",
-        )
-    ]
-    sums = written(plan.summed(rows, *extra), "sums")
-
-    def by_field(df: DataFrame, *structs: str) -> DataFrame:
-        return df.selectExpr(*plan.group, f"inline(array({', '.join(structs)}))")
-
-    def rank_of(i: int, op: str, k: int) -> str:
-        rank = STATISTICS[op].ranks(f"__n_{i}")[k]
-        return (
-            f"struct({i} AS field, '{op}_{k}' AS slot, {rank} AS rank,"
-            f" __lo_{i} AS lo, __hi_{i} AS hi, __n_{i} AS size)"
-        )
-
-    wanted = by_field(sums, *[rank_of(i, *slot) for i in fields for slot in slots])
-    wanted = wanted.where("rank BETWEEN 1 AND size")
-    sketches = by_field(sums, *[f"struct({i} AS field, __sketch_{i} AS sketch)" for i in fields])
-    values = by_field(rows, *[f"struct({i} AS field, __v_{i} AS value)" for i in fields])
-
-    group = [*plan.group, "field"]
-    found = values_at_ranks(
-        values.where("value IS NOT NULL"),
-        group,
-        wanted.drop("slot").distinct(),
-        sort_limit,
-        sketches,
-        size,
-    )
-    placed = join_on(wanted.select(*group, "slot", "rank"), found, [*group, "rank"])
-    picked = placed.groupBy(*plan.group).agg(
+    ranks = {f"{op}_{k}": lambda n, op=op, k=k: STATISTICS[op].ranks(n)[k] for op, k in slots}
+    found = values_at_ranks(values, [*plan.group, "field"], ranks, n_values)
+    picked = found.groupBy(*plan.group).agg(
         *[
             F.expr(f"max(value) FILTER (WHERE field = {i} AND slot = '{op}_{k}') AS __{op}_{k}_{i}")
             for i in fields
@@ -296,6 +262,6 @@ def _summarize_hot(rows: DataFrame, plan: _Plan, sort_limit: int) -> DataFrame:
         ]
     )
     return plan.output(
-        join_on(sums, picked, plan.group, "left"),
+        join_on(plan.summed(rows), picked, plan.group, "left"),
         lambda i, op: [f"__{op}_{k}_{i}" for k in (0, 1)],
     )
