@@ -60,6 +60,8 @@ MONTH = 30 * DAY
 # Ten years: every shipping date falls into one window.
 DECADE = 3_650 * DAY
 
+ROLLED = {"events-minutes": 60, "events-hours": HOUR, "events-days": DAY}
+
 LINEITEM_ALL = [
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
     "l_quantity", "l_extendedprice", "l_discount", "l_tax",
@@ -218,6 +220,25 @@ def _multi_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(union_topics(frames, "aggregated_topic"))
 
 
+def _multi_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minutes, hours and days of one topic, from one pass."""
+    operations = ["min", "mean", "stdev", "max"]
+    config = AggregationConfig.from_mapping(
+        {
+            "aggregated_topics": [
+                {
+                    "name": name,
+                    "window_aggregation": {"window_size_seconds": size, "operations": operations},
+                    "filter": {"source_topics": [{"name": "events", "fields": ["value", "user_id"]}]},
+                }
+                for name, size in ROLLED.items()
+            ]
+        }
+    )
+    frames = aggregate_all(config, frames_source({"events": _events(spark, sf_dir)}), time_column="ts")
+    return _rounded(union_topics(frames, "aggregated_topic"))
+
+
 def _half_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Click and view topics whose payload ``time`` is the half hour."""
     events = keep_topics(_event_topics(spark, sf_dir), ["click", "view"])
@@ -368,6 +389,7 @@ def queries() -> dict[str, Query]:
         "aggregate_matching": _aggregate_matching,
         "multi_topic_union": _multi_topic_union,
         "multi_config": _multi_config,
+        "multi_rollup": _multi_rollup,
         "cogroup_topics": _cogrouped(),
         "cogroup_parts": _cogrouped(part_rows=2),
         "config_regex": _config_regex,
@@ -461,6 +483,10 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL BY NAME
             SELECT '{aggregated_name("error")}' AS aggregated_topic, *
             FROM ({_summary_sql(errors, "ts", DAY, value, ("q1", "median", "q3"))})""",
+        "multi_rollup": " UNION ALL ".join(
+            f"SELECT '{name}' AS aggregated_topic, * FROM ({events_sql(('min', 'mean', 'stdev', 'max'), size, same(['value', 'user_id']))})"
+            for name, size in ROLLED.items()
+        ),
         "cogroup_topics": _cogroup_sql(half_hours, 50_000),
         "cogroup_parts": _cogroup_sql(half_hours, 2),
         "config_regex": f"""

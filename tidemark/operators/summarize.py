@@ -74,6 +74,23 @@ def summarize(
         with the same result. ``None`` promises that all groups fit in a task and
         saves the counting job.
     """
+    rows, plan = _prepared(df, window, time_column, keys, fields, exclude, order_by, numeric, on_error)
+    in_window = tumbling(F.col(_TIME), window.window_size_seconds)
+
+    if df.isStreaming:
+        rows = watermarked(rows, _TIME, window.window_expiration_seconds)
+        sums = plan.gathered(rows, [in_window.alias(_WINDOW), *plan.group[1:]])
+        sums = sums.withColumn(_START, F.col(_WINDOW)["start"])
+        return plan.output(sums, plan.picks_from_array)
+
+    rows = rows.withColumn(_START, in_window["start"])
+    return _summarize_batch(rows, plan, max_group_values)
+
+
+def _prepared(
+    df, window, time_column, keys=(), fields=None, exclude=(), order_by=(), numeric="all", on_error="null"
+) -> tuple[DataFrame, _Plan]:
+    """The columns of ``df`` that a summary needs, under names of their own, and its expressions."""
     if on_error not in ("null", "raise"):
         raise ValueError(f"on_error must be 'null' or 'raise', not {on_error!r}")
     left_out = {*exclude, *keys, time_column}
@@ -95,16 +112,7 @@ def summarize(
         (as_timestamp if df.isStreaming else event_time)(df, time_column).alias(_TIME),
         *[F.expr(column) for column in [*by, *order, *values]],
     )
-    in_window = tumbling(F.col(_TIME), window.window_size_seconds)
-
-    if df.isStreaming:
-        rows = watermarked(rows, _TIME, window.window_expiration_seconds)
-        sums = plan.gathered(rows, [in_window.alias(_WINDOW), *plan.group[1:]])
-        sums = sums.withColumn(_START, F.col(_WINDOW)["start"])
-        return plan.output(sums, plan.picks_from_array)
-
-    rows = rows.withColumn(_START, in_window["start"])
-    return _summarize_batch(rows, plan, max_group_values)
+    return rows, plan
 
 
 @dataclass(frozen=True)

@@ -18,6 +18,7 @@ from tidemark.config import (
 )
 from tidemark.functions.eventtime import as_timestamp, watermarked
 from tidemark.operators.project import project_topic
+from tidemark.operators.rollup import can_roll_up, roll_up
 from tidemark.operators.summarize import summarize
 from tidemark.operators.topics import exclude_topics, match_topics
 from tidemark.sources.topics import TopicSource
@@ -131,16 +132,60 @@ def aggregate_all(
 ) -> dict[str, DataFrame]:
     """All aggregated topics of a configuration, by name.
 
-    A configuration with patterns needs the names of the ``available`` topics.
+    A configuration with patterns needs the names of the ``available`` topics. In batch, entries
+    over the same messages whose windows are multiples of the smallest one share one pass
+    (:func:`roll_up`), as far as their statistics merge.
     """
     if config.patterns:
         if available is None:
             raise ValueError("The configuration has patterns: say which topics there are.")
         config = config.resolve(available)
-    return {
-        topic.name: aggregate_topic(topic, source, **options)
-        for topic in config.aggregated_topics
-    }
+    together: dict[tuple, list[AggregatedTopic]] = {}
+    for topic in config.aggregated_topics:
+        same = tuple((one.name, one.fields, tuple(sorted(one.map.items()))) for one in topic.source_topics)
+        together.setdefault((same, topic.excluded_fields), []).append(topic)
+    frames = {}
+    for topics in together.values():
+        frames |= _same_messages(topics, source, **options)
+    return {name: frames[name] for name in config.aggregated_topic_names}
+
+
+def _same_messages(
+    topics: Sequence[AggregatedTopic],
+    source: TopicSource,
+    time_column: str = "timestamp",
+    order_by: Sequence[str] = (),
+    exclude: Sequence[str] = (),
+    **options,
+) -> dict[str, DataFrame]:
+    """Aggregated topics of the same messages: in batch read once, where their windows go together."""
+    rolled, seen = [], {topic.name: topic.window_aggregation for topic in topics}
+    mergeable = [t for t in topics if can_roll_up([seen[t.name]])]
+    if mergeable:
+        least = min(seen[t.name].window_size_seconds for t in mergeable)
+        rolled = [t for t in mergeable if seen[t.name].window_size_seconds % least == 0]
+    messages = source_messages(topics[0], source, time_column, order_by)
+    if messages.isStreaming or len(rolled) < 2:
+        rolled = []
+    frames = {}
+    if rolled:
+        # Options of large groups and of order statistics have no meaning here.
+        allowed = {k: v for k, v in options.items() if k in ("numeric", "on_error", "fields")}
+        frames = roll_up(
+            messages,
+            {t.name: t.window_aggregation for t in rolled},
+            time_column=time_column,
+            keys=_keys(topics[0]),
+            order_by=order_by,
+            exclude=["topic", *topics[0].excluded_fields, *exclude],
+            **allowed,
+        )
+    for topic in topics:
+        if topic.name not in frames:
+            frames[topic.name] = summarize_messages(
+                topic, messages, time_column, order_by, exclude, **options
+            )
+    return frames
 
 
 def aggregate_matching(
