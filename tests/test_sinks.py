@@ -2,7 +2,9 @@ import json
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.sinks import manifest
 from tidemark.sinks.aggregated import FileSink, SchemaMismatch, TableSink, as_messages, register_schema
 
 
@@ -59,6 +61,71 @@ def test_file_sink(spark, df, tmp_path):
     sink.write(df.drop("count"), "another")
 
 
+def test_a_repeated_batch_replaces_its_rows(spark, df, tmp_path):
+    sink = FileSink(str(tmp_path))
+    for n in (1, 2):
+        sink.write_batch(df.withColumn("count", F.lit(n).cast("bigint")), "a", 7, "w")
+    assert [r["count"] for r in sink.read(spark, "a").collect()] == [2]
+    assert len(sink.folders(spark, "a", "w")) == 1
+
+
+def test_what_no_manifest_names_is_not_read(spark, df, tmp_path):
+    sink = FileSink(str(tmp_path))
+    sink.write_batch(df, "a", 0, "w")
+    # A batch that was being written when its writer died, and a draft of a manifest.
+    df.write.parquet(str(tmp_path / "a/w/1-unfinished"))
+    (tmp_path / "a/_commits/w/.x.draft").write_text('{"folders": [')
+    assert sink.read(spark, "a").count() == 1
+    sink.write_batch(df, "a", 1, "w")
+    assert sink.read(spark, "a").count() == 2
+
+
+def test_empty_batches_leave_nothing(spark, df, tmp_path):
+    sink = FileSink(str(tmp_path))
+    for batch in range(3):
+        sink.write_batch(df.where("false"), "a", batch, "w")
+    assert sink.read(spark, "a").count() == 0 and sink.folders(spark, "a", "w") == []
+    assert sink.read(spark, "a").dtypes == df.dtypes
+
+
+def test_batches_are_merged(spark, df, tmp_path, monkeypatch):
+    monkeypatch.setattr(manifest, "FAN_IN", 4)
+    sink = FileSink(str(tmp_path))
+    for batch in range(40):
+        sink.write_batch(df.withColumn("count", F.lit(batch).cast("bigint")), "a", batch, "w")
+        if batch == 20:
+            sink.write_batch(df.withColumn("count", F.lit(3).cast("bigint")), "a", 3, "w")  # merged long ago: stays
+    assert sorted(r["count"] for r in sink.read(spark, "a").collect()) == list(range(40))
+    folders = sink.folders(spark, "a", "w")
+    assert len(folders) < 12 and max(f.level for f in folders) == 2
+    on_disk = [p for p in (tmp_path / "a/w").iterdir()]
+    assert len(on_disk) < 20 and {f.path for f in folders} <= {str(p) for p in on_disk}
+    assert len(list((tmp_path / "a/_commits/w").glob("v*.json"))) == manifest.KEPT_VERSIONS
+
+
+def test_a_thousand_batches_give_few_folders(spark, tmp_path):
+    """The manifest alone, without data."""
+    path = str(tmp_path / "m")
+    for batch in range(1000):
+        manifest.add(spark, path, manifest.Folder(f"{path}/b{batch}", batch, batch))
+        if batch % 50 == 49:
+            manifest.compact(spark, path, path, lambda paths: paths, lambda df, target: None)
+    now = manifest.latest(spark, path)
+    assert len(now.folders) < 100 and now.newest == 999
+    covered = sorted(b for f in now.folders for b in range(f.first, f.last + 1))
+    assert covered == list(range(1000))
+
+
+def test_two_queries_of_one_checkpoint_are_noticed(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "m")
+    manifest.add(spark, path, manifest.Folder("a", 0, 0))
+    stale = manifest.latest(spark, path)
+    manifest.add(spark, path, manifest.Folder("b", 1, 1))
+    monkeypatch.setattr(manifest, "latest", lambda *_: stale)
+    with pytest.raises(RuntimeError, match="one query"):
+        manifest.add(spark, path, manifest.Folder("c", 1, 1))
+
+
 def test_registration_needs_no_success_marker(spark, df, tmp_path):
     sink = FileSink(str(tmp_path))
     sink.write(df, "a")

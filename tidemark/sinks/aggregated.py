@@ -1,9 +1,10 @@
 """Writing an aggregated topic, after its schema has been settled with the sink.
 
 Every sink writes a frame (``write``), starts a stream (``start``) or takes one
-micro-batch of a stream (``write_batch``). Files and tables hold all three in one
-layout, partitioned by who wrote (``_writer``) and by micro-batch (``_batch``); a
-micro-batch that is repeated replaces what it wrote before. Read with ``read``.
+micro-batch of a stream (``write_batch``). A micro-batch that is repeated replaces what it
+wrote before. Tables are partitioned by who wrote (``_writer``) and by micro-batch
+(``_batch``); files lie in folders that a manifest names (:mod:`tidemark.sinks.manifest`).
+Read with ``read``.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.quoting import quoted, text
+from tidemark.sinks import manifest
+from tidemark.storage import delete, exists, names_in
 
 
 class SchemaMismatch(ValueError):
@@ -53,34 +56,77 @@ def writer_id(checkpoint: str) -> str:
     return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
 
+# Sinks of this process whose schema has been settled: a stream need not look it up for every batch.
+_settled: set[tuple[str, str]] = set()
+
+
 @dataclass(frozen=True)
 class FileSink(_Batches):
-    """Files below ``<root>/<aggregated topic>``; schemas are kept in ``<root>/_schemas``."""
+    """Files below ``<root>/<aggregated topic>``; schemas are kept in ``<root>/_schemas``.
+
+    ``<aggregated topic>/_commits/<writer>`` holds the manifest of each writer. Empty
+    micro-batches leave nothing behind.
+    """
 
     root: str
     file_format: str = "parquet"
     options: dict[str, str] = field(default_factory=dict)
 
     def write_batch(self, df: DataFrame, name: str, batch_id: int, writer: str = "batches") -> None:
-        """Replace what an earlier attempt at this micro-batch wrote, if anything."""
+        """Commit the rows of one micro-batch, in place of what an earlier attempt at it wrote."""
         self._register(df, name)
-        out = df.write.format(self.file_format).options(**self.options)
-        out.mode("overwrite").save(f"{self.root}/{name}/{WRITER}={writer}/{BATCH}={batch_id}")
+        spark = df.sparkSession
+        commits = self._commits(name, writer)
+        if manifest.is_merged(manifest.latest(spark, commits), batch_id):
+            return
+        folder = f"{self.root}/{name}/{writer}/{batch_id}-{uuid.uuid4().hex}"
+        rows = Observation()
+        self._save(df.observe(rows, F.count(F.lit(1)).alias("n")), folder)
+        if not rows.get["n"]:
+            delete(spark, folder)
+            return
+        manifest.add(spark, commits, manifest.Folder(folder, batch_id, batch_id))
+        fields = self._schema(spark, name)
+        manifest.compact(
+            spark, commits, f"{self.root}/{name}/{writer}", lambda paths: self._load(spark, fields, paths), self._save
+        )
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
-        """All rows of an aggregated topic, whoever wrote them."""
-        schema = _file_schemas(spark, f"{self.root}/_schemas/{name}")[0]
-        layout = T.StructType([*schema.fields, T.StructField(WRITER, T.StringType()), T.StructField(BATCH, T.LongType())])
-        rows = spark.read.schema(layout).format(self.file_format).options(**self.options)
-        return rows.load(f"{self.root}/{name}").drop(WRITER, BATCH)
+        """All committed rows of an aggregated topic, whoever wrote them."""
+        fields = self._schema(spark, name)
+        folders = [folder.path for writer in self.writers(spark, name) for folder in self.folders(spark, name, writer)]
+        return self._load(spark, fields, folders) if folders else spark.createDataFrame([], fields)
+
+    def writers(self, spark: SparkSession, name: str) -> list[str]:
+        return names_in(spark, self._commits(name))
+
+    def folders(self, spark: SparkSession, name: str, writer: str) -> list[manifest.Folder]:
+        """The folders that are read."""
+        return list(manifest.latest(spark, self._commits(name, writer)).folders)
+
+    def _commits(self, name: str, writer: str = "") -> str:
+        return f"{self.root}/{name}/_commits" + (f"/{writer}" if writer else "")
+
+    def _schema(self, spark: SparkSession, name: str) -> T.StructType:
+        return _file_schemas(spark, f"{self.root}/_schemas/{name}")[0]
+
+    def _load(self, spark: SparkSession, schema: T.StructType, paths: list[str]) -> DataFrame:
+        return spark.read.schema(schema).format(self.file_format).options(**self.options).load(paths)
+
+    def _save(self, df: DataFrame, path: str) -> None:
+        df.write.format(self.file_format).options(**self.options).save(path)
 
     def _register(self, df: DataFrame, name: str) -> None:
+        settled = f"{self.root}/{name}", str(_shape(df.schema))
+        if settled in _settled:
+            return
         spark = df.sparkSession
-        if _exists(spark, f"{self.root}/{name}/_spark_metadata"):
+        if exists(spark, f"{self.root}/{name}/_spark_metadata"):
             raise ValueError(
                 f"{self.root}/{name} has the log of a file stream, which hides files written otherwise."
             )
         register_file_schema(spark, f"{self.root}/_schemas/{name}", df.schema, name)
+        _settled.add(settled)
 
 
 @dataclass(frozen=True)
@@ -188,13 +234,8 @@ def register_file_schema(spark: SparkSession, path: str, schema: T.StructType, n
     return not known
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
 def _file_schemas(spark: SparkSession, path: str) -> list[T.StructType]:
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return []
     lines = spark.read.option("recursiveFileLookup", "true").text(path).distinct().collect()
     return [T.StructType.fromJson(json.loads(line["value"])) for line in lines]

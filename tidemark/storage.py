@@ -61,5 +61,55 @@ def scratch(df: DataFrame, label: str, **measures: Column) -> Iterator[tuple[Dat
     try:
         yield spark.read.schema(df.schema).parquet(path), observation.get
     finally:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete(spark, path)
+
+
+# Small files of the driver, on any file system that Spark can reach.
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or a folder with all it holds; nothing happens if it is not there."""
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in ``path``, none if it does not exist."""
+    files, place = _file_system(spark, path)
+    return sorted(status.getPath().getName() for status in files.listStatus(place)) if files.exists(place) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    files, place = _file_system(spark, path)
+    stream = files.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> bool:
+    """A new file with ``text``, there whole or not at all; False if there is one already."""
+    files, place = _file_system(spark, path)
+    if files.exists(place):
+        return False
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{place.getParent().toString()}/.{uuid.uuid4().hex}.draft")
+    stream = files.create(draft, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if files.rename(draft, place):
+        return True
+    files.delete(draft, False)
+    return False
