@@ -12,6 +12,7 @@ import functools
 import os
 import sys
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ from tidemark.config import aggregated_name  # noqa: E402
 from tidemark.functions.eventtime import as_timestamp, epoch_seconds  # noqa: E402
 from tidemark.functions.measures import reduction_factor, standard_error  # noqa: E402
 from tidemark.functions.stats import OPERATIONS  # noqa: E402
+from tidemark.operators.cogroup import join_messages  # noqa: E402
 from tidemark.operators.project import numeric_fields  # noqa: E402
 from tidemark.operators.topics import (  # noqa: E402
     exclude_topics,
@@ -44,7 +46,13 @@ from tidemark.operators.topics import (  # noqa: E402
 from tidemark.sinks.aggregated import FileSink  # noqa: E402
 from tidemark.sources.topics import decode_messages, frames_source, tagged_source  # noqa: E402
 from tidemark.storage import new_path  # noqa: E402
-from tidemark.streaming.queries import start_aggregations, start_passthrough  # noqa: E402
+from tidemark.streaming.queries import (  # noqa: E402
+    start_aggregations,
+    start_cogroup,
+    start_passthrough,
+    use_state_store,
+)
+from tidemark.streaming.state import open_windows  # noqa: E402
 
 try:  # the corpus operators are a part that can be left out
     import corpus_pipeline as _pipeline  # noqa: E402
@@ -247,21 +255,27 @@ def _half_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cogrouped(**options) -> Query:
-    def text(record: Column) -> Column:
-        cents = F.round(record["value"] * 100).cast("bigint").cast("string")
-        return F.concat(record["field"], F.lit("="), cents)
-
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         groups = cogroup(
             _half_hours(spark, sf_dir),
             window_size_seconds=HOUR, time_column="ts", value="value", order_by=["event_id"], **options,
         )
-        listed = F.concat_ws(",", F.transform("records", text))
-        return groups.select("time", "window_start", "part", "parts", listed.alias("records"))
+        return _listed(groups)
 
     return run
 
 
+def _listed(groups: DataFrame) -> DataFrame:
+    """Co-groups with their records as one text."""
+
+    def text(record: Column) -> Column:
+        cents = F.round(record["value"] * 100).cast("bigint").cast("string")
+        return F.concat(record["field"], F.lit("="), cents)
+
+    listed = F.concat_ws(",", F.transform("records", text))
+    return groups.select("time", "window_start", "part", "parts", listed.alias("records"))
+
+
 def _config_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = AggregationConfig.from_mapping(
         {
@@ -360,6 +374,98 @@ def _stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(sink.read(spark, "stream_summary"))
 
 
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A streaming file source takes a folder or a glob, and the table may be one file.
+    return spark.readStream.schema(_events(spark, sf_dir).schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+def _run_stream(spark, stream, window, out, keys=(), **options) -> FileSink:
+    """Run one aggregated topic over what there is, and give its sink."""
+    topic = AggregatedTopic("streamed", (SourceTopic("events", ("value",)),), window)
+    sink = FileSink(f"{out}/data")
+    started = start_aggregations(
+        AggregationConfig((topic,)), frames_source({"events": stream}), sink, f"{out}/checkpoints",
+        {"availableNow": True}, time_column="ts", **options,
+    )
+    for query in started.values():
+        query.awaitTermination()
+    return sink
+
+
+def _stream_expiration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows stay open for two hours after their end; state in RocksDB."""
+    window = _hourly(("min", "mean", "max"), window_expiration_seconds=2 * HOUR)
+    with _state_store(spark, "rocksdb"):
+        sink = _run_stream(spark, _event_stream(spark, sf_dir), window, new_path(spark, "stream"))
+    return _rounded(sink.read(spark, "streamed"))
+
+
+def _stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth event comes after all others: too late but for the windows still open."""
+    out = new_path(spark, "late")
+    events, window = _events(spark, sf_dir), _hourly(("mean", "max"), window_expiration_seconds=DAY)
+    for late in (False, True):
+        part = events.where((F.col("event_id") % 10 == 0) == F.lit(late)).coalesce(1)
+        part.write.mode("append").parquet(f"{out}/source")
+        sink = _run_stream(spark, spark.readStream.schema(events.schema).parquet(f"{out}/source"), window, out)
+    return _rounded(sink.read(spark, "streamed"))
+
+
+def _stream_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily quartiles as a stream, by distributed ranks when a window closes."""
+    window = WindowAggregation(window_size_seconds=DAY, operations=("q1", "median", "q3"))
+    sink = _run_stream(spark, _event_stream(spark, sf_dir), window, new_path(spark, "stream"), max_group_values=100)
+    return _rounded(sink.read(spark, "streamed"))
+
+
+def _stream_half_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _event_stream(spark, sf_dir).withColumnRenamed("event_type", "topic")
+    seconds = epoch_seconds(as_timestamp(events, "ts"))
+    half_hours = events.withColumn("time", F.floor(seconds / 1800) * F.lit(1800.0))
+    return keep_topics(half_hours, ["click", "view"])
+
+
+def _stream_cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_path(spark, "stream")
+    sink = FileSink(f"{out}/data")
+    start_cogroup(
+        _stream_half_hours(spark, sf_dir), WindowAggregation(window_size_seconds=HOUR), sink, "groups",
+        f"{out}/checkpoints", {"availableNow": True}, time_column="ts", value="value", order_by=["event_id"],
+    ).awaitTermination()
+    return _listed(sink.read(spark, "groups"))
+
+
+def _stream_join_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and views of the same half hour, joined as two streams."""
+    out = new_path(spark, "stream")
+    sides = [keep_topics(_stream_half_hours(spark, sf_dir), [topic]) for topic in ("click", "view")]
+    joined = join_messages(
+        *sides, names=["click", "view"], window_size_seconds=HOUR, time_column="ts", value="value"
+    )
+    sink = FileSink(f"{out}/data")
+    sink.start(joined, "joined", f"{out}/checkpoints/joined", {"availableNow": True}).awaitTermination()
+    return _rounded(sink.read(spark, "joined").drop("click_time", "view_time"))
+
+
+def _open_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the state store holds after a stream has read all events."""
+    out = new_path(spark, "stream")
+    window = _hourly(("mean", "stdev"), window_expiration_seconds=DAY)
+    _run_stream(spark, _event_stream(spark, sf_dir), window, out)
+    return open_windows(spark, f"{out}/checkpoints/streamed")
+
+
+@contextmanager
+def _state_store(spark: SparkSession, store: str):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    use_state_store(spark, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Hourly summary of the events: all seven statistics of every window."""
     return queries()["summary_all"](spark, "/root/testdata/sf0.001")
@@ -400,6 +506,12 @@ def queries() -> dict[str, Query]:
         "reduction_factor": _reduction_factor,
         "message_round_trip": _message_round_trip,
         "stream_summary": _stream_summary,
+        "stream_expiration": _stream_expiration,
+        "stream_late": _stream_late,
+        "stream_large": _stream_large,
+        "stream_cogroup": _stream_cogroup,
+        "stream_join_wide": _stream_join_wide,
+        "open_windows": _open_windows,
         **({**_corpus.queries(), "pipeline": _pipeline.run} if _corpus else {}),
     }
 
@@ -515,6 +627,33 @@ def oracle_sql() -> dict[str, str]:
         "stream_summary": f"""
             SELECT * FROM ({events_sql(OPERATIONS)})
             WHERE time + {HOUR / 2} <= (SELECT epoch_us(max(ts)) / 1e6 FROM events)""",
+        "stream_expiration": f"""
+            SELECT * FROM ({events_sql(light)})
+            WHERE time + {HOUR / 2} + {2 * HOUR} <= (SELECT epoch_us(max(ts)) / 1e6 FROM events)""",
+        "stream_late": f"""
+            SELECT * FROM ({_summary_sql(
+                **all_events, fields=value, operations=("mean", "max"),
+                where=f"""event_id % 10 <> 0 OR (floor(epoch_us(ts) / {HOUR}000000) + 1) * {HOUR} + {DAY}
+                          > (SELECT floor(epoch_us(max(ts)) / 1e3) / 1e3 FROM events WHERE event_id % 10 <> 0)""",
+            )}) WHERE time + {HOUR / 2} + {DAY} <= (SELECT epoch_us(max(ts)) / 1e6 FROM events)""",
+        "stream_large": f"""
+            SELECT * FROM ({events_sql(("q1", "median", "q3"), size=DAY)})
+            WHERE time + {DAY / 2} <= (SELECT epoch_us(max(ts)) / 1e6 FROM events)""",
+        "stream_cogroup": f"""
+            SELECT * FROM ({_cogroup_sql(half_hours, 50_000)})
+            WHERE window_start + {HOUR} <= (SELECT max(epoch_us(ts)) / 1e6 FROM ({half_hours}))""",
+        "stream_join_wide": f"""
+            WITH h AS ({half_hours}),
+            closed AS (SELECT min(last) AS at FROM (SELECT max(epoch_us(ts)) / 1e6 AS last FROM h GROUP BY topic))
+            SELECT coalesce(c.time, v.time) AS time, coalesce(c.window_start, v.window_start) AS window_start,
+                   round(c.value, 6) AS click_value, round(v.value, 6) AS view_value
+            FROM (SELECT * FROM h WHERE topic = 'click') c
+            FULL OUTER JOIN (SELECT * FROM h WHERE topic = 'view') v USING (time, window_start), closed
+            WHERE (c.value IS NOT NULL AND v.value IS NOT NULL)
+               OR coalesce(c.window_start, v.window_start) + {HOUR} <= closed.at""",
+        "open_windows": f"""
+            SELECT time, window_size, count FROM ({events_sql((), fields={})})
+            WHERE time + {HOUR / 2} + {DAY} > (SELECT epoch_us(max(ts)) / 1e6 FROM events)""",
         **(_corpus.oracle_sql() if _corpus else {}),
     }
 

@@ -6,7 +6,8 @@ from tidemark.config import (
     SourceTopic,
     WindowAggregation,
 )
-from tidemark.operators.cogroup import cogroup, join_wide
+from tidemark.operators.cogroup import cogroup, join_messages, join_wide
+from tidemark.operators.rollup import roll_up
 from tidemark.operators.summarize import summarize
 from tidemark.plans.aggregated import aggregate_all, aggregate_matching, aggregate_topic
 
@@ -19,6 +20,8 @@ __all__ = [
     "aggregate_matching",
     "aggregate_topic",
     "cogroup",
+    "join_messages",
     "join_wide",
+    "roll_up",
     "summarize",
 ]

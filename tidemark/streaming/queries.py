@@ -13,9 +13,11 @@ from tidemark.config import AggregationConfig, WindowAggregation
 from tidemark.functions.eventtime import as_timestamp, tumbling, watermarked
 from tidemark.functions.stats import order_operations
 from tidemark.plans.aggregated import messages_by_topic, summarize_messages
+from tidemark.operators.cogroup import cogroup
 from tidemark.sinks.aggregated import writer_id
 from tidemark.sources.topics import TopicSource
 from tidemark.storage import scratch
+from tidemark.streaming.state import observed
 
 # Spark's state store providers under the names used in configurations.
 STATE_STORES = {
@@ -52,6 +54,9 @@ def start_aggregations(
     are several): one that lags loses nothing, and one that is silent holds back
     nothing but its own rows.
 
+    How many messages came, and how many of them without event time, are metrics of every
+    batch; :class:`tidemark.streaming.state.LeftOut` adds them up, late ones too.
+
     Statistics that merge keep a state row of fixed size for each window. Quartiles
     and median go through :func:`start_on_close`.
 
@@ -63,6 +68,7 @@ def start_aggregations(
     for topic in config.aggregated_topics:
         parts = messages_by_topic(topic, source, time_column, order_by)
         for name, messages in parts.items():
+            messages = observed(messages, time_column)
             label = topic.name if len(parts) == 1 else f"{topic.name}/{name}"
             summary = partial(
                 summarize_messages, topic, time_column=time_column, order_by=order_by, **options
@@ -121,6 +127,30 @@ def start_on_close(
     return (out.trigger(**trigger) if trigger else out).start()
 
 
+def start_cogroup(
+    messages: DataFrame,
+    window: WindowAggregation,
+    sink,
+    name: str,
+    checkpoint_root: str,
+    trigger: Mapping | None = None,
+    time_column: str = "timestamp",
+    topic_column: str = "topic",
+    key: str = "time",
+    value: str = "value0",
+    order_by: Sequence[str] = (),
+    **options,
+) -> StreamingQuery:
+    """Co-groups of the windows that close, like :func:`cogroup`, without a list in the state."""
+    columns = [time_column, topic_column, key, value, *order_by]
+    grouped = partial(
+        cogroup, window_size_seconds=window.window_size_seconds, time_column=time_column,
+        topic_column=topic_column, key=key, value=value, order_by=order_by, **options,
+    )
+    chosen = messages.select(*[F.col(f"`{c}`") for c in dict.fromkeys(columns)])
+    return start_on_close(chosen, window, grouped, sink, name, checkpoint_root, trigger, time_column)
+
+
 def start_passthrough(
     messages: DataFrame, name: str, sink, checkpoint_root: str, trigger: Mapping | None = None
 ) -> StreamingQuery:
