@@ -53,6 +53,7 @@ from tidemark.streaming.queries import (  # noqa: E402
     use_state_store,
 )
 from tidemark.streaming.state import open_windows  # noqa: E402
+from tidemark.streaming.timed import start_by_topic_clock  # noqa: E402
 
 try:  # the corpus operators are a part that can be left out
     import corpus_pipeline as _pipeline  # noqa: E402
@@ -447,6 +448,22 @@ def _stream_join_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(sink.read(spark, "joined").drop("click_time", "view_time"))
 
 
+def _stream_topics_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All event types in one query, each by its own clock: errors come after all others, signups stop early."""
+    out = new_path(spark, "timed")
+    events = _event_topics(spark, sf_dir).where("topic <> 'signup' OR ts < timestamp_ntz'2024-01-10 12:30:00'")
+    sink, window = FileSink(f"{out}/data"), _hourly(("min", "mean", "stdev", "max"))
+    with _state_store(spark, "rocksdb"):
+        for lagging in (False, True):
+            part = events.where((F.col("topic") == "error") == F.lit(lagging)).coalesce(1)
+            part.write.mode("append").parquet(f"{out}/source")
+            stream = spark.readStream.schema(events.schema).parquet(f"{out}/source")
+            start_by_topic_clock(
+                stream, window, sink, "timed", f"{out}/checkpoints", {"availableNow": True}, time_column="ts", fields=["value"]
+            ).awaitTermination()
+    return _rounded(sink.read(spark, "timed"))
+
+
 def _open_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the state store holds after a stream has read all events."""
     out = new_path(spark, "stream")
@@ -511,6 +528,7 @@ def queries() -> dict[str, Query]:
         "stream_large": _stream_large,
         "stream_cogroup": _stream_cogroup,
         "stream_join_wide": _stream_join_wide,
+        "stream_topics_timed": _stream_topics_timed,
         "open_windows": _open_windows,
         **({**_corpus.queries(), "pipeline": _pipeline.run} if _corpus else {}),
     }
@@ -651,6 +669,12 @@ def oracle_sql() -> dict[str, str]:
             FULL OUTER JOIN (SELECT * FROM h WHERE topic = 'view') v USING (time, window_start), closed
             WHERE (c.value IS NOT NULL AND v.value IS NOT NULL)
                OR coalesce(c.window_start, v.window_start) + {HOUR} <= closed.at""",
+        "stream_topics_timed": f"""
+            WITH e AS (SELECT * FROM events WHERE event_type <> 'signup' OR ts < TIMESTAMP '2024-01-10 12:30:00'),
+            clocks AS (SELECT event_type AS topic, max(epoch_us(ts)) / 1e6 AS at FROM e GROUP BY event_type)
+            SELECT s.* FROM ({_summary_sql(
+                "e", "ts", HOUR, value, ("min", "mean", "stdev", "max"), **by_topic
+            )}) s JOIN clocks USING (topic) WHERE s.time + {HOUR / 2} <= clocks.at""",
         "open_windows": f"""
             SELECT time, window_size, count FROM ({events_sql((), fields={})})
             WHERE time + {HOUR / 2} + {DAY} > (SELECT epoch_us(max(ts)) / 1e6 FROM events)""",
