@@ -12,22 +12,21 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.quoting import quoted, text
 from tidemark.sinks import manifest
+from tidemark.sinks.schemas import SchemaMismatch, SchemaStore, with_header
+from tidemark.sources.schema import avro_from_schema
 from tidemark.storage import delete, exists, names_in
 
 
-class SchemaMismatch(ValueError):
-    """The sink exists with another schema."""
-
-
 # Partition columns of files and tables.
 WRITER, BATCH = "_writer", "_batch"
 
@@ -159,20 +158,43 @@ class TableSink(_Batches):
 class KafkaSink:
     """Kafka topics named after the aggregated topic; needs Spark's Kafka package.
 
-    With ``topic_column`` every row goes to the topic named there instead.
+    With ``topic_column`` every row goes to the topic named there instead. ``value_format`` is
+    ``json`` or ``avro``; Avro needs Spark's Avro package and ``schemas``, whose ids stand in the
+    header of each value. Where ``schemas`` is given, the schema of the rows is registered as
+    ``<aggregated topic>-value`` before anything is sent, and another one is refused.
     """
 
     servers: str
     topic_column: str | None = None
     options: dict[str, str] = field(default_factory=dict)
+    value_format: str = "json"
+    schemas: SchemaStore | None = None
+
+    def __post_init__(self) -> None:
+        if self.value_format not in ("json", "avro"):
+            raise ValueError(f"value_format must be 'json' or 'avro', not {self.value_format!r}")
+        if self.value_format == "avro" and self.schemas is None:
+            raise ValueError("Avro values need a schema store.")
 
     def _settings(self, name: str) -> dict[str, str]:
         target = {} if self.topic_column else {"topic": name}
         return {"kafka.bootstrap.servers": self.servers, **target, **self.options}
 
+    def messages(self, df: DataFrame, name: str) -> DataFrame:
+        """What is sent for ``df``, its schema settled."""
+        if self.schemas is None:
+            return as_messages(df, self.topic_column)
+        fields = T.StructType([f for f in df.schema.fields if f.name != self.topic_column])
+        schema = avro_from_schema(fields, name)
+        number = self.schemas.register(df.sparkSession, f"{name}-value", schema)
+        if self.value_format == "json":
+            return as_messages(df, self.topic_column)
+        from pyspark.sql.avro.functions import to_avro
+
+        return as_messages(df, self.topic_column, lambda row: with_header(to_avro(row, schema), number))
+
     def write(self, df: DataFrame, name: str) -> None:
-        messages = as_messages(df, self.topic_column)
-        messages.write.format("kafka").options(**self._settings(name)).save()
+        self.messages(df, name).write.format("kafka").options(**self._settings(name)).save()
 
     def write_batch(self, df: DataFrame, name: str, batch_id: int, writer: str = "batches") -> None:
         """Send; a repeated micro-batch is sent again."""
@@ -181,17 +203,22 @@ class KafkaSink:
     def start(
         self, df: DataFrame, name: str, checkpoint: str, trigger: dict, label: str | None = None
     ) -> StreamingQuery:
-        messages = as_messages(df, self.topic_column)
+        messages = self.messages(df, name)
         writer = messages.writeStream.format("kafka").options(**self._settings(name))
         return _start(writer, label or name, checkpoint, trigger).start()
 
 
-def as_messages(df: DataFrame, topic_column: str | None = None) -> DataFrame:
-    """Rows as JSON in a ``value`` column, nulls included, and their ``topic`` if it is a column."""
+def as_messages(
+    df: DataFrame, topic_column: str | None = None, encode: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """Rows in a ``value`` column, and their ``topic`` if it is a column.
+
+    ``encode`` turns a struct of the other columns into the value: JSON by default, nulls included.
+    """
     row = F.struct(*[quoted(name) for name in df.columns if name != topic_column])
-    value = F.to_json(row, {"ignoreNullFields": "false"}).alias("value")
+    value = encode(row) if encode else F.to_json(row, {"ignoreNullFields": "false"})
     topic = [F.col(quoted(topic_column)).alias("topic")] if topic_column else []
-    return df.select(*topic, value)
+    return df.select(*topic, value.alias("value"))
 
 
 def register_schema(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import types as T
 
@@ -44,3 +45,21 @@ def _plain(kind) -> str:
     while isinstance(kind, dict):
         kind = kind["type"]
     return kind if isinstance(kind, str) else ""
+
+
+def avro_from_schema(schema: T.StructType, name: str) -> str:
+    """Avro schema (JSON) of a record of primitive fields, the reverse of :func:`schema_from_avro`.
+
+    Nullable fields are optional, with null as their default, so a reader of the schema can do
+    without them. A name that Avro does not allow, and any other type, raise.
+    """
+    kinds = {kind: avro for avro, kind in AVRO_PRIMITIVES.items()}
+    plain = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+    fields = []
+    for f in schema.fields:
+        if f.dataType not in kinds or not plain.fullmatch(f.name):
+            raise ValueError(f"Field {f.name!r} of type {f.dataType.simpleString()} has no place in an Avro record.")
+        kind = kinds[f.dataType]
+        fields.append({"name": f.name, "type": ["null", kind], "default": None} if f.nullable else {"name": f.name, "type": kind})
+    record = {"type": "record", "name": re.sub(r"[^A-Za-z0-9_]", "_", name), "fields": fields}
+    return json.dumps(record, separators=(",", ":"))

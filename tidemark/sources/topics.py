@@ -61,6 +61,8 @@ def kafka_source(
     value_format: str = "json",
     schema_id_header: bool = True,
     streaming: bool = True,
+    on_malformed: str = "keep",
+    prefix: str = "",
     **options: str,
 ) -> TopicSource:
     """Kafka topics; needs Spark's Kafka package on the class path.
@@ -68,7 +70,8 @@ def kafka_source(
     ``schema`` is the schema of the message value: a ``StructType`` for JSON, an
     Avro schema (JSON text) for Avro, which needs Spark's Avro package too. The
     event time is the message timestamp. ``offset`` and ``partition`` identify a
-    message and serve as ``order_by``.
+    message and serve as ``order_by``. ``on_malformed`` and ``prefix`` are those of
+    :func:`decode_messages`; the topic's name stays in ``topic``.
 
     A batch read (``streaming=False``) may be scanned several times and must give
     the same messages every time, so its end has to be fixed with one of Spark's
@@ -77,7 +80,9 @@ def kafka_source(
 
     def read(names: Sequence[str]) -> DataFrame:
         raw = _kafka(spark, servers, {"subscribe": ",".join(names)}, streaming, options)
-        return decode_messages(raw, schema, value_format, schema_id_header)
+        decoded = decode_messages(raw, schema, value_format, schema_id_header, on_malformed, prefix)
+        # Topics are told apart by this column, unless it is the payload's.
+        return decoded if "topic" in decoded.columns else decoded.withColumnRenamed(f"{prefix}topic", "topic")
 
     return read
 
@@ -90,11 +95,13 @@ def kafka_pattern(
     value_format: str = "json",
     schema_id_header: bool = True,
     streaming: bool = True,
+    on_malformed: str = "keep",
+    prefix: str = "",
     **options: str,
 ) -> DataFrame:
     """All Kafka topics whose name matches ``topic_regex``, as one frame."""
     raw = _kafka(spark, servers, {"subscribePattern": topic_regex}, streaming, options)
-    return decode_messages(raw, schema, value_format, schema_id_header)
+    return decode_messages(raw, schema, value_format, schema_id_header, on_malformed, prefix)
 
 
 def decode_messages(
