@@ -58,9 +58,7 @@ from tidemark.streaming.timed import start_by_topic_clock  # noqa: E402
 try:  # the corpus operators are a part that can be left out
     import corpus_pipeline as _pipeline  # noqa: E402
     from tidemark.llm import queries as _corpus  # noqa: E402
-except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "tidemark.llm"):
-        raise
+except ImportError:  # left out, or one of the packages that they need is not here
     _corpus = _pipeline = None
 
 HOUR = 3_600
@@ -497,6 +495,9 @@ def queries() -> dict[str, Query]:
         "min_sample_fallback": _event_summary(
             keys=("event_type",), min_sample_size=4, order_by=["event_id"]
         ),
+        "min_sample_fallback_ordered": _event_summary(
+            ("mean", "max"), keys=("event_type",), min_sample_size=4, order_by=["event_id"]
+        ),
         "summary_lineitem": _lineitem_summary(MONTH),
         "summary_one_window": _lineitem_summary(DECADE, fields=LINEITEM_MEASURES),
         "quartiles_ranked": _event_summary(("q1", "median", "q3"), size=DAY, max_group_values=100),
@@ -571,6 +572,9 @@ def oracle_sql() -> dict[str, str]:
         "min_sample_fallback": events_sql(
             OPERATIONS, keys={"event_type": "event_type"}, min_sample_size=4, order="(ts, event_id)"
         ),
+        "min_sample_fallback_ordered": events_sql(
+            ("mean", "max"), keys={"event_type": "event_type"}, min_sample_size=4, order="(ts, event_id)"
+        ),
         "summary_lineitem": month_sql(LINEITEM_ALL, OPERATIONS),
         "summary_one_window": _summary_sql(
             "lineitem", "l_shipdate", DECADE, same(LINEITEM_MEASURES), OPERATIONS

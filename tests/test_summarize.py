@@ -324,3 +324,34 @@ def test_rows_of_hot_cogroups_are_never_exchanged_by_group(spark, no_help):
     )
     out = cogroup(rows, window_size_seconds=60, part_rows=200)
     assert "Range" not in exchanged(out) and len(out.collect()) == 17 + 10
+
+
+def test_first_values_with_tie_breaks_need_no_sorted_aggregate(spark, messages):
+    rng = random.Random(8)
+    rows = [
+        (rng.randrange(60) / 2, rng.choice(["a", None, "b", "c"]), rng.randrange(4), rng.randrange(9),
+         rng.choice([None, float(rng.randrange(50))]), float(i))
+        for i in range(900)
+    ]
+    df = messages(rows, "key string, partition int, offset int, value double, other double")
+    settings = window(("mean", "stdev"), min_sample_size=7)
+    out = summarize(df, settings, keys=["key"], fields=["value", "other"], order_by=["partition", "offset"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "min_by" not in plan
+    got = {(r["key"], r["time"]): r for r in out.collect()}
+    groups = {}
+    for at, key, *order, value, other in rows:
+        groups.setdefault((key, int(at) + 0.5), []).append((at, *order, value, other))
+    assert set(got) == set(groups) and any(len(g) < 7 for g in groups.values()) and any(len(g) >= 14 for g in groups.values())
+    for place, inside in groups.items():
+        for i, name in ((3, "value"), (4, "other")):
+            values = [x[i] for x in inside if x[i] is not None]
+            first = min(((*x[:3], x[i]) for x in inside if x[i] is not None), default=(None,))[-1]
+            want = statistics.mean(values) if len(values) >= 7 else first
+            assert got[place][f"mean_{name}"] == (want if want is None else pytest.approx(want))
+
+
+def test_first_values_where_no_group_needs_them(messages):
+    df = messages([(0.1, 1, 2.0), (0.2, 0, 4.0), (0.3, 2, 6.0)], "offset int, value double")
+    out = summarize(df, window(("mean",), min_sample_size=3), fields=["value"], order_by=["offset"])
+    assert [r["mean_value"] for r in out.collect()] == [4.0]

@@ -22,7 +22,7 @@ from tidemark.functions.stats import STATISTICS, mergeable_operations, order_ope
 from tidemark.operators.matching import among, join_on
 from tidemark.operators.project import numeric_fields
 from tidemark.operators.ranks import values_at_ranks
-from tidemark.storage import measured
+from tidemark.storage import measured, written
 
 # A group with more values than this (messages x fields) is never gathered in one
 # task. A task holds up to 128 groups at a time before it falls back to sorting.
@@ -140,12 +140,44 @@ class _Plan:
 
     def summed(self, rows: DataFrame) -> DataFrame:
         """Mergeable aggregates of every group: number of values, first value, statistics."""
-        return self._aggregated(rows, self.group, self._sums())
+        if self._first_is_lowest or not self.n_order or rows.isStreaming:
+            return self._aggregated(rows, self.group, self._sums())
+        return self._with_first(rows)
+
+    def _with_first(self, rows: DataFrame) -> DataFrame:
+        """The same in two steps: Spark cannot aggregate by hash where the first value has tie-breaks.
+
+        The hash aggregate finds the least event time of every field. Only the messages that have
+        it, in groups that need their first value, are then looked at for their tie-breaks; a
+        filter over group, field and time finds them, so no other message moves.
+        """
+        fields = range(len(self.names))
+        least = [f"min(CASE WHEN __v_{i} IS NOT NULL THEN {_TIME} END) AS __least_{i}" for i in fields]
+        sums = written(self._aggregated(rows, self.group, [*self._sums(first=False), *least]), "sums")
+        wanted = ", ".join(f"struct({i} AS __field, __n_{i} AS n, __least_{i} AS {_TIME})" for i in fields)
+        needy = sums.selectExpr(*self.group, f"inline(array({wanted}))").where(
+            f"n BETWEEN 1 AND {self.window.min_sample_size - 1}"
+        ).drop("n")
+        at = [*self.group, "__field", _TIME]
+        needy, found = measured(needy, "needy", n=F.count(F.lit(1)))
+        if not found["n"]:
+            return sums.select("*", *[F.lit(None).cast("double").alias(f"__first_{i}") for i in fields])
+        ties = [f"__order_{k}" for k in range(self.n_order)]
+        each = ", ".join(f"struct({i} AS __field, __v_{i} AS __value)" for i in fields)
+        values = rows.selectExpr(*self.group, _TIME, *ties, f"inline(array({each}))").where("__value IS NOT NULL")
+        firsts = join_on(values.where(among(needy, at, found["n"])), needy, at, "left_semi")
+        # Fewer messages than the minimum sample, for each group and field.
+        first = f"array_min(collect_list(struct({', '.join(ties)}, __value)))"
+        firsts = firsts.groupBy(*self.group, "__field").agg(F.expr(first).alias("first"))
+        picked = firsts.groupBy(*self.group).agg(
+            *[F.max(F.when(F.col("__field") == i, F.col("first.__value"))).alias(f"__first_{i}") for i in fields]
+        )
+        return join_on(sums, picked, self.group, "left")
 
     def gathered(self, rows: DataFrame, group: Sequence) -> DataFrame:
         """The same with the sorted values of every group, from which most of it is read."""
         if not self.order_ops:
-            return self._aggregated(rows, group, self._sums())
+            return self.summed(rows) if list(group) == self.group else self._aggregated(rows, group, self._sums())
         ranked = {
             op: STATISTICS[op].rank for op in self.mergeable_ops if STATISTICS[op].rank is not None
         }
@@ -170,10 +202,12 @@ class _Plan:
         everything = [f"count(1) AS {_COUNT}", *columns]
         return rows.groupBy(*group).agg(*[F.expr(column) for column in everything])
 
-    def _sums(self) -> list[str]:
+    def _sums(self, first: bool = True) -> list[str]:
         columns = []
         for i in range(len(self.names)):
-            columns += [f"count(__v_{i}) AS __n_{i}", f"{self._first(i)} AS __first_{i}"]
+            columns.append(f"count(__v_{i}) AS __n_{i}")
+            if first:
+                columns.append(f"{self._first(i)} AS __first_{i}")
             columns += [
                 f"{STATISTICS[op].aggregate(f'__v_{i}')} AS __{op}_{i}" for op in self.mergeable_ops
             ]
