@@ -530,7 +530,7 @@ def queries() -> dict[str, Query]:
         "stream_cogroup": _stream_cogroup,
         "stream_join_wide": _stream_join_wide,
         "stream_topics_timed": _stream_topics_timed,
-        "open_windows": _open_windows,
+        "state_open_windows": _open_windows,
         **({**_corpus.queries(), "pipeline": _pipeline.run} if _corpus else {}),
     }
 
@@ -679,7 +679,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT s.* FROM ({_summary_sql(
                 "e", "ts", HOUR, value, ("min", "mean", "stdev", "max"), **by_topic
             )}) s JOIN clocks USING (topic) WHERE s.time + {HOUR / 2} <= clocks.at""",
-        "open_windows": f"""
+        "state_open_windows": f"""
             SELECT time, window_size, count FROM ({events_sql((), fields={})})
             WHERE time + {HOUR / 2} + {DAY} > (SELECT epoch_us(max(ts)) / 1e6 FROM events)""",
         **(_corpus.oracle_sql() if _corpus else {}),
