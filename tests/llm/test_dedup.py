@@ -163,3 +163,16 @@ def test_equal_texts_of_odd_documents(odd, none):
 def test_all_texts_equal(spark):
     rows = spark.createDataFrame([(i, "same text") for i in range(50)], "doc_id long, text string")
     assert {(r["keep_id"], r["group_size"]) for r in exact_dedup(rows).collect()} == {(49, 50)}
+
+
+def test_long_equal_texts_take_few_rounds(spark, monkeypatch):
+    from tidemark.llm import exact_dedup as module
+
+    rounds = []
+    measured = module.measured
+    monkeypatch.setattr(module, "measured", lambda df, label, **m: rounds.append(label) or measured(df, label, **m))
+    long = "0123456789" * 1_000_000
+    docs = spark.createDataFrame([(1, long), (2, long), (3, long + "x"), (4, "short")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(docs).collect()}
+    assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True), 4: (4, 1, True)}
+    assert len(rounds) <= 24  # two tables a round

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.frames import join_counted, own_id, texts
 from tidemark.storage import measured
 
-# Bytes looked at in each round; the last width repeats.
+# Bytes looked at in each round; after the last, each round looks at four times as many.
 WIDTHS = (128, 512, 2048, 8192, 32768)
 
 
@@ -32,7 +32,8 @@ def exact_dedup(
     texts; all others go on with the bytes that follow. The bytes themselves are
     the keys, so equality rests on no digest (``text_sha256`` is only reported).
     Only documents that still share all bytes so far are written for the next
-    round, without the bytes that were compared.
+    round, without the bytes that were compared. Widths grow, so the number of rounds is
+    that of the digits of the longest shared beginning.
     """
     base = texts(docs, id_column, text_column).select(
         "did", F.sha2("text", 256).alias("sha"), F.col("text").cast("binary").alias("rest")
@@ -66,7 +67,7 @@ def exact_dedup(
     group_keys = ["group_bytes"]
     place = 1
     while limit_rows:
-        width = widths[min(place, len(widths) - 1)]
+        width = widths[place] if place < len(widths) else widths[-1] * 4 ** (place - len(widths) + 1)
         place += 1
         rows = active.withColumn("digit", F.substring("rest", 1, width))
         keys = [*group_keys, "digit"]

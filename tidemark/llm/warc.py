@@ -76,13 +76,15 @@ def write_warc(
     chunk_bytes: int = 8192,
     segment_bytes: int = 16384,
     records_per_file: int = 2000,
+    archive_bytes: int = 64_000_000,
 ) -> None:
     """Write a record per row of ``pages`` to archives below ``path``.
 
     Of rows with equal payloads of ``min_revisit_bytes`` or more, the one with the
     smallest id is a response and the others revisit it; smaller payloads are
     always responses. Blocks longer than ``segment_bytes`` are segmented into
-    continuation records. A null payload is empty, a null id comes after all
+    continuation records. An archive has ``records_per_file`` records of at most that length,
+    fewer where ``archive_bytes`` (before compression) asks for it. A null payload is empty, a null id comes after all
     others, a null URL is empty, and control characters and blanks are taken out
     of URLs. Rows that repeat the smallest id with an equal payload are responses
     too. No rows: no archive.
@@ -106,7 +108,9 @@ def write_warc(
         "page", "url", "digest", F.lit(None).cast("bigint").alias("refers"),
         response_block.alias("block"),
     )
-    _write_records(responses.unionByName(revisits), path, segment_bytes, records_per_file)
+    # A record is a block of at most ``segment_bytes`` and a head of a few hundred.
+    per_file = max(1, min(records_per_file, archive_bytes // (segment_bytes + 1024)))
+    _write_records(responses.unionByName(revisits), path, segment_bytes, per_file)
 
 
 def _first_of(rows: DataFrame, firsts: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
