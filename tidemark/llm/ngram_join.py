@@ -17,6 +17,8 @@ from tidemark.storage import measured, written
 
 # Members of a candidate group that a task compares with one another at a time.
 BLOCK = 128
+# Bytes of n-grams that small groups in one pack have on average.
+PACK_BYTES = 8_000_000
 
 
 def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> int:
@@ -135,10 +137,10 @@ def ngram_join(
     sets = written(
         with_words.groupBy("digest").agg(
             F.min(F.struct("did", "row")).alias("least"), F.count("*").alias("copies"),
-            F.min_by(F.struct("th", "prefixes"), F.struct("did", "row")).alias("of"),
+            F.min_by(F.struct("th", "prefixes", "size"), F.struct("did", "row")).alias("of"),
         ).select(
             "digest", "copies", F.col("least.row").alias("node"), F.col("least.did").alias("node_did"),
-            F.col("of.th").alias("node_th"), F.col("of.prefixes").alias("prefixes"),
+            F.col("of.th").alias("node_th"), F.col("of.prefixes").alias("prefixes"), F.col("of.size").alias("size"),
         ),
         "sets",
     )
@@ -215,13 +217,14 @@ def _links(base: DataFrame, sets: DataFrame, size: int, threshold: float, trees:
         .withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     )
-    wanted = sets.select("node", "node_did", "node_th", "copies", "prefixes").join(members, "node")
-    # Small groups share a pack; a large one has a pack for each pair of blocks.
-    packs = max(1, n // 1000)
+    wanted = sets.select("node", "node_did", "node_th", "copies", "prefixes", "size").join(members, "node")
     place = ["node_did", "node_th"]
+    keys, seen = measured(wanted.select(*place, "size"), "compared", grams=F.sum("size"))
+    # Small groups share a pack, of bounded length; a large one has a pack for each pair of blocks.
+    packs = max(1, n // 1000, 8 * (seen["grams"] or 0) // PACK_BYTES)
     compared = matched(
         base.select(F.col("did").alias("node_did"), F.col("th").alias("node_th"), "text"),
-        written(wanted.select(*place), "compared"), place, n, "left_semi",
+        keys.select(*place), place, n, "left_semi",
     )
     with_text = wanted.join(compared.dropDuplicates(place), place)  # rows may repeat one another
 
