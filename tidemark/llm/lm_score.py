@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import NO_ID, own_id, texts
-from tidemark.llm.shipping import ship
+from tidemark.llm.shipping import ship, small_batches
 from tidemark.llm.words import LOWER
 from tidemark.storage import measured, written
 
@@ -273,6 +273,7 @@ def lm_score(
     """
     spark = docs.sparkSession
     ship(spark)
+    small_batches(spark, 4000)  # as many texts as fit easily, not too few n-grams
     base = texts(docs, id_column, text_column)
     learned = base.where(training(F.col("did"), folds, held_out)).select("text")
     both = base.withColumn("learned", training(F.col("did"), folds, held_out))

@@ -30,8 +30,8 @@ def ship(spark: SparkSession) -> None:
 BATCH_ROWS = 1000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hand rows to Python in batches of ``BATCH_ROWS``, unless the session has its own number."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Hand rows to Python in batches of ``rows``, unless the session has its own number."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, None) in (None, "10000"):
-        spark.conf.set(key, str(BATCH_ROWS))
+        spark.conf.set(key, str(rows))
