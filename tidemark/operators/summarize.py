@@ -177,7 +177,7 @@ class _Plan:
     def gathered(self, rows: DataFrame, group: Sequence) -> DataFrame:
         """The same with the sorted values of every group, from which most of it is read."""
         if not self.order_ops:
-            return self.summed(rows) if list(group) == self.group else self._aggregated(rows, group, self._sums())
+            return self._aggregated(rows, group, self._sums()) if rows.isStreaming else self.summed(rows)
         ranked = {
             op: STATISTICS[op].rank for op in self.mergeable_ops if STATISTICS[op].rank is not None
         }
