@@ -177,3 +177,12 @@ def test_the_dictionary_sees_long_texts_and_no_more_than_the_sample(spark):
     # 3 texts of 3,000,000 characters make 552 of 3549 pieces.
     assert len(sizes) == 200 and max(sizes) == 16_384 and 10 <= sum(n > 5 for n in sizes) <= 60
     assert sampled_pieces(texts(docs), 100_000).count() == 3549 and sampled_pieces(texts(docs.where("false")), 9).count() == 0
+
+
+def test_texts_without_anything_to_train_on(spark, tmp_path):
+    docs = spark.createDataFrame([(3, None), (1, ""), (2, None)], "doc_id long, text string")
+    write_tokens(docs, str(tmp_path / "t"), VOCABULARY)
+    check_tokens(docs, str(tmp_path / "t"))
+    some = docs.unionByName(spark.createDataFrame([(4, "words")], docs.schema))
+    write_tokens(some, str(tmp_path / "u"), VOCABULARY, dictionary_slices=0)
+    check_tokens(some, str(tmp_path / "u"))

@@ -337,7 +337,12 @@ def train_dictionary(base: DataFrame, tokenizer_path: str, end_id: int, slices:
 
     trained = sampled_pieces(base, slices).coalesce(1).mapInArrow(train, "width bigint, dictionary binary").collect()
     if not trained:  # Spark leaves out what it knows to be empty
-        return 4, b""
+
+        def width(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.record_batch([pa.array([encoder(tokenizer_path).width] * batch.num_rows)], names=["width"])
+
+        return base.sparkSession.range(0, 1, 1, 1).mapInArrow(width, "width bigint").first()["width"], b""
     return trained[0]["width"], bytes(trained[0]["dictionary"])
 
 
