@@ -62,6 +62,73 @@ def test_messages_at_most_so_far_apart(spark, topics, tmp_path):  # noqa: F811
     assert {tuple(r) for r in batch.collect()} == want
 
 
+@pytest.fixture
+def sides(spark, tmp_path):
+    """Append messages ``(at, key, value0)`` to x and y; streams and tables of them."""
+
+    def send(kind, **topics):  # noqa: F811
+        key = F.struct("n") if kind.startswith("struct") else F.col("n").cast(kind)
+        for name, rows in topics.items():
+            df = spark.createDataFrame(rows, "at double, n double, value0 double").coalesce(1)
+            when = F.timestamp_micros((F.col("at") * 1e6).cast("bigint")).alias("timestamp")
+            df.select(when, key.alias("time"), "value0").write.mode("append").parquet(str(tmp_path / "in" / name))
+
+    send.tables = lambda: [spark.read.parquet(str(tmp_path / "in" / name)) for name in ("x", "y")]
+    send.streams = lambda: [
+        spark.readStream.schema(table.schema).parquet(str(tmp_path / "in" / name)) for name, table in zip("xy", send.tables())
+    ]
+    return send
+
+
+def rows_of(df):
+    return sorted(repr(tuple(row)) for row in df.collect())
+
+
+@pytest.mark.parametrize("kind, held", [("double", 10), ("string", 10), ("struct<n:double>", 54)])
+def test_join_state_holds_blocks_of_messages(sides, spark, tmp_path, monkeypatch, kind, held):
+    monkeypatch.setattr("tidemark.operators.cogroup.BLOCK_ROWS", 10)
+    x = [(0.01 * i, 1.0, float(i)) for i in range(25)] + [(0.5, 2.0, 1.0), (0.6, 2.0, None), (0.7, None, 3.0)]
+    y = [(0.02 * i, 1.0, 100.0 + i) for i in range(19)] + [(0.8, 3.0, float(i)) for i in range(5)]
+    sides(kind, x=[*x, (9.0, 1.0, 0.0)], y=[*y, (9.5, 7.0, 0.0)])
+    options = {"names": ["x", "y"], "window_size_seconds": 1}
+    sink = FileSink(str(tmp_path / "out"))
+    query = sink.start(join_messages(*sides.streams(), **options), "j", str(tmp_path / "ckpt"), ONCE)
+    query.awaitTermination()
+    # x: 3 blocks of key 1, one of 2, one without key, one of the last window. y: 2 of 1, one of 3, one of the last.
+    assert query.recentProgress[0].stateOperators[0].numRowsTotal == held
+    got = sink.read(spark, "j")
+    assert rows_of(got) == rows_of(join_messages(*sides.tables(), **options).where("window_start < 9"))
+    assert got.count() == 25 * 19 + 2 + 1 + 5
+
+
+def test_blocks_keep_unlike_messages_apart(sides, spark, tmp_path, monkeypatch):
+    """Signs of zero, NaN, no key or value; blocks of several rounds, batches and runs; late messages."""
+    monkeypatch.setattr("tidemark.operators.cogroup.BLOCK_ROWS", 3)
+    monkeypatch.setattr("tidemark.operators.cogroup.HELD_BYTES", 300)
+    options = {"names": ["x", "y"], "window_size_seconds": 2, "window_expiration_seconds": 10}
+    sink, records, nan = FileSink(str(tmp_path / "out")), "spark.sql.execution.arrow.maxRecordsPerBatch", float("nan")
+
+    def step(**topics):  # noqa: F811
+        sides("double", **topics)
+        rows = join_messages(*sides.streams(), **options)
+        sink.start(rows, "j", str(tmp_path / "ckpt"), ONCE).awaitTermination()
+
+    before = spark.conf.get(records)
+    spark.conf.set(records, 4)
+    try:
+        x, y = (0.0, -0.0, nan, 1.0), (0.0, -0.0, nan)
+        step(
+            x=[(0.1 * i, x[i % 4], None if i % 5 == 0 else float(i)) for i in range(40)] + [(0.2, nan, nan)],
+            y=[(0.1 * i, y[i % 3], 100.0 + i) for i in range(40)] + [(1.2, None, 5.0)],
+        )
+        step(x=[(3.0, 2.0, 7.0), (31.0, 6.0, 0.0)], y=[(3.1, 2.0, 8.0), (3.2, 1.0, 9.0), (30.0, 5.0, 0.0)])
+        want = rows_of(join_messages(*sides.tables(), **options).where("window_start < 4"))
+        step(x=[(1.0, 1.0, 1.0)], y=[(1.1, 1.0, 2.0)])
+    finally:
+        spark.conf.set(records, before)
+    assert rows_of(sink.read(spark, "j")) == want
+
+
 def test_join_needs_one_condition(topics):  # noqa: F811
     topics("x", (0.0, 1.0, 1.0))
     x = topics.batch(["x"])
